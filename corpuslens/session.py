@@ -73,3 +73,26 @@ class Stage:
         if old:
             self.drop(old)
         return out
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parent
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    f = Path(tempfile.mkdtemp(prefix="corpuslens-ship-")) / "corpuslens.zip"  # the driver serves it from here
+    f.write_bytes(raw.getvalue())
+    sc.addPyFile(str(f))
+    _SHIPPED.add(sc.applicationId)
