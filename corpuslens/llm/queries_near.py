@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.consolidate import hash_to_min
+from corpuslens.llm.history import History, batches_of
 from corpuslens.llm.near import NearDuplicates
 from corpuslens.sources.tables import load
 
@@ -26,5 +27,30 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return hash_to_min(_near(spark, d).links()).select("group_key", F.col("id").alias("chunk_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def p5_found(spark: SparkSession, d: str, merges: int = 3) -> DataFrame:
+    """Intake records that resemble a chunk or an earlier accepted record.
+
+    The batches are merged in groups: ``merges`` runs in all, whatever the number of batches.
+    """
+    h = History(spark, RESEMBLANCE)
+    h.load(load(spark, d, "chunks").filter("chunk_id is not null").select(F.xxhash64(F.lit("old"), "chunk_id").alias("id"), "text"))
+    new = batches_of(load(spark, d, "intake_records"), "intake_id", ["batch_no", "intake_id"], "text")
+    lo, hi = new.agg(F.min("o1"), F.max("o1")).first()
+    cases = new.limit(0).select("id")
+    if lo is not None:
+        size = (hi - lo) // merges + 1
+        for i in range(merges):
+            part = new.filter(F.col("o1").between(lo + i * size, lo + (i + 1) * size - 1))
+            cases = cases.unionByName(h.accept(part.drop("rec")))
+    return new.select("id", "rec").join(cases, "id").select(F.col("rec").alias("intake_id"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Records and cases by batch."""
+    n = load(spark, d, "intake_records").select("intake_id", "batch_no")
+    f = p5_found(spark, d).withColumn("is_case", F.lit(1))
+    return n.join(f, "intake_id", "left").groupBy("batch_no").agg(F.count("*").alias("n_records"), F.sum(F.coalesce("is_case", F.lit(0))).alias("n_cases"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates, "p2_found": p2_found, "p2_groups": p2_groups}
 SQL: dict[str, str] = {}
