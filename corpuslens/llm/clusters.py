@@ -13,12 +13,17 @@ cluster (measured on the test data), because it has few links and shares no cell
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from corpuslens.llm.vectors import cell_links, exact_links, gridded
+from corpuslens.llm.vectors import cell_links, exact_links, good, gridded
 from corpuslens.operators.components import components
-from corpuslens.session import Stage
+from corpuslens.session import Stage, ship
 
 
 def count_vectors(records: DataFrame, vector: str, dim: int) -> int:
@@ -57,3 +62,33 @@ def clusters(records: DataFrame, idc: str, vector: str, cut: float, min_size: in
     member = stage.put(lab.distinct().join(big, "label").join(names, "id").select("label", "name", "size", "id"), "members")
     key = member.groupBy("label").agg(F.min("name").alias("cluster_key"))
     return member.join(key, "label").select("cluster_key", "name", "size", "id")
+
+
+def typical_members(records: DataFrame, idc: str, vector: str, cut: float, top: int = 3, min_size: int = 8, dim: int = 64) -> DataFrame:
+    """(cluster_key, size, rank, chunk_id, fit): the members of its densest part that stand for a cluster.
+
+    fit is the mean cosine with the cluster's members: the product with their mean, which is a
+    partially aggregated sum of the unit vectors; members of the densest part have the highest.
+    """
+    spark = records.sparkSession
+    ship(spark)
+    stage = Stage(spark, "typical")
+    m = stage.put(clusters(records, idc, vector, cut, min_size, dim), "members")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok, u = good(b.column(1), dim)
+            flat = pa.array(np.round(u, 9).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, dim, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), lists], names=["id", "u"])
+
+    src = records.filter(F.size(vector) == dim).select(F.xxhash64(idc).alias("id"), vector)
+    u = src.mapInArrow(unit, "id long, u array<double>").dropDuplicates(["id"])
+    j = stage.put(m.join(u, "id"), "vectors")
+    mean = j.groupBy("cluster_key").agg(*[F.sum(F.col("u")[i]).alias(f"s{i}") for i in range(dim)])
+    mean = mean.select("cluster_key", F.array(*[F.col(f"s{i}") for i in range(dim)]).alias("s"))
+    fit = F.aggregate(F.zip_with("u", "s", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) / F.col("size")
+    scored = j.join(mean, "cluster_key").select("cluster_key", "size", "name", F.round(fit, 6).alias("fit"))
+    w = W.partitionBy("cluster_key").orderBy(F.desc("fit"), "name")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select(
+        "cluster_key", "size", "rank", F.col("name").alias("chunk_id"), "fit")

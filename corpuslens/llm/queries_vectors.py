@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm.clusters import clusters
+from corpuslens.llm.clusters import clusters, typical_members
+from corpuslens.llm.neighbours import neighbours, pairs_of
 from corpuslens.sources.tables import load
 
-LINK = 0.82
+LINK, SIMILAR, K = 0.82, 0.85, 3
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -20,5 +21,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters(_records(spark, d), "chunk_id", "embedding", LINK).select("cluster_key", F.col("name").alias("chunk_id"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_typical(spark: SparkSession, d: str) -> DataFrame:
+    """Size and three most typical members of each cluster."""
+    return typical_members(_records(spark, d), "chunk_id", "embedding", LINK, top=3)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of which one is among the 3 most similar others of the other, cosine at least 0.85."""
+    return pairs_of(neighbours(_records(spark, d), "chunk_id", "embedding", K, SIMILAR))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 3 most similar records of each record with their cosines."""
+    return neighbours(_records(spark, d), "chunk_id", "embedding", K, SIMILAR).select(
+        F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_typical": p1_typical, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
 SQL: dict[str, str] = {}
