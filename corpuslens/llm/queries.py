@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["queries_groups", "queries_texts", "queries_near", "queries_vectors"]
+MODULES = ["queries_groups", "queries_texts", "queries_near", "queries_vectors", "queries_abuse"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _m in MODULES:
