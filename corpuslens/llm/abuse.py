@@ -14,8 +14,7 @@ documents judged clean are negative; of each document judged abusive the sentenc
 score is positive in the next round; a positive that the model puts with the negatives, and a
 negative that it puts far with the positives, is taken for a wrong verdict and left out.
 
-The fit takes at most ``max_positive`` + ``max_negative`` labelled documents (documented bound,
-chosen by hash); scores and rates cover all documents and whole texts. A document's score is the
+The fit takes at most ``max_documents`` labelled documents (documented bound, chosen by hash); scores and rates cover all documents and whole texts. A document's score is the
 highest of its passages.
 
 Defined results: null, empty and blank texts have no passage and score null; labels that are null
@@ -217,12 +216,12 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 384, rounds: int
     return weight, -bias - MARGIN
 
 
-def train(documents: DataFrame, labels: DataFrame, max_positive: int = 1200, max_negative: int = 3000) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, max_documents: int = 6000) -> tuple[np.ndarray, float]:
     """Fits on a bounded sample of the labelled documents, in one task."""
     ship(documents.sparkSession)
     votes = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("m"))
     votes = votes.filter("m != 0.5").select("doc_id", (F.col("m") > 0.5).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
-    picked = votes.filter("y = 1").orderBy("h").limit(max_positive).unionByName(votes.filter("y = 0").orderBy("h").limit(max_negative))
+    picked = votes.orderBy("h").limit(max_documents)  # in their natural proportion, which the evidence relies on
     bag = documents.select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
