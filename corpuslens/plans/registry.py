@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["instants", "catalog", "ingest", "texts", "vectors", "scanning"]
+MODULES = ["instants", "catalog", "ingest", "texts", "vectors", "scanning", "review", "events"]
 
 
 def core_queries() -> dict[str, Query]:
