@@ -32,14 +32,18 @@ SHARD_ROWS, PACK_ROWS = 8192, 16384
 
 
 def _stored(records: DataFrame, idc: str, vector: str, dim: int) -> DataFrame:
-    """(id, name, x): good vectors, x as bytes of the stored floats."""
+    """(id, name, x): good vectors, x as bytes of the stored floats, halved where that is exact."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, _ = good(b.column(2), dim)
             at = pa.array(ok)
             col = b.column(2).take(at)
             flat = np.ascontiguousarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float32)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(ok), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+            flat = flat.reshape(-1, dim)
+            with np.errstate(over="ignore"):
+                half = flat.astype(np.float16)
+            exact = (half == flat).all(1)
+            raw = pa.array([h.tobytes() if e else f.tobytes() for h, f, e in zip(half, flat, exact)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), raw], names=["id", "name", "x"])
 
     ship(records.sparkSession)
@@ -47,6 +51,13 @@ def _stored(records: DataFrame, idc: str, vector: str, dim: int) -> DataFrame:
     return src.mapInArrow(run, "id long, name string, x binary")
 
 
+def _floats(raw: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision of stored bytes."""
+    v = np.array([np.frombuffer(r, np.float16 if len(r) == 2 * dim else np.float32) for r in raw], np.float64).reshape(-1, dim)
+    v /= np.abs(v).max(1)[:, None]
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
 def _sharded(stored: DataFrame, dim: int, fine: int) -> DataFrame:
     """(shard, id, name, x): large groups by the cells of three grids, the others whole."""
     rots = rotations(dim, 3, seed=17)
@@ -61,8 +72,7 @@ def _sharded(stored: DataFrame, dim: int, fine: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(label).filter(small), *(c.filter(small) for c in body)], names=["shard", "id", "name", "x"])
             if big.any():
                 own = [c.filter(pa.array(big)) for c in body]
-                x = np.frombuffer(b"".join(own[2].to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
-                x /= np.sqrt((x * x).sum(1))[:, None]
+                x = _floats(own[2].to_pylist(), dim)
                 for t, r in enumerate(rots):
                     cell = (codes(x, r, fine) * 3 + t + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     yield pa.RecordBatch.from_arrays([pa.array(label[big] ^ cell.view(np.int64)), *own], names=["shard", "id", "name", "x"])
@@ -73,9 +83,7 @@ def _sharded(stored: DataFrame, dim: int, fine: int) -> DataFrame:
 def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degree: int, beam: int) -> DataFrame:
     """(a, b, cosine): up to k best neighbours b of each a in each shard."""
     def pack(shard, ids, names, raw):  # noqa: ANN001, ANN202
-        v = np.frombuffer(b"".join(raw), np.float32).reshape(-1, dim).astype(np.float64)
-        v /= np.abs(v).max(1)[:, None]
-        v /= np.sqrt((v * v).sum(1))[:, None]
+        v = _floats(raw, dim)
         at = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
         n = np.diff(np.append(at, len(shard)))
         g = Graph(v.astype(np.float32), np.repeat(at, n), np.repeat(n, n), degree, beam).build()
