@@ -13,7 +13,7 @@ The total of a mix, unless given, is the largest at which every source that has
 its share under its cap (all caps null: the size of its sources). Sources without documents give
 nothing and the other shares are relative to the rest; the report has them with actual share 0.
 
-Defined results: shares that are null, zero or negative are dropped; a null cap is no cap; caps
+Defined results: rows without mix or source and shares that are null, zero or negative are dropped; a null cap is no cap; caps
 under 1 exclude the source; repeated target rows of a source in a mix count once (largest share);
 null texts have no tokens and are never chosen; empty tables give empty results.
 """
@@ -49,7 +49,7 @@ def measured(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> Data
 
 def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """A row per mix and source: available tokens, budget, whole epochs and the rest."""
-    t = targets.filter("target_share > 0 and coalesce(max_repeats, 1) >= 1 and mix_name is not null").groupBy(
+    t = targets.filter("target_share > 0 and coalesce(max_repeats, 1) >= 1 and mix_name is not null and source is not null").groupBy(
         "mix_name", source_name("source").alias("source")).agg(
         F.max("target_share").alias("share"), F.max(F.struct("target_share", "max_repeats"))["max_repeats"].alias("cap"))
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("n_documents"))
