@@ -75,7 +75,7 @@ def corpus_overview(spark: SparkSession, d: str) -> DataFrame:
     a = c.agg(F.count("*").alias("total_chunks"), F.count_if(F.col("deleted_at").isNull()).alias("active_chunks"),
               F.count_if(F.col("deleted_at").isNull() & (F.col("staleness_label") == "fresh")).alias("fresh_chunks"))
     g = load(spark, d, "dedup_groups").agg(F.count("*").alias("dedup_groups"))
-    o = pair_key(contradictions(spark, d)).filter("user_resolution is null and a is not null and b is not null").select("a", "b").distinct().agg(
+    o = pair_key(contradictions(spark, d)).filter("user_resolution is null and chunk_a is not null and chunk_b is not null").select("a", "b").distinct().agg(
         F.count("*").alias("open_contradictions"))
     k = c.filter("deleted_at is null").agg(F.count_distinct("collection").alias("collections"))
     pct = F.round(F.col("fresh_chunks") * 100 / F.greatest("active_chunks", F.lit(1))).cast("int")
