@@ -76,6 +76,15 @@ def _day(y: Column, m: Column, d: Column) -> Column:
     return F.when(y >= 1, F.unix_date(ts.cast("date")).cast("long"))
 
 
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with further columns that the optimizer doesn't copy into their users.
+
+    Collapsed projections and pushed filters would repeat these expressions many times over; a
+    generator of exactly one row is a border that neither crosses.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def with_readings(df: DataFrame, raw: Column) -> DataFrame:
     """Adds _kind (epoch, plain, slashed; null: unreadable), _a, _b and _off.
 
@@ -86,8 +95,8 @@ def with_readings(df: DataFrame, raw: Column) -> DataFrame:
     g = lambda i: F.col("_g")[i]
     n = lambda c: F.col(c)
     v = F.regexp_replace(trimmed(raw), r"^[A-Za-z]{3,9},\s+", "")
-    df = df.withColumn("_v", F.regexp_replace(v, _COMPACT, "$1-$2-$3T$4:$5:$6"))
-    df = df.withColumn("_g", F.when(n("_v").rlike(_DATE), F.split(F.regexp_replace(
+    df = _once(df, _v=F.regexp_replace(v, _COMPACT, "$1-$2-$3T$4:$5:$6"))
+    df = _once(df, _g=F.when(n("_v").rlike(_DATE), F.split(F.regexp_replace(
         n("_v"), _DATE, _SEP.join(f"${i}" for i in range(1, 12))), _SEP)).when(
         n("_v").rlike(_EPOCH), F.split(F.regexp_replace(n("_v"), _EPOCH, f"$1{_SEP}$2"), _SEP)))
     date = F.size("_g") == 11
@@ -104,12 +113,12 @@ def with_readings(df: DataFrame, raw: Column) -> DataFrame:
     whole = g(0).cast("long")
     epoch = F.when(k >= 18, F.expr("_g[0]").cast("long").cast("decimal(19,0)") / 1000).otherwise(
         whole.cast("decimal(19,0)") * unit + F.floor(_micros(g(1)) * unit / F.lit(1_000_000)))
-    df = df.withColumn("_p", F.when(date, F.struct(
+    df = _once(df, _p=F.when(date, F.struct(
         _int(g(0)).alias("x"), g(1).alias("sep"), F.when(worded, month).otherwise(F.when(~worded, g(2)).cast("int")).alias("y"),
         _int(g(4)).alias("z"), worded.alias("w"), clock.alias("clock"),
         (g(1) == g(3)).alias("same"), F.length(g(0)).alias("lx"), F.length(g(4)).alias("lz"),
-        F.when(g(10) != "", _zone_offset(g(10))).alias("off"), (g(10) == "").alias("local"))))
-    df = df.withColumn("_epoch", F.when(F.size("_g") == 2, F.floor(epoch).cast("long")))
+        F.when(g(10) != "", _zone_offset(g(10))).alias("off"), (g(10) == "").alias("local"))),
+        _epoch=F.when(F.size("_g") == 2, F.floor(epoch).cast("long")))
     q = F.col("_p")
     sep, ok = q["sep"], q["same"] & (q["local"] | q["off"].isNotNull()) & q["clock"].isNotNull()
     blank = sep.rlike(r"\s")
@@ -117,15 +126,14 @@ def with_readings(df: DataFrame, raw: Column) -> DataFrame:
     day_first = ((sep == ".") & ~q["w"] | (blank | (sep == "-")) & q["w"]) & (q["lx"] <= 2) & (q["lz"] == 4)
     slashed = (sep == "/") & ~q["w"] & (q["lx"] <= 2) & (q["lz"] == 4)
     kind = F.when(F.col("_epoch").isNotNull(), "epoch").when(ok & (year_first | day_first), "plain").when(ok & slashed, "slashed")
-    df = df.withColumn("_kind", kind).withColumn(
-        "_ymd", F.when(F.col("_kind") == "epoch", None).otherwise(F.when(year_first, F.struct(q["x"].alias("y"), q["y"].alias("m"), q["z"].alias("d")))
-                                                          .otherwise(F.struct(q["z"].alias("y"), q["y"].alias("m"), q["x"].alias("d")))))
+    df = _once(df, _kind=kind, _ymd=F.when(year_first, F.struct(q["x"].alias("y"), q["y"].alias("m"), q["z"].alias("d")))
+               .otherwise(F.struct(q["z"].alias("y"), q["y"].alias("m"), q["x"].alias("d"))))
     e = F.col("_ymd")
     us = lambda day: day * F.lit(86_400_000_000).cast("long") + q["clock"]
     a = F.when(F.col("_kind") == "epoch", F.col("_epoch")).when(F.col("_kind").isNotNull(), us(_day(e["y"], e["m"], e["d"])))
     b = F.when(F.col("_kind") == "slashed", us(_day(e["y"], e["d"], e["m"])))
     off = F.when(F.col("_kind") == "epoch", 0).otherwise(q["off"])
-    return df.withColumn("_a", a).withColumn("_b", b).withColumn("_off", off).drop("_v", "_g", "_p", "_epoch", "_ymd")
+    return _once(df, _a=a, _b=b, _off=off).drop("_v", "_g", "_p", "_epoch", "_ymd")
 
 
 def id_instant(cid: Column) -> Column:
@@ -183,20 +191,21 @@ def resolve_instants(records: DataFrame, settings: DataFrame, confidence: float
     # Posterior of the day-first reading; null: no reading has any weight.
     post = F.when(b.isNull(), F.when(a.isNotNull() & (p > 0), 1.0)).when(
         a.isNull(), F.when(p < 1, 0.0)).when(a == b, 1.0).otherwise(p)
-    j = j.withColumn("_post", F.when(F.col("_kind") == "slashed", post))
+    j = _once(j, _post=F.when(F.col("_kind") == "slashed", post))
     po = F.col("_post")
     wall = F.when(F.col("_kind") != "slashed", a).when(po >= confidence, a).when(po <= 1 - confidence, b)
-    j = j.withColumn("_wall", F.when(wall.between(-62135596800000000, LAST_US), wall)).withColumn(
-        "_z", F.coalesce(F.when(F.col("_mz").isin(zones), F.col("_mz")), F.when(F.col("_tz").isin(zones), F.col("_tz")), F.lit("UTC")))
+    known = ", ".join(f"'{z}'" for z in zones)  # as SQL: one call instead of a thousand
+    zone = F.expr(f"coalesce(CASE WHEN _mz IN ({known}) THEN _mz END, CASE WHEN _tz IN ({known}) THEN _tz END, 'UTC')")
+    j = _once(j, _wall=F.when(wall.between(-62135596800000000, LAST_US), wall), _z=zone)
     # The local hour of a clock change is read as java.time does: first pass, or forward by the gap.
     w = F.col("_wall")
     ntz = F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(_wall as decimal(20,0)) / 1000000)")
-    j = j.withColumn("_u", F.when(F.col("_off").isNull() & w.isNotNull(), F.convert_timezone(F.col("_z"), F.lit("UTC"), ntz)))
+    j = _once(j, _u=F.when(F.col("_off").isNull() & w.isNotNull(), F.convert_timezone(F.col("_z"), F.lit("UTC"), ntz)))
     u = F.col("_u")
     zoned = (F.unix_date(u.cast("date")).cast("long") * 86_400 + F.hour(u) * 3600 + F.minute(u) * 60) * 1_000_000 + (
         F.expr("extract(SECOND FROM _u)") * 1_000_000).cast("long")
     meta = F.when(F.col("_off").isNotNull(), w - F.col("_off") * F.lit(1_000_000).cast("long")).otherwise(zoned)
-    j = j.withColumn("_m", meta).withColumn("_i", F.when(F.col("_m").isNull(), id_instant(F.col("chunk_id"))))
+    j = _once(_once(j, _m=meta), _i=F.when(F.col("_m").isNull(), id_instant(F.col("chunk_id"))))
     return j.select(
         *names, F.coalesce("_m", "_i").alias("utc_us"),
         F.when(F.col("_m").isNotNull(), "metadata_field").when(
