@@ -151,7 +151,9 @@ def id_instant(cid: Column) -> Column:
 
 
 def _known_zones(spark: SparkSession) -> list[str]:
-    return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    """Zone names of the JVM, fetched in one call."""
+    jvm = spark._jvm
+    return sorted(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
 
 
 def fit_orders(parsed: DataFrame, rounds: int = 20, prior: float = 0.5) -> DataFrame:
