@@ -120,7 +120,7 @@ def calibration_sample(embeddings: DataFrame, idc: str, v: str, sample: int = 20
 def percentiles(sample: DataFrame) -> DataFrame:
     p = F.expr("percentile(cosine, array(0.5, 0.95, 0.99))")
     return sample.groupBy("kind").agg(F.count("*").alias("n"), p.alias("p")).select(
-        "kind", "n", *[F.round(F.col("p")[i], 6).alias(x) for i, x in enumerate(("p50", "p95", "p99"))])
+        "kind", "n", *[F.col("p")[i].alias(x) for i, x in enumerate(("p50", "p95", "p99"))])
 
 
 def threshold_row(sample: DataFrame, dim: int) -> DataFrame:
@@ -131,7 +131,7 @@ def threshold_row(sample: DataFrame, dim: int) -> DataFrame:
     ok = F.coalesce((F.col("b95") < cc) & (cc < dd) & (dd < 1.0), F.lit(False))
     d0 = model_default(dim)
     names = ("dedup_threshold", "contradiction_threshold", "cluster_min_density")
-    return r.select(*[F.round(F.when(ok, c).otherwise(F.lit(v)), 6).alias(n) for c, v, n in zip((dd, cc, nn), d0, names)])
+    return r.select(*[F.when(ok, c).otherwise(F.lit(v)).alias(n) for c, v, n in zip((dd, cc, nn), d0, names)])
 
 
 def model_default(dim: int | None) -> tuple[float, float, float]:
