@@ -60,7 +60,9 @@ class Graph:
         ids[other, 1] = e[other]
         cos[other, 1] = np.einsum("ij,ij->i", x[e[other]], q[other])
         live = np.arange(n)
-        while len(live):
+        for _ in range(16 * beam):  # equal cosines may push one another out for ever
+            if not len(live):
+                break
             best = np.where(done | (ids < 0), -3.0, cos).argmax(1)
             r = np.arange(len(live))
             go = ~done[r, best] & (ids[r, best] >= 0)
@@ -79,6 +81,8 @@ class Graph:
             ids = np.take_along_axis(np.concatenate([ids, new], 1), top, 1)
             cos = np.take_along_axis(c, top, 1)
             done = np.take_along_axis(np.concatenate([done, np.zeros(new.shape, bool)], 1), top, 1)
+        if len(live):
+            out_i[live], out_c[live] = ids, cos
         out_c[out_i == rows[:, None]] = -2.0
         out_i[out_i == rows[:, None]] = -1
         o = np.argsort(-out_c, axis=1, kind="stable")

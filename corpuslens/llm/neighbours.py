@@ -11,7 +11,8 @@
 
 Measured against brute force, see the README. Defined results: as in ``clusters``; a record has
 fewer than k neighbours if fewer reach the threshold; equal cosines (to 1e-12) are ordered by
-name; identical vectors are neighbours with cosine 1.
+name; identical vectors are neighbours with cosine 1, and of many of them only the k + 1 smallest
+names enter a graph, since no row can have another of them among its best k.
 """
 
 from __future__ import annotations
@@ -83,6 +84,19 @@ def _sharded(stored: DataFrame, dim: int, fine: int) -> DataFrame:
 def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degree: int, beam: int) -> DataFrame:
     """(a, b, cosine): up to k best neighbours b of each a in each shard."""
     def pack(shard, ids, names, raw):  # noqa: ANN001, ANN202
+        # Of identical vectors the k + 1 smallest names are in the graph; the others' neighbours are the k smallest.
+        _, same, n_same = np.unique(np.array(raw, dtype=object), return_inverse=True, return_counts=True)
+        extra = None
+        if n_same.max() > k + 1:
+            name = np.array(names, dtype=object)
+            order = np.lexsort((np.argsort(np.argsort(name, kind="stable"), kind="stable"), same))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+            lead, rest = order[place[order] < k], np.flatnonzero(place > k)
+            j = lead[np.searchsorted(same[lead], same[rest])[:, None] + np.arange(k)].ravel()
+            extra = (name[np.repeat(rest, k)], name[j])
+            kept = np.flatnonzero(place <= k)
+            shard, names, raw = shard[kept], name[kept].tolist(), [raw[i] for i in kept]
         v = _floats(raw, dim)
         at = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
         n = np.diff(np.append(at, len(shard)))
@@ -100,8 +114,10 @@ def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degre
         order = np.lexsort((np.argsort(np.argsort(name, kind="stable"))[j] if len(j) else j, -np.round(c, 12), i))
         i, j, c = i[order], j[order], c[order]
         first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j, c = i[first], j[first], c[first]
-        return pa.RecordBatch.from_arrays([pa.array(name[i], pa.string()), pa.array(name[j], pa.string()), pa.array(c)], names=["a", "b", "cosine"])
+        a, b, c = name[i[first]], name[j[first]], c[first]
+        if extra is not None:
+            a, b, c = np.append(a, extra[0]), np.append(b, extra[1]), np.append(c, np.ones(len(extra[0])))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c)], names=["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]

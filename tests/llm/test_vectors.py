@@ -97,6 +97,23 @@ def test_large_groups_are_cut(spark, monkeypatch):
     assert n.count() > 290 and n.agg({"count": "max"}).first()[0] <= 3
 
 
+def test_neighbours_of_copies(spark):
+    v = rng.randn(64).astype(np.float32).tolist()
+    rows = [(f"s{i:04}", v) for i in range(900)] + data(2, noise=0.35)
+    n = [r for r in neighbours(frame(spark, rows), "cid", "emb", 3, 0.85).collect() if r.a[0] == "s"]
+    got = {}
+    for r in n:
+        got.setdefault(r.a, set()).add(r.b)
+    first = ["s0000", "s0001", "s0002", "s0003"]
+    assert len(got) == 900 and all(b == set([x for x in first if x != a][:3]) for a, b in got.items())
+
+
+def test_graph_ends_on_equal_vectors():
+    x = np.tile(np.eye(1, 64, dtype=np.float32), (500, 1))
+    g = Graph(x, np.zeros(500, int), np.full(500, 500)).build()
+    assert (g.search(np.arange(500), 8)[1][:, 0] == 1).all()
+
+
 def test_graph_recall():
     x = rng.randn(2000, 16).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
