@@ -55,6 +55,35 @@ def test_near_duplicates(spark):
     assert all(groups[a] == groups[b] for a, b in want) and set(groups) == {x for p in want for x in p}
 
 
+def family(n, words=200, edits=4):
+    """n copies of one text, each with its own edits: every shared shingle is frequent, every edit rare."""
+    r = random.Random(n)
+    base, out = [f"f{r.randrange(5000)}" for _ in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for j in r.sample(range(words), edits):
+            w[j] = f"own{i}x{j}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    t = family(120) + [" ".join(sentence(50)) for _ in range(30)]
+    n = NearDuplicates(spark.createDataFrame([(f"c{i:04}", x) for i, x in enumerate(t)], "cid string, body string"), "cid", "body", 0.7)
+    s = [sets(x) for x in t]
+    want = {(f"c{i:04}", f"c{j:04}") for i in range(len(t)) for j in range(i + 1, len(t)) if sim(s[i], s[j]) >= 0.7}
+    assert len(want) > 7000 and {(r.name_a, r.name_b) for r in n.all_pairs().collect()} == want
+
+
+def test_history_of_a_large_family(spark):
+    t = family(60)
+    h = History(spark, 0.7, ranges=4)
+    h.load(spark.createDataFrame(list(enumerate(t[:40])), "id long, text string"))
+    n = batches_of(spark.createDataFrame([(i, 0, x) for i, x in enumerate(t[40:])], "iid long, batch int, text string"), "iid", ["batch", "iid"], "text")
+    assert h.accept(n.drop("rec")).count() == 20
+    h.close()
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "cid string, body string")
     assert NearDuplicates(df, "cid", "body", 0.7).all_pairs().count() == 0
