@@ -17,10 +17,10 @@ def scan(spark: SparkSession, data: str, out: str, run_id: str, numeric: bool =
     """Runs all stages over a data folder and writes contradictions and the report; returns the counts."""
     hits: list[DataFrame] = []
     if numeric:
-        hits.append(texts.numeric_contradictions(spark, data).withColumn("detector", F.lit("numeric")))
+        hits.append(texts.numeric_contradictions(spark, data, texts.every).withColumn("detector", F.lit("numeric")))
     if version:
-        hits.append(texts.version_contradictions(spark, data).withColumn("detector", F.lit("version")))
-    hits.append(scanning.nli_fused(spark, data).select(F.lit(None).cast("int").alias("cluster_id"), "chunk_a", "chunk_b", "raw_score").withColumn("detector", F.lit("nli")))
+        hits.append(texts.version_contradictions(spark, data, texts.every).withColumn("detector", F.lit("version")))
+    hits.append(scanning.nli_fused(spark, data, texts.every).select(F.lit(None).cast("int").alias("cluster_id"), "chunk_a", "chunk_b", "raw_score").withColumn("detector", F.lit("nli")))
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
@@ -29,7 +29,7 @@ def scan(spark: SparkSession, data: str, out: str, run_id: str, numeric: bool =
     stats = {r["status"]: r["n"] for r in ingest.ingest_stats(spark, data).collect()}
     head = {"run_id": run_id, "generated_at": datetime.now(timezone.utc), "ingest": stats, "contradictions": found,
             "calibration": vectors.calibration_thresholds(spark, data).first().asDict(), "summary": review.report_summary(spark, data).first().asDict()}
-    write_report(head, {"dedup_groups": texts.text_dedup_groups(spark, data), "staleness": scanning.staleness_scored(spark, data),
+    write_report(head, {"dedup_groups": texts.text_dedup_groups(spark, data, texts.every), "staleness": scanning.staleness_scored(spark, data),
                         "contradictions": every, "collections": review.report_collections(spark, data)}, out, run_id)
     return head
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from corpuslens.operators import contradictions as C
 from corpuslens.operators import neighbourhood as N
 from corpuslens.operators.triage import allowed, priorities
 from corpuslens.plans.catalog import CONTRADICTIONS
+from corpuslens.plans.texts import Rows, _ascii, every
 from corpuslens.plans.vectors import CPAIRS, VEC, chunk_vectors, clustered
 from corpuslens.sources.tables import contradictions, load
 
@@ -51,9 +54,9 @@ def nli_candidates_budgeted(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d, True).select("chunk_a", "chunk_b", F.round("cosine", 6).alias("cosine"))
 
 
-def nli_fused(spark: SparkSession, d: str) -> DataFrame:
+def nli_fused(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Candidates judged by the lexical stand-in in both directions."""
-    t = load(spark, d, "chunks").select("chunk_id", "text").filter(F.coalesce(~F.col("text").rlike(r"[^\x00-\x7F]"), F.lit(True)))
+    t = keep(load(spark, d, "chunks").select("chunk_id", "text"))
     p = _candidates(spark, d)
     for s in "ab":
         p = p.join(t.select(F.col("chunk_id").alias(f"chunk_{s}"), F.col("text").alias(f"text_{s}")), f"chunk_{s}")
@@ -134,6 +137,7 @@ def staleness_page(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     triage_scored, triage_allowed, triage_summary, nli_candidates, nli_candidates_budgeted, nli_fused, nli_retune_f05, nli_backfill, contradiction_evidence,
     superseded_flags, age_decay, staleness_scored, staleness_labels, staleness_page)}
+QUERIES["nli_fused_all"] = partial(nli_fused, keep=every)
 _HL = "hl AS (SELECT collection, max(half_life_days) AS h FROM collection_settings GROUP BY 1)"
 _AGE = f"CASE WHEN resolved_timestamp IS NULL THEN 0 ELSE 1 - pow(2.0, -greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(resolved_timestamp)) / 86400e6) / coalesce(h, 90)) END"
 _TRI = f"""{_HL}, tc AS (SELECT * FROM chunks WHERE deleted_at IS NULL AND cluster_id IS NOT NULL), sz AS (SELECT cluster_id, count(*) AS n FROM tc GROUP BY 1),

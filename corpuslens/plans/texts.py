@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,66 +16,75 @@ from corpuslens.operators.groups import dense_ids, group_table
 from corpuslens.operators.text_dedup import copies, similar_texts, text_edges
 from corpuslens.sources.tables import load
 
+Rows = Callable[[DataFrame], DataFrame]
+
 
 def _active(spark: SparkSession, d: str) -> DataFrame:
     return active(load(spark, d, "chunks"))
 
 
 def _ascii(c: DataFrame) -> DataFrame:
-    """Texts with ASCII signs only: the SQL engine's pattern classes know no others."""
+    """Texts with ASCII signs only: the SQL engine's pattern classes know no others.
+
+    For the comparison with SQL; the queries named ..._all cover every text and have no SQL.
+    """
     return c.filter(F.coalesce(~F.col("text").rlike(r"[^\x00-\x7F]"), F.lit(True)))
 
 
-def text_shingles(spark: SparkSession, d: str) -> DataFrame:
+def every(c: DataFrame) -> DataFrame:
+    return c
+
+
+def text_shingles(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Number of words and of distinct shingles of each chunk."""
-    c = _ascii(load(spark, d, "chunks")).withColumn("w", X.words("text"))
+    c = keep(load(spark, d, "chunks")).withColumn("w", X.words("text"))
     return c.select("chunk_id", F.size("w").alias("n_words"), F.size(X.shingles_of(F.col("w"))).alias("n_shingles"))
 
 
-def numbers_extracted(spark: SparkSession, d: str) -> DataFrame:
+def numbers_extracted(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Numbers by chunk."""
-    return _ascii(load(spark, d, "chunks")).select("chunk_id", F.explode(X.numbers("text")).alias("number"))
+    return keep(load(spark, d, "chunks")).select("chunk_id", F.explode(X.numbers("text")).alias("number"))
 
 
-def versions_extracted(spark: SparkSession, d: str) -> DataFrame:
+def versions_extracted(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Versions by chunk."""
-    return _ascii(load(spark, d, "chunks")).select("chunk_id", F.explode(X.versions("text")).alias("version"))
+    return keep(load(spark, d, "chunks")).select("chunk_id", F.explode(X.versions("text")).alias("version"))
 
 
-def masked_texts(spark: SparkSession, d: str) -> DataFrame:
+def masked_texts(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Lengths of the texts with numbers and with versions masked."""
-    return _ascii(load(spark, d, "chunks")).select(
+    return keep(load(spark, d, "chunks")).select(
         "chunk_id", F.length(X.mask_numbers("text")).alias("n_numbers_masked"), F.length(X.mask_versions("text")).alias("n_versions_masked"))
 
 
-def word_jaccard(spark: SparkSession, d: str) -> DataFrame:
+def word_jaccard(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Word overlap of the canonical and each other member of the groups."""
     g = load(spark, d, "dedup_groups").select("canonical_chunk_id", F.explode("member_chunk_ids").alias("chunk_id")).filter(
         "chunk_id != canonical_chunk_id").distinct()
-    t = _ascii(load(spark, d, "chunks")).select("chunk_id", X.word_set("text").alias("w"))
+    t = keep(load(spark, d, "chunks")).select("chunk_id", X.word_set("text").alias("w"))
     j = g.join(t, "chunk_id").join(t.select(F.col("chunk_id").alias("canonical_chunk_id"), F.col("w").alias("cw")), "canonical_chunk_id")
     return j.select("canonical_chunk_id", "chunk_id", F.round(X.set_jaccard(F.col("w"), F.col("cw")), 6).alias("jaccard"))
 
 
-def text_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+def text_jaccard_pairs(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Pairs of different word sequences with a shingle similarity of at least 0.8."""
-    return similar_texts(_ascii(_active(spark, d))).select("vid_a", "vid_b", F.round("jaccard", 6).alias("jaccard"))
+    return similar_texts(keep(_active(spark, d))).select("vid_a", "vid_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def text_copies(spark: SparkSession, d: str) -> DataFrame:
+def text_copies(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Copy groups of two or more: the smallest id and the size."""
-    return copies(_ascii(_active(spark, d))).groupBy("vid").agg(F.count("*").alias("n")).filter("n > 1")
+    return copies(keep(_active(spark, d))).groupBy("vid").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def text_dedup_groups(spark: SparkSession, d: str) -> DataFrame:
+def text_dedup_groups(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Groups of near-duplicate texts with their canonical chunk and dense ids."""
-    c = _ascii(_active(spark, d))
+    c = keep(_active(spark, d))
     return dense_ids(group_table(text_edges(c), c)).select("group_id", "canonical_chunk_id", "n_members")
 
 
-def dedup_merged_channels(spark: SparkSession, d: str) -> DataFrame:
+def dedup_merged_channels(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Stored groups merged with text edges: members and channels of each resulting group."""
-    c = _ascii(_active(spark, d))
+    c = keep(_active(spark, d))
     ids = c.select("chunk_id")
     g = load(spark, d, "dedup_groups").filter(F.array_contains("detection_channels", "embedding"))
     m = g.select("canonical_chunk_id", F.explode("member_chunk_ids").alias("b")).select(F.col("canonical_chunk_id").alias("a"), "b").distinct()
@@ -84,19 +96,19 @@ def dedup_merged_channels(spark: SparkSession, d: str) -> DataFrame:
     return n.join(ch, "label").select(F.col("label").alias("group_key"), "n_members", "channels")
 
 
-def numeric_contradictions(spark: SparkSession, d: str) -> DataFrame:
+def numeric_contradictions(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Numeric contradictions inside clusters of at most 50."""
-    return numeric_hits(_ascii(load(spark, d, "chunks")))
+    return numeric_hits(keep(load(spark, d, "chunks")))
 
 
-def version_contradictions(spark: SparkSession, d: str) -> DataFrame:
+def version_contradictions(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Version contradictions inside clusters of at most 50."""
-    return version_hits(_ascii(load(spark, d, "chunks")))
+    return version_hits(keep(load(spark, d, "chunks")))
 
 
-def clean_text(spark: SparkSession, d: str) -> DataFrame:
+def clean_text(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
     """Lengths of the cleaned documents."""
-    t = _ascii(load(spark, d, "documents"))
+    t = keep(load(spark, d, "documents"))
     return nfkc(t.select("doc_id", "text")).select("doc_id", F.length(X.clean_spaces("text")).alias("n_clean"))
 
 
@@ -113,12 +125,15 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def slugify(spark: SparkSession, d: str) -> DataFrame:
     """Collection names from the sources."""
-    return _ascii(load(spark, d, "documents").withColumn("text", F.col("source"))).groupBy("source").agg(F.count("*").alias("n")).withColumn("slug", X.slug("source"))
+    return load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("slug", X.slug("source"))
 
 
 QUERIES = {f.__name__: f for f in (
     text_shingles, numbers_extracted, versions_extracted, masked_texts, word_jaccard, text_jaccard_pairs, text_copies, text_dedup_groups, dedup_merged_channels,
     numeric_contradictions, version_contradictions, clean_text, chunk_text, chunk_ids, slugify)}
+QUERIES |= {f"{f.__name__}_all": partial(f, keep=every) for f in (
+    text_shingles, numbers_extracted, versions_extracted, masked_texts, word_jaccard, text_jaccard_pairs, text_copies, text_dedup_groups, dedup_merged_channels,
+    numeric_contradictions, version_contradictions, clean_text)}
 _ASCII = r"NOT coalesce(regexp_matches(text, '[^\x00-\x7F]'), false)"
 _NUM, _VER = r"\b\d+(?:[.,]\d+)?\b", r"v?(\d+\.\d+(?:\.\d+)*)\b"
 _NUMS = f"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '{_NUM}', 0), lambda x: CAST(replace(x, ',', '') AS DOUBLE)))"
