@@ -37,15 +37,11 @@ def cluster_labels(records: DataFrame, idc: str, vector: str, cut: float, dim: i
     rows = count_vectors(records, vector, dim)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * grids // 150_000)
     links = stage.put(cell_links(gridded(records, idc, vector, dim, grids, rows), dim, cut, parts), "links")
-    lead = links.filter("v is not null")
-    if not lead.isEmpty():  # representatives of the blocks of spread cells
-        again = cell_links(lead.select("cell", F.lit(0).alias("block"), F.col("a").alias("id"), "v"), dim, cut, parts)
-        links = stage.put(links.filter("v is null").unionByName(again), "links2")
-    sure = links.filter("sure and v is null").select("a", "b")
+    sure = links.filter("sure").select("a", "b")
     doubt = links.filter("not sure").select("a", "b").distinct()
     if not doubt.isEmpty():
         sure = sure.unionByName(exact_links(doubt, records, idc, vector, dim, cut))
-    # A record has at most one fragment minimum a grid (and its few doubtful links).
+    # A record has one fragment minimum a grid and block (and its few doubtful links).
     mine = stage.put(sure.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("f")), "fragments")
     lowest = F.array_min(F.array_append("f", F.col("id")))
     joined = mine.select(lowest.alias("a"), F.explode(F.array_append("f", F.col("id"))).alias("b")).distinct()

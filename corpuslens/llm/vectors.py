@@ -10,9 +10,9 @@ are linked many times over.
 Vectors move as 16-bit integers (unit vectors times 32767: a cosine is exact to about 2e-5);
 links that close to the threshold are decided on the stored vectors in double precision.
 
-A cell that is too full for one task is cut into blocks by id; each block gives one
-representative for each of its components (the member nearest to the mean), and a second pass
-links the representatives of the cell's blocks.
+Cells are counted over all rows first. A cell that is too full for one task is cut into parts by
+id, and each pair of parts is a block, so every two rows of a cell are compared, however full it
+is; its rows move once for each other part.
 """
 
 from __future__ import annotations
@@ -87,14 +87,30 @@ def codes(u: np.ndarray, rot: tuple[np.ndarray, np.ndarray], fine: int) -> np.nd
 def gridded(records: DataFrame, idc: str, vector: str, dim: int, grids: int, rows: int) -> DataFrame:
     """(cell, block, id, v): each good vector once a grid; id: xxhash64 of the record's name.
 
-    block is 0 unless a batch shows that a cell holds more than CELL_ROWS of all rows; then the
-    rows of the cell are spread over blocks by id.
+    block is 0 unless the cell holds more than CELL_ROWS of all rows; then its rows are cut into
+    parts by id and stand once in the block of each pair of parts.
     """
     rots, fine = rotations(dim, grids), refinement(rows, dim)
     ship(records.sparkSession)
     cells = 2 * dim * max(1, 2 * fine)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells * grids, np.int64)
+        for b in batches:
+            _, u = good(b.column(0), dim)
+            for t, r in enumerate(rots if len(u) else []):
+                n += np.bincount(codes(u, r, fine) + t * cells, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    src = records.filter(F.col(idc).isNotNull() & (F.size(vector) == dim)).select(F.xxhash64(idc).alias("id"), F.col(vector))
+    hot = {}
+    if rows > CELL_ROWS:
+        full = src.select(vector).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > CELL_ROWS)
+        hot = {r["cell"]: -(-2 * r["n"] // CELL_ROWS) for r in full.collect()}  # at most rows * grids / CELL_ROWS cells
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.array(sorted(hot), np.int64)
         for b in batches:
             ok, u = good(b.column(1), dim)
             if not len(ok):
@@ -102,13 +118,23 @@ def gridded(records: DataFrame, idc: str, vector: str, dim: int, grids: int, row
             ids, packed = b.column(0).take(pa.array(ok)), pack(u)
             mixed = (ids.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for t, r in enumerate(rots):
-                cell = codes(u, r, fine)
-                share = np.bincount(cell)[cell] / len(cell)
-                spread = np.where(share > 0.02, share * rows / CELL_ROWS, 0).astype(np.uint64) + np.uint64(1)
-                block = np.where(spread > 1, mixed % spread + np.uint64(1), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cell + t * cells), pa.array(block), ids, packed], names=["cell", "block", "id", "v"])
+                cell = codes(u, r, fine) + t * cells
+                spread = np.isin(cell, known)
+                at = [np.flatnonzero(~spread)]
+                block = [np.zeros(len(at[0]), np.int32)]
+                for c in np.unique(cell[spread]):
+                    mine = np.flatnonzero(cell == c)
+                    part = mixed[mine] % np.uint64(hot[c])
+                    for i in np.unique(part).astype(int):
+                        own = mine[part == i]
+                        for j in set(range(hot[c])) - {i}:
+                            at.append(own)
+                            block.append(np.full(len(own), 1 + min(i, j) * hot[c] + max(i, j), np.int32))
+                at, block = np.concatenate(at), np.concatenate(block)
+                for s in range(0, len(at), 1 << 16):
+                    x = pa.array(at[s : s + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[at[s : s + (1 << 16)]]), pa.array(block[s : s + (1 << 16)]), ids.take(x), packed.take(x)], names=["cell", "block", "id", "v"])
 
-    src = records.filter(F.col(idc).isNotNull() & (F.size(vector) == dim)).select(F.xxhash64(idc).alias("id"), F.col(vector))
     return src.mapInArrow(run, "cell long, block int, id long, v binary")
 
 
@@ -161,12 +187,8 @@ def fragments(x: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cell_links(cells: DataFrame, dim: int, cut: float, parts: int) -> DataFrame:
-    """(a, b, sure, cell, v): star links of each block's components and doubtful single links.
-
-    Rows with v are the representatives of the components of a spread cell's block.
-    """
+    """(a, b, sure): star links of each block's components and doubtful single links."""
     ship(cells.sparkSession)
-    names = ["a", "b", "sure", "cell", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -184,28 +206,17 @@ def cell_links(cells: DataFrame, dim: int, cut: float, parts: int) -> DataFrame:
         del t, got
         at = np.flatnonzero(group)
         for s, e in zip(at, np.append(at[1:], len(cell))):
-            if e - s < 2 and not block[s]:
+            if e - s < 2:
                 continue
             own = ids[s:e]
             x = unpack(vec.slice(s, e - s), dim)
             lab, near = fragments(x, cut)
             inside = np.flatnonzero(np.bincount(lab, minlength=e - s)[lab] > 1)
-            lead = np.zeros(0, np.int64)
-            if block[s]:  # per component the row nearest to its sum
-                total = np.zeros_like(x)
-                np.add.at(total, lab, x)
-                fit = np.einsum("ij,ij->i", x, total[lab])
-                o = np.lexsort((-fit, lab))
-                lead = o[np.diff(lab[o], prepend=-1) != 0]
-            a = np.concatenate([own[lab[inside]], own[near[0]], own[lead]])
-            b = np.concatenate([own[inside], own[near[1]], own[lead]])
-            sure = np.ones(len(a), bool)
-            sure[len(inside) : len(inside) + near.shape[1]] = False
-            k = len(a) - len(lead)
-            v = pa.concat_arrays([pa.nulls(k, pa.binary()), vec.slice(s, e - s).take(pa.array(lead))])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure), pa.array(np.full(len(a), cell[s])), v], names=names)
-
-    return cells.repartition(parts, "cell", "block").mapInArrow(run, "a long, b long, sure boolean, cell long, v binary")
+            a = np.concatenate([own[lab[inside]], own[near[0]]])
+            b = np.concatenate([own[inside], own[near[1]]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) < len(inside))], names=["a", "b", "sure"])
+
+    return cells.repartition(parts, "cell", "block").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def exact_links(doubt: DataFrame, records: DataFrame, idc: str, vector: str, dim: int, cut: float) -> DataFrame:

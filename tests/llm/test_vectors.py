@@ -1,5 +1,6 @@
 import numpy as np
 
+from corpuslens.llm import vectors
 from corpuslens.llm.clusters import clusters, typical_members
 from corpuslens.llm.graph import Graph
 from corpuslens.llm.neighbours import neighbours, pairs_of
@@ -136,3 +137,20 @@ def test_fragments_dense_and_sparse():
 
 def test_refinement_grows():
     assert refinement(1000, 64) == 0 and refinement(10**6, 64) <= 64 and refinement(10**6, 64) >= 8
+
+
+def test_every_two_rows_of_a_hot_cell_meet(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 60)
+    r = np.random.RandomState(8)
+    c = r.randn(64)
+    rows = [(f"h{i:04}", (c + r.randn(64) * 0.03).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(f"r{i:04}", r.randn(64).astype(np.float32).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "cid string, emb array<float>").coalesce(1).sortWithinPartitions("cid").repartitionByRange(6, "cid")
+    cells = vectors.gridded(df, "cid", "emb", 64, 2, 320_000).select("cell", "block", "id").collect()
+    inside, blocks = {}, {}
+    for x in cells:
+        inside.setdefault(x.cell, set()).add(x.id)
+        blocks.setdefault((x.cell, x.block), set()).add(x.id)
+    met = {(k[0], a, b) for k, v in blocks.items() for a in v for b in v}
+    assert max(len(v) for v in inside.values()) > 120 and max(len(v) for v in blocks.values()) < 120
+    assert all((k, a, b) in met for k, v in inside.items() for a in v for b in v)
