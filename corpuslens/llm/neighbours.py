@@ -2,8 +2,9 @@
 
 1. Sharding: records linked (directly or through others) at the threshold belong together, and no
    wanted pair crosses two such groups; the groups come from the grids of ``vectors``. A group of
-   more than SHARD_ROWS records is cut by the cells of three grids, so its records are in up to
-   three overlapping shards.
+   more than SHARD_ROWS records is cut into parts by id, and each pair of parts is a shard, so
+   every two of its records meet in a shard; there a matrix product replaces steps 2 and 3, since
+   a beam search of bounded width loses neighbours in so dense a shard.
 2. In each shard a directed graph is built: greedy searches from the shard's entry propose
    neighbours, pruning with a relaxed distance (alpha 1.2) keeps diverse edges.
 3. Every record is a query: a beam search in each of its shards, the best k of all shards.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.clusters import cluster_labels, count_vectors
 from corpuslens.llm.graph import Graph
-from corpuslens.llm.vectors import codes, good, refinement, rotations
+from corpuslens.llm.vectors import good
 from corpuslens.session import Stage, ship
 
 SHARD_ROWS, PACK_ROWS = 8192, 16384
@@ -59,30 +60,15 @@ def _floats(raw: list[bytes], dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
-def _sharded(stored: DataFrame, dim: int, fine: int) -> DataFrame:
-    """(shard, id, name, x): large groups by the cells of three grids, the others whole."""
-    rots = rotations(dim, 3, seed=17)
+def _cut(stored: DataFrame) -> DataFrame:
+    """(shard, id, name, x): groups of several parts by pairs of their parts."""
+    n, i, j = F.col("parts"), F.pmod(F.xxhash64("id", F.lit(17)), F.col("parts")), F.col("other")
+    cut = stored.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).filter(i != j)
+    return cut.select(F.xxhash64("label", F.least(i, j), F.greatest(i, j)).alias("shard"), "id", "name", "x")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            label, big = b["label"].to_numpy(), b["big"].to_numpy(zero_copy_only=False)
-            body = [b["id"], b["name"], b["x"]]
-            small = pa.array(~big)
-            yield pa.RecordBatch.from_arrays([pa.array(label).filter(small), *(c.filter(small) for c in body)], names=["shard", "id", "name", "x"])
-            if big.any():
-                own = [c.filter(pa.array(big)) for c in body]
-                x = _floats(own[2].to_pylist(), dim)
-                for t, r in enumerate(rots):
-                    cell = (codes(x, r, fine) * 3 + t + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    yield pa.RecordBatch.from_arrays([pa.array(label[big] ^ cell.view(np.int64)), *own], names=["shard", "id", "name", "x"])
-
-    return stored.mapInArrow(run, "shard long, id long, name string, x binary")
-
-
-def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degree: int, beam: int) -> DataFrame:
-    """(a, b, cosine): up to k best neighbours b of each a in each shard."""
+
+def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degree: int, beam: int, exact: bool = False) -> DataFrame:
+    """(a, b, cosine): up to k best neighbours b of each a in each shard, by graph or exactly."""
     def pack(shard, ids, names, raw):  # noqa: ANN001, ANN202
         # Of identical vectors the k + 1 smallest names are in the graph; the others' neighbours are the k smallest.
         _, same, n_same = np.unique(np.array(raw, dtype=object), return_inverse=True, return_counts=True)
@@ -100,13 +86,25 @@ def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degre
         v = _floats(raw, dim)
         at = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
         n = np.diff(np.append(at, len(shard)))
-        g = Graph(v.astype(np.float32), np.repeat(at, n), np.repeat(n, n), degree, beam).build()
-        rows = np.flatnonzero(np.repeat(n, n) > 1)
-        got, _ = g.search(rows, beam + beam // 2)
         # Exact cosines decide the order; a few more than k, since single precision may swap ties.
-        got = got[:, : k + 5]
-        i, j = np.repeat(rows, got.shape[1]), got.ravel()
-        i, j = i[j >= 0], j[j >= 0]
+        if exact:
+            w, i, j = v.astype(np.float32), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, m in zip(at, n):
+                for a in range(s, s + m if m > 1 else s, 1024):
+                    q = np.arange(a, min(a + 1024, s + m))
+                    c = w[q] @ w[s : s + m].T
+                    c[np.arange(len(q)), q - s] = -2
+                    near = np.argpartition(-c, min(k + 5, m - 1) - 1, axis=1)[:, : min(k + 5, m - 1)] + s
+                    i.append(np.repeat(q, near.shape[1]))
+                    j.append(near.ravel())
+            i, j = np.concatenate(i), np.concatenate(j)
+        else:
+            g = Graph(v.astype(np.float32), np.repeat(at, n), np.repeat(n, n), degree, beam).build()
+            rows = np.flatnonzero(np.repeat(n, n) > 1)
+            got, _ = g.search(rows, beam + beam // 2)
+            got = got[:, : k + 5]
+            i, j = np.repeat(rows, got.shape[1]), got.ravel()
+            i, j = i[j >= 0], j[j >= 0]
         c = np.concatenate([np.einsum("ij,ij->i", v[i[s : s + 65536]], v[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
         ok = c >= least
         i, j, c = i[ok], j[ok], c[ok]
@@ -148,14 +146,18 @@ def neighbours(records: DataFrame, idc: str, vector: str, k: int, least: float,
     stage = Stage(spark, "neighbours")
     rows = count_vectors(records, vector, dim)
     lab = stage.put(cluster_labels(records, idc, vector, least, dim, grids, stage), "labels").distinct()
-    size = lab.groupBy("label").agg((F.count("*") > SHARD_ROWS).alias("big"))
-    where = stage.put(lab.join(size, "label").select("id", "label", "big"), "where")
-    shards = _sharded(_stored(records, idc, vector, dim).join(where, "id").select("id", "name", "x", "label", "big"), dim, refinement(rows, dim))
+    cuts = F.when(F.count("*") > SHARD_ROWS, F.ceil(F.count("*") * 2 / SHARD_ROWS)).otherwise(1).cast("long")
+    size = lab.groupBy("label").agg(cuts.alias("parts"))
+    where = stage.put(lab.join(size, "label").select("id", "label", "parts"), "where")
+    at = _stored(records, idc, vector, dim).join(where, "id").select("id", "name", "x", "label", "parts")
+    single = where.filter("parts > 1").isEmpty()
+    shards = at.filter("parts = 1").select(F.col("label").alias("shard"), "id", "name", "x")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000)
     found = _search(shards, dim, k, least, parts, degree, beam)
-    if where.filter("big").isEmpty():  # every record is in one shard
+    if single:  # every record is in one shard
         return found
-    found = stage.put(found.distinct(), "found")
+    found = found.unionByName(_search(_cut(at), dim, k, least, parts, degree, beam, exact=True))
+    found = stage.put(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "found")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 12)).alias("d"), "b", "cosine"))), 1, k)
     return found.groupBy("a").agg(best.alias("n")).select("a", F.explode("n").alias("n")).select("a", "n.b", "n.cosine")
 

@@ -1,5 +1,6 @@
 import numpy as np
 
+from corpuslens.llm import neighbours as neighbours_module
 from corpuslens.llm import vectors
 from corpuslens.llm.clusters import clusters, typical_members
 from corpuslens.llm.graph import Graph
@@ -154,3 +155,17 @@ def test_every_two_rows_of_a_hot_cell_meet(spark, monkeypatch):
     met = {(k[0], a, b) for k, v in blocks.items() for a in v for b in v}
     assert max(len(v) for v in inside.values()) > 120 and max(len(v) for v in blocks.values()) < 120
     assert all((k, a, b) in met for k, v in inside.items() for a in v for b in v)
+
+
+def test_neighbours_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(neighbours_module, "SHARD_ROWS", 150)
+    r = np.random.RandomState(9)
+    c = r.randn(64)
+    rows = [(f"n{i:04}", (c + r.randn(64) * 0.35).astype(np.float32).tolist()) for i in range(700)]
+    ids, s = brute(rows)
+    np.fill_diagonal(s, -1)
+    want = {(ids[i], ids[j]) for i in range(len(ids)) for j in np.argsort(-s[i], kind="stable")[:3] if s[i, j] >= 0.85}
+    found = neighbours(spark.createDataFrame(rows, "cid string, emb array<float>"), "cid", "emb", 3, 0.85)
+    got = [(x.a, x.b) for x in found.collect()]
+    recall = len(want & set(got)) / len(want)
+    assert len(want) > 1500 and len(got) == len(set(got)) and recall >= 0.99, recall
