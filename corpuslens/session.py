@@ -3,13 +3,16 @@
 Iterative operators must cut their lineage. They do it by writing a Parquet table into the
 folder named by ``spark.checkpoint.dir`` (shared by all executors), so that the loss of an
 executor costs nothing but a re-read. Where the setting is absent (tests, notebooks on one
-machine) a temporary folder takes its place.
+machine) a temporary folder takes its place; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +38,41 @@ def build_session(app: str = "corpuslens", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables: ``spark.checkpoint.dir``, else a temporary one of this process."""
+    """The folder for staged tables: ``spark.checkpoint.dir``; in local mode else a temporary one of this process."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="corpuslens-"))
+        atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)
     return _LOCAL_DIR[0]
 
 
+def write_once(spark: SparkSession, write: Callable[[], None]) -> None:
+    """Runs a write and lets its shuffle files go: what was written is read from its table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        write()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of staged data."""
+    if not hasattr(spark, "_jvm"):
+        return  # Spark Connect: the folder is emptied by its owner
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Stage:
     """Numbered Parquet tables of one run of an operator under the shared folder."""
 
@@ -58,13 +87,18 @@ class Stage:
         path = f"{self.root}/{label}-{self.n}"
         self.n += 1
         schema = df.schema
-        df.write.parquet(path)
+        write_once(self.spark, lambda: df.write.parquet(path))
         self.paths[label] = path
         return self.spark.read.schema(schema).parquet(path)
 
+    def done(self, *labels: str) -> None:
+        """Removes tables that nothing reads any more."""
+        for x in labels:
+            if x in self.paths:
+                self.drop(self.paths.pop(x))
+
     def drop(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        remove(self.spark, path)
 
     def replace(self, df: DataFrame, label: str) -> DataFrame:
         """Like put, then removes the table that had this label before (df may read it)."""
