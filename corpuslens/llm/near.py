@@ -1,16 +1,13 @@
-"""Near-duplicate texts: bottom-k sketches, inverted lists, union sketch, exact Jaccard.
-
-1. Texts with the same shingle set form a copy group; only its smallest id goes on, so a text that
-   is repeated a million times costs one sketch.
-2. Each retained value of the sketch (values common in the corpus included where a text consists of
-   them; their lists are joined whole) becomes a row (value, id, union sketch). Rows with the same
-   value are joined; inside the join, where no pair has been written yet, lengths and the union
-   sketch reject nearly all candidates. Only what passes is shuffled.
+"""Near-duplicate texts: bottom-k sketches, inverted lists, union estimate, exact Jaccard.
+
+1. Texts are sketched once, into a staged table. Texts with the same shingle set are one vertex, so
+   a text that is repeated a million times is in the inverted lists once.
+2. Each list value of a sketch (see ``sketch``: the rare end of the bottom-k sketch, long enough
+   that no pair is missed) becomes a row (value, set, union places). Rows with the same value are
+   joined; inside the join, where no pair has been written yet, sizes and the union estimate
+   reject nearly all meetings. Only what passes is shuffled.
 3. Distinct candidates are verified on the whole texts.
 
-At k = 12 and a resemblance of 0.7 two sketches share no value with a probability of about 1e-5,
-also in a family of copies of any size.
-
 Defined results: null, empty and short texts resemble nothing; copies resemble each other with 1;
 ids are expected to be distinct (rows that repeat an id and its text change nothing); null ids
 are ignored; empty tables give empty results; extra columns are ignored.
@@ -18,13 +15,16 @@ are ignored; empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.sketch import count_levels, exact_pairs, may_resemble, sketches
+from corpuslens.llm.sketch import count_cells, exact_pairs, lists, may_resemble, sketches
 from corpuslens.session import Stage
 
-WORDS, MIN_WORDS, KEEP = 3, 12, 12
+WORDS, MIN_WORDS = 3, 12
+PASSES = 2  # the lists are joined in so many parts, so that only one of them lies in shuffle files
 
 
 def keyed(df: DataFrame, idc: str, text: str) -> DataFrame:
@@ -32,36 +32,37 @@ def keyed(df: DataFrame, idc: str, text: str) -> DataFrame:
     return df.filter(F.col(idc).isNotNull()).select(F.xxhash64(idc).alias("id"), F.col(idc).alias("name"), F.col(text).alias("text"))
 
 
-def postings(reps: DataFrame, side: str) -> DataFrame:
-    return reps.select(F.explode("vals").alias("value"), F.col("id").alias(f"id_{side}"), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
-
-
-def candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (id_a, id_b), id_a < id_b, that share a retained value and pass the union sketch."""
-    j = postings(reps, "a").join(postings(reps, "b"), "value")
-    return j.filter((F.col("id_a") < F.col("id_b")) & may_resemble("a", "b", threshold)).select("id_a", "id_b").distinct()
+def candidates(sk: DataFrame, threshold: float, part: int) -> DataFrame:
+    """Distinct (set_1, set_2), set_1 < set_2, that meet in a list value of one part and pass ``may_resemble``."""
+    p = lists(sk, "set_a").filter(F.pmod("value", F.lit(PASSES)) == part).repartition("value").distinct()
+    side = lambda s: p.select("value", F.col("set_a").alias(f"set_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+    j = side("1").join(side("2"), "value")
+    return j.filter((F.col("set_1") < F.col("set_2")) & may_resemble("1", "2", threshold)).select("set_1", "set_2").distinct()
 
 
 class NearDuplicates:
-    """The parts of one run: representatives, copies and verified pairs of representatives."""
+    """The parts of one run: sets, copies and verified pairs of representatives."""
 
-    def __init__(self, df: DataFrame, idc: str, text: str, threshold: float, words: int = WORDS, min_words: int = MIN_WORDS, keep: int = KEEP):
+    def __init__(self, df: DataFrame, idc: str, text: str, threshold: float, words: int = WORDS, min_words: int = MIN_WORDS):
         stage = Stage(df.sparkSession, "near")
         t = keyed(df, idc, text)
-        levels = count_levels(t, "text", words, min_words)
-        sk = sketches(t, "id", "text", levels, words, min_words, keep)
-        groups = sk.groupBy("set_a", "set_b").agg(
-            F.min(F.struct("id", "lo", "hi", "vals")).alias("_r"), F.count_distinct("id").alias("copies"))
-        self.reps = stage.put(groups.select("set_a", "set_b", "copies", "_r.*"), "reps")
-        cand = stage.put(candidates(self.reps, threshold), "candidates")
-        # Texts of the candidates only: a semi join on ids before the texts move.
-        need = cand.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+        counts = count_cells(t, "text", words, min_words)
+        sk = stage.put(sketches(t, "id", "text", counts, threshold, words, min_words), "sketches")
+        sets = sk.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
+        self.sets = stage.put(sets, "sets")
+        found = [stage.put(candidates(sk, threshold, p), f"candidates{p}") for p in range(PASSES)]
+        cand = reduce(DataFrame.unionByName, found).distinct()
+        member = sk.select("id", "set_a", "set_b").join(self.sets.filter("copies > 1").select("set_a", "set_b", "rep"), ["set_a", "set_b"])
+        self._copies = stage.put(member.select("id", "rep"), "members")
+        stage.done("sketches")
+        rep = lambda s: self.sets.select(F.col("set_a").alias(f"set_{s}"), F.col("rep").alias(f"id_{s}"))
+        ids = stage.put(cand.join(rep("1"), "set_1").join(rep("2"), "set_2").select("id_1", "id_2"), "ids")
+        need = ids.select(F.explode(F.array("id_1", "id_2")).alias("id")).distinct()
         texts = t.join(need, "id", "left_semi").dropDuplicates(["id"])
-        pair = cand.join(texts.select(F.col("id").alias("id_a"), F.col("name").alias("name_a"), F.col("text").alias("text_a")), "id_a").join(
-            texts.select(F.col("id").alias("id_b"), F.col("name").alias("name_b"), F.col("text").alias("text_b")), "id_b")
-        self.pairs = stage.put(exact_pairs(pair, "text_a", "text_b", threshold, words, min_words), "pairs")
-        dup = self.reps.filter("copies > 1").select("set_a", "set_b", F.col("id").alias("rep"))
-        self._copies = sk.select("id", "set_a", "set_b").join(dup, ["set_a", "set_b"]).select("id", "rep")
+        full = lambda s: texts.select(F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}"), F.col("text").alias(f"text_{s}"))
+        pair = ids.join(full("1"), "id_1").join(full("2"), "id_2")
+        self.pairs = stage.put(exact_pairs(pair, "text_1", "text_2", threshold, words, min_words), "pairs")
+        stage.done("ids", *[f"candidates{p}" for p in range(PASSES)])
         self._names, self._stage, self._has = t.select("id", "name"), stage, None
 
     @property
@@ -76,16 +77,13 @@ class NearDuplicates:
         """(name_a, name_b), name_a < name_b: every pair, copies expanded."""
         c = self.copies
         other = lambda s: c.select(F.col("rep").alias(f"id_{s}"), F.col("name").alias(f"copy_{s}"))
-        p = self.pairs.join(other("a"), "id_a", "left").join(other("b"), "id_b", "left").select(
-            F.coalesce("copy_a", "name_a").alias("x"), F.coalesce("copy_b", "name_b").alias("y"))
+        p = self.pairs.join(other("1"), "id_1", "left").join(other("2"), "id_2", "left").select(
+            F.coalesce("copy_1", "name_1").alias("x"), F.coalesce("copy_2", "name_2").alias("y"))
         inner = c.select("rep", F.col("name").alias("x")).join(c.select("rep", F.col("name").alias("y")), "rep").filter("x < y").select("x", "y")
         return p.unionByName(inner).select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
 
     def links(self) -> DataFrame:
-        """(a, b): the pairs of representatives and a star for each copy group."""
-        c = self.copies
-        lead = c.groupBy("rep").agg(F.min("name").alias("a"))
-        star = c.join(lead, "rep").filter("a != name").select("a", F.col("name").alias("b"))
-        rep = self._names.join(self.reps.filter("copies > 1").select("id"), "id").select(F.col("id").alias("rep"), F.col("name").alias("b"))
-        tie = rep.distinct().join(lead, "rep").filter("a != b").select("a", "b")
-        return self.pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).unionByName(star).unionByName(tie)
+        """(a, b): the pairs of representatives and a star around the representative of each copy group."""
+        lead = self.copies.join(self._names.select(F.col("id").alias("rep"), F.col("name").alias("a")).distinct(), "rep")
+        star = lead.filter("a != name").select("a", F.col("name").alias("b"))
+        return self.pairs.select(F.col("name_1").alias("a"), F.col("name_2").alias("b")).unionByName(star)

@@ -1,195 +1,317 @@
 """Word-shingle sketches of texts, computed a batch at a time.
 
 Words are maximal runs of letters, digits and ``_``, lower-cased; a shingle is a run of ``words``
-of them; its one hash function gives 48 bits. Everything else comes from that hash:
+of them; one hash function gives it 48 bits. Everything else comes from that hash:
 
 * the set key (two sums over all shingles) is equal for texts with the same shingle set;
-* the retained values are the k smallest hashes of the shingles up to a frequency level, for each
-  level from 0 to the first that at most HOT_SHARE of the text's shingles exceed. Levels come from
-  a count table of fixed size, so phrases found all over the corpus are retained only by texts
-  that consist of them. Of two similar texts the one whose levels end first ends at a level both
-  have: what is more frequent is at most HOT_SHARE of it, so up to that level a resemblance of
-  0.7 is still 0.62, and the k smallest hashes there miss it with a probability of 1e-5 (k = 12);
-* the union sketch has 28 minima of affine remixes of the hash, four bits each: the share of
-  equal places estimates the Jaccard similarity over the union of two sets.
-
-Null texts and texts with fewer than ``min_words`` words have no sketch. Texts are used whole.
+* the bottom-k sketch of a text is its KEEP smallest hashes. Two texts with a resemblance of the
+  threshold or more share at least ``least_shared`` of them: exactly that many if the sketches are
+  whole sets, else with a probability of 1 - RISK (the shared ones among the k smallest of the
+  union are a hypergeometric sample);
+* so under any common order each text needs only the first k - least_shared + 1 values of its
+  sketch in the inverted lists, and no pair is missed. The order is rare first: by a count table
+  of fixed size over all texts, so that phrases found all over the corpus make no lists, and a
+  family of edited copies of any size still meets in the shingles that it shares. A value carries
+  how many of its sketch follow it in that order, itself included: no more can be shared by two
+  texts that meet there first, which rejects most meetings at once;
+* the estimate over the union of two sketches: the hash range is cut into PLACES equal parts, and
+  two bits of each part's smallest hash are kept. Where the smallest of the union is in both
+  texts, the places are equal. ``may_resemble`` bounds the number of places that differ.
+
+A batch is one array of code points: no Python runs for each word. Null texts and texts with fewer
+than ``min_words`` words have no sketch. Texts are used whole, however long they are.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.session import ship
 
 WORD = re.compile(r"\w+")
-PLACES, LO_PLACES = 28, 16
+KEEP = 128
+RISK = 1e-7  # chance that two texts at the threshold share fewer values than least_shared
+PLACES, LO_PLACES = 52, 32
 TABLE_BITS = 18
-HOT_SHARE = 0.2  # share of a text's shingles that may be left out as too frequent
-MAX_DOCS = 1 << 16  # documents in one numpy batch: the number shares a word with the hash
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_ODD = (np.random.RandomState(11).randint(0, 2**31, PLACES).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADD = np.random.RandomState(12).randint(0, 2**31, PLACES).astype(np.uint32)
-_SEEN: dict[str, int] = {}
+BLOCK = 1 << 20  # characters in one array
+ROWS = 1 << 14  # texts at a time: their number shares a word with the hash
+END = "\ud800"  # no text contains it
+_U = np.uint64
+_M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
+_HASH = _U((1 << 48) - 1)
 
 
-def _word(w: str) -> int:
-    h = _SEEN.get(w)
-    if h is None:
-        if len(_SEEN) >= 1 << 18:
-            _SEEN.clear()
-        h = _SEEN[w] = xxhash.xxh3_64_intdigest(w)
-    return h
+@lru_cache(maxsize=1)
+def _word_signs() -> np.ndarray:
+    """For each code point whether it belongs to a word, as ``\\w`` has it."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _M1
-    x = (x ^ (x >> np.uint64(33))) * _M2
-    return x ^ (x >> np.uint64(33))
+    x = (x ^ (x >> _U(33))) * _M1
+    x = (x ^ (x >> _U(33))) * _M2
+    return x ^ (x >> _U(33))
+
+
+def _hashed(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of its part) of lower-cased parts."""
+    cp = np.frombuffer((END.join(parts) + END).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _word_signs()[cp]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, n = edge[::2], np.diff(edge)[::2]
+    if not len(start):
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    first = np.cumsum(n) - n
+    at = np.flatnonzero(inside)
+    place = (np.arange(len(at)) - np.repeat(first, n)).astype(_U)
+    x = (cp[at].astype(_U) + (place << _U(21))) * _U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> _U(29))) * _M2
+    x ^= x >> _U(32)
+    return mix(np.add.reduceat(x, first) + n.astype(_U)), np.searchsorted(np.flatnonzero(cp == 0xD800), start)
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in parts of about BLOCK characters, cut between words."""
+    at = 0
+    while len(text) - at > BLOCK:
+        cut = re.compile(r"\W").search(text, at + BLOCK)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of its text) of all texts."""
+    hashes, owners, parts, own, size = [], [], [], [], 0
+    for i, t in enumerate([*texts, None]):
+        for p in _pieces(t.lower()) if t else ():
+            parts.append(p)
+            own.append(i)
+            size += len(p)
+        if parts and (size >= BLOCK or i == len(texts)):
+            h, part = _hashed(parts)
+            hashes.append(h)
+            owners.append(np.array(own)[part])
+            parts, own, size = [], [], 0
+    if not hashes:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def shingle_keys(texts: list, words: int, min_words: int) -> np.ndarray:
-    """Sorted distinct document number << 48 | shingle hash of at most MAX_DOCS texts."""
-    flat: list[int] = []
-    ends = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            w = WORD.findall(t.lower())
-            if len(w) >= min_words:
-                flat += map(_word, w)
-        ends[i] = len(flat)
-    w = np.array(flat, np.uint64)
-    if len(w) < words:
-        return np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    """Sorted distinct text number << 48 | shingle hash of at most 2^16 texts."""
+    w, doc = word_hashes(texts)
     m = len(w) - words + 1
-    h = np.zeros(m, np.uint64)
+    if m < 1:
+        return np.zeros(0, _U)
+    h = np.zeros(m, _U)
     for k in range(words):
-        h = mix(h + w[k : k + m] * np.uint64(2 * k + 3))
-    one = doc[:m] == doc[words - 1 :]
-    return np.unique((doc[:m][one].astype(np.uint64) << np.uint64(48)) | (h[one] >> np.uint64(16)))
+        h = mix(h + w[k : k + m] * _U(2 * k + 3))
+    long = np.bincount(doc, minlength=len(texts)) >= min_words
+    one = (doc[:m] == doc[words - 1 :]) & long[doc[:m]]
+    keys = (doc[:m][one].astype(_U) << _U(48)) | (h[one] >> _U(16))
+    keys.sort()
+    return keys[np.diff(keys, prepend=~keys[:1]) != 0]
 
 
 def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    doc = (keys >> np.uint64(48)).astype(np.int64)
+    """(text number, first key, number of keys) of each text that has keys."""
+    doc = (keys >> _U(48)).astype(np.int64)
     at = np.flatnonzero(np.diff(doc, prepend=-1))
     return doc[at], at, np.diff(np.append(at, len(doc)))
 
 
-def union_sketch(keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """lo: 16 places; hi: 12 places << 16 | number of shingles (65535 stands for more)."""
-    h = (keys ^ (keys >> np.uint64(17))).astype(np.uint32)
-    lo, hi = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for j in range(PLACES):
-        x = h * _ODD[j] + _ADD[j]
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x2C1B3C6D)
-        least = np.minimum.reduceat(x, at)
-        nib = (((least * np.uint32(0x9E3779B1)) >> np.uint32(28))).astype(np.uint64)
-        if j < LO_PLACES:
-            lo |= nib << np.uint64(4 * j)
-        else:
-            hi |= nib << np.uint64(4 * (j - LO_PLACES) + 16)
-    return lo, hi | np.minimum(n, 65535).astype(np.uint64)
-
-
-def retained(level: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the retained shingles; level: of each shingle, by text and hash; n: shingles of each text."""
-    doc = np.repeat(np.arange(len(n)), n)
-    keep = np.zeros(len(level), bool)
-    live = np.ones(len(n), bool)
-    for top in range(int(level.max(initial=0)) + 1):
-        at = np.flatnonzero((level <= top) & live[doc])
-        start = np.searchsorted(doc[at], np.arange(len(n)))
-        keep[at[np.arange(len(at)) - start[doc[at]] < k]] = True
-        live &= np.bincount(doc[level > top], minlength=len(n)) > HOT_SHARE * n
-        if not live.any():
-            break
-    return keep
-
-
-def count_levels(texts: DataFrame, text: str, words: int, min_words: int, rare: float = 2.0**-10) -> bytes:
-    """A level for each of 2^18 hash cells: 0 up to rare * N texts, then one more per doubling.
-
-    Counts cover all texts. The table has a fixed size, whatever the corpus (256 KiB).
+@lru_cache(maxsize=8)
+def least_shared(threshold: float, k: int) -> np.ndarray:
+    """For each number n of shingles, how many values of two bottom-k sketches are shared at least.
+
+    Entry n holds for a text of n shingles and any partner at the threshold; the last one for all
+    larger n too. Partners have threshold * n to n / threshold shingles.
     """
+    top = 4 * k
+    logf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 8 * top)))])
+    choose = lambda a, b: logf[a] - logf[b] - logf[np.maximum(a - b, 0)]
+    x = np.arange(k + 1)
+    out = np.zeros(top + 1, np.int64)
+    for n in range(1, top):
+        m = np.arange(int(np.ceil(n * threshold - 1e-9)), int(np.floor(n / threshold + 1e-9)) + 1)
+        s = np.ceil((n + m) * threshold / (1 + threshold) - 1e-9).astype(int)
+        u = n + m - s
+        whole = s[u <= k]
+        least = whole.min() if len(whole) else k
+        s, u = s[u > k, None], u[u > k, None]
+        if len(s):
+            ok = (x <= s) & (k - x <= u - s)
+            p = np.where(ok, np.exp(choose(s, np.minimum(x, s)) + choose(u - s, np.minimum(k - x, u - s)) - choose(u, np.full_like(u, k))), 0.0)
+            least = min(least, int((np.cumsum(p, 1) > RISK).argmax(1).min()))
+        out[n] = least
+    tail = np.cumsum([comb(k, i) * threshold**i * (1 - threshold) ** (k - i) for i in x])
+    out[top] = min(int((tail > RISK).argmax()), out[top - 1])
+    return out
+
+
+@lru_cache(maxsize=8)
+def most_different(threshold: float) -> int:
+    """Places of the union estimate that differ at most, at the threshold, but for a chance of 1e-6."""
+    q = (1 - threshold) * 3 / 4
+    tail = np.cumsum([comb(PLACES, i) * q**i * (1 - q) ** (PLACES - i) for i in range(PLACES + 1)])
+    return int((tail >= 1 - 1e-6).argmax())
+
+
+def union_places(keys: np.ndarray, doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lo: 32 places; hi: 20 places << 24 | number of shingles (65535 stands for more). An empty place is 0."""
+    h = keys & _HASH
+    place = ((h >> _U(16)) * _U(PLACES)) >> _U(32)
+    row = np.repeat(np.arange(len(at)), n)
+    least = np.flatnonzero(np.diff(row * PLACES + place.astype(np.int64), prepend=-1))  # keys are sorted
+    bits = mix(h[least]) & _U(3)
+    p, r = place[least], row[least]
+    lo, hi = np.zeros(len(at), _U), np.zeros(len(at), _U)
+    low = p < LO_PLACES
+    np.bitwise_or.at(lo, r[low], bits[low] << (_U(2) * p[low]))
+    np.bitwise_or.at(hi, r[~low], bits[~low] << (_U(2) * (p[~low] - _U(LO_PLACES)) + _U(24)))
+    return lo, hi | np.minimum(n, 65535).astype(_U)
+
+
+def count_cells(texts: DataFrame, text: str, words: int, min_words: int) -> bytes:
+    """Texts with a shingle in each of 2^18 hash cells, over all texts; a table of fixed size (1 MiB)."""
     cells = 1 << TABLE_BITS
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(cells, np.int64), 0
+        total = np.zeros(cells, np.int64)
         for b in batches:
-            keys = shingle_keys(b.column(0).to_pylist(), words, min_words)
-            total += np.bincount((keys & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-            docs += len(np.unique(keys >> np.uint64(48)))
+            for s in range(0, b.num_rows, ROWS):
+                keys = shingle_keys(b.column(0).slice(s, ROWS).to_pylist(), words, min_words)
+                total += np.bincount((keys & _U(cells - 1)).astype(np.int64), minlength=cells)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], docs))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
     got = texts.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
-    docs = int(n[cell < 0].sum())
-    base = max(16.0, docs * rare)
-    level = np.zeros(cells, np.uint8)
-    level[cell[cell >= 0]] = np.clip(np.ceil(np.log2(np.maximum(n[cell >= 0], 1) / base)), 0, 30).astype(np.uint8)
-    return level.tobytes()
+    count = np.zeros(cells, np.int32)
+    count[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 31) - 1)
+    return count.tobytes()
+
 
+def sketches(texts: DataFrame, idc: str, text: str, counts: bytes, threshold: float, words: int, min_words: int, k: int = KEEP) -> DataFrame:
+    """(id, set_a, set_b, lo, hi, vals): one row per text that has a sketch; id: BIGINT column idc.
 
-def sketches(texts: DataFrame, idc: str, text: str, levels: bytes, words: int, min_words: int, k: int) -> DataFrame:
-    """(id, set_a, set_b, lo, hi, vals): one row per text that has a sketch; id: BIGINT column idc."""
+    vals: rest << 48 | value for the values that go into inverted lists, rest being how many of the
+    sketch follow, itself included (see ``lists``). Rows with a set that the task has seen lately
+    have null instead: one of them in the lists is enough.
+    """
     ship(texts.sparkSession)
-    table = texts.sparkSession.sparkContext.broadcast(levels)
+    table = texts.sparkSession.sparkContext.broadcast(counts)
+    least = least_shared(threshold, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(table.value, np.uint8)
-        for b in batches:
+        count, seen = np.frombuffer(table.value, np.int32), np.zeros(0, _U)
+        for b in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
             keys = shingle_keys(b.column(1).to_pylist(), words, min_words)
             doc, at, n = _starts(keys)
             if not len(doc):
                 continue
-            h = keys & np.uint64((1 << 48) - 1)
+            h = keys & _HASH
             sa = np.add.reduceat(mix(h), at)
-            sb = np.add.reduceat(mix(h ^ np.uint64(0x5BD1E9955BD1E995)), at)
-            lo, hi = union_sketch(h, at, n)
-            lev = level[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
-            keep = retained(lev, n, k)
-            off = np.append(0, np.cumsum(np.add.reduceat(keep.astype(np.int32), at)))
-            values = (lev[keep].astype(np.uint64) << np.uint64(43)) | (h[keep] >> np.uint64(5))
-            vals = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values.view(np.int64)))
-            ids = b.column(0).take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(x.view(np.int64)) for x in (sa, sb, lo, hi)), vals], names=["id", "set_a", "set_b", "lo", "hi", "vals"])
+            sb = np.add.reduceat(mix(h ^ _U(0x5BD1E9955BD1E995)), at)
+            lo, hi = union_places(keys, doc, at, n)
+            new = np.zeros(len(at), bool)
+            new[np.unique(sa, return_index=True)[1]] = True
+            new &= ~np.isin(sa, seen)
+            seen = np.concatenate([seen, sa[new]])[-(1 << 16) :]
+            # The bottom-k sketch, then its first values in the order of the count table.
+            row, rank = np.repeat(np.arange(len(at)), n), np.arange(len(h)) - np.repeat(at, n)
+            use = (rank < k) & new[row]
+            v, row = h[use], row[use]
+            kept = np.minimum(n, k)
+            first = kept - least[np.minimum(n, len(least) - 1)] + 1
+            o = np.lexsort((v, count[(v & _U((1 << TABLE_BITS) - 1)).astype(np.int64)], row))
+            size = np.where(new, kept, 0)
+            place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+            inside = place < np.repeat(first, size)
+            v = v[o] | ((np.repeat(size, size) - place).astype(_U) << _U(48))
+            lists = np.append(0, np.cumsum(np.where(new, first, 0))).astype(np.int32)
+            vals = pa.ListArray.from_arrays(pa.array(lists), pa.array(v[inside].view(np.int64)), mask=pa.array(~new))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *(pa.array(x.view(np.int64)) for x in (sa, sb, lo, hi)), vals],
+                                             names=["id", "set_a", "set_b", "lo", "hi", "vals"])
 
     return texts.select(idc, text).mapInArrow(run, "id long, set_a long, set_b long, lo long, hi long, vals array<long>")
 
 
-def equal_places(a: str, b: str) -> Column:
-    """How many of the 28 places of two union sketches are equal (both sides: lo_, hi_ columns)."""
-    def same(x: Column, y: Column, mask: int, n: int) -> Column:
+def lists(sk: DataFrame, *columns: str) -> DataFrame:
+    """(value, columns, lo, hi): a row per list value of the sketches; hi has the value's rest in bits 16 to 23."""
+    v = F.col("_v")
+    return sk.select(F.explode("vals").alias("_v"), *columns, "lo", "hi").select(
+        v.bitwiseAND(F.lit((1 << 48) - 1)).alias("value"), *columns, "lo",
+        F.col("hi").bitwiseOR(F.shiftleft(F.shiftrightunsigned(v, 48), 16)).alias("hi"))
+
+
+def different_places(a: str, b: str) -> Column:
+    """How many of the 52 places of two union sketches differ (both sides: lo_, hi_ columns)."""
+    def differ(x: Column, y: Column, mask: int) -> Column:
         d = x.bitwiseXOR(y)
-        d = d.bitwiseOR(F.shiftright(d, 1))
-        d = d.bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(mask))
-        return F.lit(n) - F.bit_count(d)
+        return F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(mask)))
 
-    return same(F.col(f"lo_{a}"), F.col(f"lo_{b}"), 0x1111111111111111, LO_PLACES) + same(
-        F.col(f"hi_{a}"), F.col(f"hi_{b}"), 0x1111111111110000, PLACES - LO_PLACES)
+    return differ(F.col(f"lo_{a}"), F.col(f"lo_{b}"), 0x5555555555555555) + differ(F.col(f"hi_{a}"), F.col(f"hi_{b}"), 0x5555555555000000)
 
 
-def may_resemble(a: str, b: str, threshold: float) -> Column:
-    """Filter on candidates: lengths that allow the threshold, and enough equal places.
+def may_resemble(a: str, b: str, threshold: float, k: int = KEEP) -> Column:
+    """Filter on meetings in a list: sizes, what the sketches can still share, and places that differ.
 
-    The bound is more than four standard deviations under the expectation at the threshold.
+    A pair passes at the first value that it shares, if at any. A place differs only through a
+    shingle that one text alone has, and at the threshold there are at most
+    (n_a + n_b) (1 - t) / (1 + t) of them.
     """
-    p = threshold + (1 - threshold) / 16
-    least = int(PLACES * p - 4.2 * (PLACES * p * (1 - p)) ** 0.5)
     na, nb = (F.col(f"hi_{x}").bitwiseAND(F.lit(65535)) for x in (a, b))
-    return (na >= nb * threshold) & (nb >= na * threshold) & (equal_places(a, b) >= least)
+    ra, rb = (F.shiftrightunsigned(f"hi_{x}", 16).bitwiseAND(F.lit(255)) for x in (a, b))
+    many = F.greatest(na, nb) == 65535
+    sizes = ((na >= nb * threshold - 1e-6) & (nb >= na * threshold - 1e-6)) | many
+    some = int(least_shared(threshold, k)[int(k * threshold) :].min())
+    need = F.when(F.greatest(na, nb) > k, F.lit(float(some))).otherwise((na + nb) * (threshold / (1 + threshold)) - 1e-6)
+    d, own = different_places(a, b), (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return sizes & (F.least(ra, rb) >= need) & (d <= most_different(threshold)) & ((d <= own) | many)
+
+
+def _tuples(text: str, words: int) -> frozenset:
+    w = WORD.findall(text.lower())
+    return frozenset(zip(*(w[i:] for i in range(words))))
+
+
+def resemblances(left: list, right: list, threshold: float, words: int, min_words: int) -> np.ndarray:
+    """Resemblance of each pair of texts, on whole texts; those near the threshold word by word."""
+    texts = list(dict.fromkeys(x for x in (*left, *right) if x))
+    number = {t: i for i, t in enumerate(texts)}
+    keys = shingle_keys(texts, words, min_words)
+    doc, at, n = _starts(keys)
+    start, size = np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts) + 1, np.int64)
+    start[doc], size[doc] = at, n
+    i, j = (np.array([number.get(x, len(texts)) for x in side]) for side in (left, right))
+    h = keys & _HASH
+
+    def rows(x: np.ndarray) -> np.ndarray:
+        pair = np.repeat(np.arange(len(x)), size[x])
+        inside = np.arange(len(pair)) - np.repeat(np.cumsum(size[x]) - size[x], size[x])
+        return (pair.astype(_U) << _U(48)) | h[start[x][pair] + inside]
+
+    both = np.concatenate([rows(i), rows(j)])
+    both.sort(kind="stable")
+    common = np.bincount((both[1:][both[1:] == both[:-1]] >> _U(48)).astype(np.int64), minlength=len(left))
+    union = size[i] + size[j] - common
+    r = common / np.maximum(union, 1)
+    near = (common > 0) & (r >= threshold) & ((common - 1) < threshold * (union + 1))
+    for x in np.flatnonzero(near):  # a collision of hashes could decide these
+        p, q = _tuples(left[x], words), _tuples(right[x], words)
+        r[x] = len(p & q) / len(p | q)
+    return r
 
 
 def exact_pairs(pairs: DataFrame, text_a: str, text_b: str, threshold: float, words: int, min_words: int) -> DataFrame:
@@ -201,24 +323,8 @@ def exact_pairs(pairs: DataFrame, text_a: str, text_b: str, threshold: float, wo
     at = [pairs.columns.index(f.name) for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, frozenset] = {}
-
-        def shingles(t: str) -> frozenset:
-            s = memo.get(t)
-            if s is None:
-                w = WORD.findall(t.lower()) if t else []
-                if len(memo) > 2000:
-                    memo.clear()
-                s = memo[t] = frozenset(zip(*(w[i:] for i in range(words)))) if len(w) >= min_words else frozenset()
-            return s
-
-        for b in batches:
-            r = np.zeros(b.num_rows)
-            for i, (x, y) in enumerate(zip(b.column(ia).to_pylist(), b.column(ib).to_pylist())):
-                p, q = shingles(x), shingles(y)
-                if p and q:
-                    k = len(p & q)
-                    r[i] = k / (len(p) + len(q) - k)
+        for b in (b.slice(s, 2048) for b in batches for s in range(0, b.num_rows, 2048)):
+            r = resemblances(b.column(ia).to_pylist(), b.column(ib).to_pylist(), threshold, words, min_words)
             ok = pa.array(r >= threshold)
             cols = [b.column(i).filter(ok) for i in at]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(r).filter(ok)], names=[*(f.name for f in keep), "resemblance"])

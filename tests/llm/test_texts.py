@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpuslens.llm.consolidate import hash_to_min
-from corpuslens.llm.history import History, batches_of
+from corpuslens.llm import sketch as S
+from corpuslens.llm.history import History, batches_of, groups_of
 from corpuslens.llm.mixing import mix
 from corpuslens.llm.near import NearDuplicates
 from corpuslens.llm.tokens import DEFAULT_VOCABULARY, ByteBpe, count_tokens, decode, encode
@@ -55,7 +57,7 @@ def test_near_duplicates(spark):
     assert all(groups[a] == groups[b] for a, b in want) and set(groups) == {x for p in want for x in p}
 
 
-def family(n, words=200, edits=4):
+def family(n, words=200, edits=4, shared=0):
     """n copies of one text, each with its own edits: every shared shingle is frequent, every edit rare."""
     r = random.Random(n)
     base, out = [f"f{r.randrange(5000)}" for _ in range(words)], []
@@ -63,27 +65,112 @@ def family(n, words=200, edits=4):
         w = list(base)
         for j in r.sample(range(words), edits):
             w[j] = f"own{i}x{j}"
-        out.append(" ".join(w))
+        out.append(" ".join(BOILERPLATE[:shared] + w))
     return out
 
 
-def test_near_duplicates_of_a_large_family(spark):
-    t = family(120) + [" ".join(sentence(50)) for _ in range(30)]
-    n = NearDuplicates(spark.createDataFrame([(f"c{i:04}", x) for i, x in enumerate(t)], "cid string, body string"), "cid", "body", 0.7)
-    s = [sets(x) for x in t]
-    want = {(f"c{i:04}", f"c{j:04}") for i in range(len(t)) for j in range(i + 1, len(t)) if sim(s[i], s[j]) >= 0.7}
-    assert len(want) > 7000 and {(r.name_a, r.name_b) for r in n.all_pairs().collect()} == want
+BOILERPLATE = [f"boiler{i}" for i in range(22)]
+
+
+def wanted(s, min_sim=0.7):
+    return {(f"c{i:05}", f"c{j:05}") for i in range(len(s)) for j in range(i + 1, len(s)) if sim(s[i], s[j]) >= min_sim}
+
+
+@pytest.mark.parametrize("n", [20, 80, 400])
+def test_near_duplicates_of_a_large_family(spark, n):
+    t = family(n, edits=5, shared=22) + [" ".join(BOILERPLATE + sentence(50)) for _ in range(60)]
+    found = NearDuplicates(spark.createDataFrame([(f"c{i:05}", x) for i, x in enumerate(t)], "cid string, body string"), "cid", "body", 0.7)
+    want = wanted([sets(x) for x in t])
+    assert len(want) > n and {(r.name_a, r.name_b) for r in found.all_pairs().collect()} == want
 
 
-def test_history_of_a_large_family(spark):
-    t = family(60)
-    h = History(spark, 0.7, ranges=4)
-    h.load(spark.createDataFrame(list(enumerate(t[:40])), "id long, text string"))
-    n = batches_of(spark.createDataFrame([(i, 0, x) for i, x in enumerate(t[40:])], "iid long, batch int, text string"), "iid", ["batch", "iid"], "text")
-    assert h.accept(n.drop("rec")).count() == 20
+def test_meetings_pass_the_filters():
+    """Every pair at the threshold meets in a list with room for what it shares and few places that differ."""
+    r = random.Random(11)
+    for n in (12, 30, 90, 140, 700):
+        t = []
+        for _ in range(40):
+            base = [f"g{r.randrange(10**6)}" for _ in range(n)]
+            t += [" ".join(edited(base, k)) for k in (0, max(1, n // 40), n // 18)]
+        keys = S.shingle_keys(t, 3, 12)
+        doc, at, size = S._starts(keys)
+        least, h = S.least_shared(0.7, S.KEEP), keys & S._HASH
+        lo, hi = S.union_places(keys, doc, at, size)
+        bits = [[(int(x) >> (2 * p)) & 3 for p in range(32)] + [(int(y) >> (24 + 2 * p)) & 3 for p in range(20)] for x, y in zip(lo, hi)]
+        low = [set(h[a : a + min(m, S.KEEP)].tolist()) for a, m in zip(at, size)]
+        pairs = [(i, j) for i in range(len(t)) for j in range(i) if sim(sets(t[i]), sets(t[j])) >= 0.7]
+        assert len(pairs) >= 40
+        for i, j in pairs:
+            assert len(low[i] & low[j]) >= max(least[min(size[i], len(least) - 1)], least[min(size[j], len(least) - 1)])
+            assert sum(x != y for x, y in zip(bits[i], bits[j])) <= S.most_different(0.7)
+
+
+def test_shingles_of_any_script():
+    texts = ["Ünï Tést ΣΊΣΥΦΟΣ ΣΑΣ İstanbul straße ⅷ x² 日本語 テキスト naïve", None, "", "a_b 1,5 c--d\u200be f\u0301g h i j k l m n", "x " * 40, "word " * 300_000 + "end of it"]
+    keys = S.shingle_keys(texts, 3, 1)
+    n = dict(zip(*np.unique(keys >> np.uint64(48), return_counts=True)))
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", t.lower()) if t else []
+        assert n.get(i, 0) == len(set(zip(w, w[1:], w[2:])))
+    long = "zero " * 3 + "one two three " * 400_000
+    assert len(S.word_hashes([long])[0]) == 1_200_003 and len(S.shingle_keys([long], 3, 1)) == 7 - 1
+
+
+@pytest.mark.parametrize("n", [10, 40, 300])
+def test_history_of_a_large_family(spark, tmp_path, n):
+    t = family(n + 10, edits=5, shared=22)
+    other = [" ".join(BOILERPLATE + sentence(50)) for _ in range(40)]
+    h = History(spark, str(tmp_path / "h"), 0.7)
+    h.load(spark.createDataFrame(list(enumerate(t[:n] + other[:20])), "id long, text string"))
+    b = batches_of(spark.createDataFrame([(i, 0, x) for i, x in enumerate(t[n:] + other[20:])], "iid long, batch int, text string"), "iid", ["batch", "iid"], "text")
+    got = {r.rec for r in b.join(h.accept(b.drop("rec")), "id").collect()}
+    assert got == set(range(10))
     h.close()
 
 
+def test_history_is_taken_up_again(spark, tmp_path):
+    path = str(tmp_path / "h")
+    old, new = [" ".join(sentence(40)) for _ in range(12)], [" ".join(sentence(40)) for _ in range(6)]
+    h = History(spark, path, 0.7)
+    h.load(spark.createDataFrame(list(enumerate(old)), "id long, text string"))
+    b = lambda rows: batches_of(spark.createDataFrame(rows, "iid long, batch int, text string"), "iid", ["batch", "iid"], "text")
+    assert h.accept(b([(i, 0, x) for i, x in enumerate(new)]).drop("rec")).count() == 0
+    h.close()
+    h = History.open(spark, path, max_runs=1)
+    assert h.state["records"] == 18 and len(h.state["runs"]) == 2
+    again = b([(10, 1, " ".join(edited(old[3].split(), 1))), (11, 1, new[2]), (12, 1, " ".join(sentence(40)))])
+    assert {r.rec for r in again.join(h.accept(again.drop("rec")), "id").collect()} == {10, 11}
+    assert len(h.state["runs"]) == 1 and len(h.state["texts"]) == 1  # compacted
+    h.close()
+    h = History.open(spark, path)
+    more = b([(20, 2, " ".join(edited(old[5].split(), 2))), (21, 2, None), (22, 2, new[0].upper())])
+    assert {r.rec for r in more.join(h.accept(more.drop("rec")), "id").collect()} == {20, 22}
+    h.close()
+
+
+def test_history_without_a_past(spark, tmp_path):
+    h = History(spark, str(tmp_path / "h"), 0.7)
+    chain = [list(f"w{i}" for i in range(60))]
+    for i in range(8):
+        chain.append(chain[-1][:])
+        chain[-1][7 * i + 2] = f"new{i}"
+    rows = [(i, 0, " ".join(w)) for i, w in enumerate(chain)]
+    b = batches_of(spark.createDataFrame(rows, "iid long, batch int, text string"), "iid", ["batch", "iid"], "text")
+    kept, want = [], set()
+    for i, _, t in rows:
+        if any(sim(sets(t), k) >= 0.7 for k in kept):
+            want.add(i)
+        else:
+            kept.append(sets(t))
+    assert {r.rec for r in b.join(h.accept(b.drop("rec")), "id").collect()} == want and 0 < len(want) < 8
+    h.close()
+
+
+def test_batches_are_merged_together(spark):
+    b = spark.createDataFrame([(i // 10,) for i in range(100)] + [(5000,)] * 3, "o1 long")
+    assert groups_of(b, 25) == [(0, 2), (3, 5), (6, 8), (9, 5000)] and groups_of(b.limit(0), 5) == []
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "cid string, body string")
     assert NearDuplicates(df, "cid", "body", 0.7).all_pairs().count() == 0
@@ -92,7 +179,7 @@ def test_near_duplicates_of_nothing(spark):
 
 
 @pytest.mark.parametrize("runs", [1, 4])
-def test_history(spark, runs):
+def test_history(spark, runs, tmp_path):
     old = [" ".join(sentence(40)) for _ in range(30)] + [None, "", "x y"]
     new = []
     for b in range(3):
@@ -102,7 +189,7 @@ def test_history(spark, runs):
         new += [(b, " ".join(edited(old[b].split(), 2))), (b, old[b + 5]), (b, None), (b, ""), (b, new[0][1])]
     rows = [(i, b, t, "hash", 5) for i, (b, t) in enumerate(new)]
     rng.shuffle(rows)
-    h = History(spark, 0.7, ranges=4, max_runs=runs)
+    h = History(spark, str(tmp_path / "h"), 0.7, max_runs=runs)
     o = spark.createDataFrame([(i - 1000, t) for i, t in enumerate(old)], "id long, text string")
     h.load(o)
     n = batches_of(spark.createDataFrame(rows, "iid long, batch int, text string, content_hash string, id int"), "iid", ["batch", "iid"], "text")
