@@ -30,7 +30,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return hash_to_min(_near(spark, d).links()).select("group_key", F.col("id").alias("chunk_id"))
 
 
-def p5_found(spark: SparkSession, d: str, share: float = 0.05) -> DataFrame:
+def p5_found(spark: SparkSession, d: str, share: float = 0.1) -> DataFrame:
     """Intake records that resemble a chunk or an earlier accepted record.
 
     Consecutive batches are merged together until they hold ``share`` of the history's records;

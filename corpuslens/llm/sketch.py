@@ -214,7 +214,7 @@ def sketches(texts: DataFrame, idc: str, text: str, counts: bytes, threshold: fl
     least = least_shared(threshold, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = np.frombuffer(table.value, np.int32), np.zeros(0, _U)
+        order, seen = (np.log2(np.frombuffer(table.value, np.int32) + 1.0) * 8192).astype(_U), np.zeros(0, _U)  # below 2^18
         for b in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
             keys = shingle_keys(b.column(1).to_pylist(), words, min_words)
             doc, at, n = _starts(keys)
@@ -234,7 +234,7 @@ def sketches(texts: DataFrame, idc: str, text: str, counts: bytes, threshold: fl
             v, row = h[use], row[use]
             kept = np.minimum(n, k)
             first = kept - least[np.minimum(n, len(least) - 1)] + 1
-            o = np.lexsort((v, count[(v & _U((1 << TABLE_BITS) - 1)).astype(np.int64)], row))
+            o = np.argsort((row.astype(_U) << _U(50)) | (order[(v & _U((1 << TABLE_BITS) - 1)).astype(np.int64)] << _U(32)) | (v >> _U(16)))
             size = np.where(new, kept, 0)
             place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
             inside = place < np.repeat(first, size)
