@@ -12,8 +12,15 @@ LABELS = ["fresh", "aging", "stale", "abandoned"]
 PRIORITY_AGE, PRIORITY_SIZE = 0.5, 0.5
 EVIDENCE_FULL = 3
 HALF_LIFE = 90
-# Dedup, contradiction and density thresholds by embedding dimension.
-MODEL_DEFAULTS = {384: (0.92, 0.82, 0.72), 768: (0.93, 0.84, 0.74), 1024: (0.93, 0.84, 0.74), 1536: (0.95, 0.88, 0.80), 3072: (0.95, 0.88, 0.80)}
+# Dedup, contradiction and density thresholds by embedding dimension, and known models of that dimension.
+MODEL_DEFAULTS = {384: (0.95, 0.85, 0.75), 768: (0.93, 0.82, 0.72), 1024: (0.92, 0.80, 0.70), 1536: (0.90, 0.78, 0.68), 3072: (0.88, 0.76, 0.65)}
+KNOWN_MODELS = {
+    1536: ["openai-ada-002", "openai-text-embedding-3-small"],
+    3072: ["openai-text-embedding-3-large"],
+    768: ["sentence-transformers/all-mpnet-base-v2", "BGE-base", "E5-base"],
+    1024: ["BGE-large", "E5-large", "Voyage-2", "Cohere-embed-v3"],
+    384: ["sentence-transformers/all-MiniLM-L6-v2"],
+}
 GENERIC_DEFAULTS = (0.92, 0.82, 0.72)
 
 

@@ -1,15 +1,22 @@
 """Text columns: tokens, shingles, numbers, versions, overlaps, names. All stay in the JVM.
 
-Null texts count as empty. ``(?U)`` gives Unicode classes, as in Python's ``re``.
+Null texts count as empty. Classes are spelled out (letters and numbers of any script), so that
+they mean the same in every engine; decimal digits of any script count as digits.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"(?U)\b\d+(?:[.,]\d+)?\b"
-VERSION = r"(?iU)v?(\d+\.\d+(?:\.\d+)*)\b"
+# What counts as a number, a version and white space.
+NUMBER = r"(?<![\p{L}\p{N}_])[0-9]+(?:[.,][0-9]+)?(?![\p{L}\p{N}_])"
+VERSION = r"(?i)v?([0-9]+\.[0-9]+(?:\.[0-9]+)*)(?![\p{L}\p{N}_])"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_DIGITS = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd"]
+DIGITS, PLAIN_DIGITS = "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 _EMPTY = "array<string>"
 
 
@@ -17,9 +24,15 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def _digits(c: Column | str) -> Column:
+    """The text with the decimal digits of other scripts as 0 to 9."""
+    t = _text(c)
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, DIGITS, PLAIN_DIGITS)).otherwise(t)
+
+
 def words(c: Column | str) -> Column:
     """Runs of letters, digits and _, lower-cased."""
-    return F.regexp_extract_all(F.lower(_text(c)), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_text(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def shingles_of(w: Column, k: int = 3) -> Column:
@@ -31,24 +44,24 @@ def shingles_of(w: Column, k: int = 3) -> Column:
 
 def numbers(c: Column | str) -> Column:
     """Distinct numbers; a comma is deleted, so 2,5 is 25."""
-    found = F.regexp_extract_all(_text(c), F.lit(NUMBER), F.lit(0))
+    found = F.regexp_extract_all(_digits(c), F.lit(NUMBER), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))))
 
 
 def versions(c: Column | str) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(_text(c), F.lit(VERSION), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(_digits(c), F.lit(VERSION), F.lit(1))))
 
 
 def mask_numbers(c: Column | str) -> Column:
-    return F.regexp_replace(_text(c), NUMBER, "__NUM__")
+    return F.regexp_replace(_digits(c), NUMBER, "__NUM__")
 
 
 def mask_versions(c: Column | str) -> Column:
-    return F.regexp_replace(_text(c), VERSION, "__VER__")
+    return F.regexp_replace(_digits(c), VERSION, "__VER__")
 
 
 def word_set(c: Column | str) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(_text(c)), r"(?U)\s+"), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(_text(c)), SPACE + "+"), lambda x: x != ""))
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
@@ -75,16 +88,26 @@ def preview(c: Column | str, n: int) -> Column:
 def clean_spaces(c: Column | str) -> Column:
     """Drops NUL and zero-width signs, collapses white space (NFKC: see operators.chunking)."""
     t = F.regexp_replace(_text(c), "[\\x00\\u200B\\u200C\\u200D\\uFEFF]", "")
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(t, SPACE + "+", " "))
 
 
 def slug(c: Column | str) -> Column:
-    """Collection name: lower case, other signs to -, runs collapsed, 60 characters, 3 at least."""
+    """Collection name of a text in NFKC form: lower case, other signs to -, runs collapsed, 60 characters.
+
+    Fixed values of the name format: names under 3 characters get ``doc-`` in front (``doc-pdf`` if
+    nothing is left), and ``documents`` stands for what is still too short.
+    """
     t = F.regexp_replace(F.lower(_text(c)), r"[^a-z0-9_-]", "-")
     t = F.regexp_replace(F.regexp_replace(t, "-{2,}", "-"), "^[-_]+|[-_]+$", "")
-    t = F.regexp_replace(F.substring(t, 1, 60), "[-_]+$", "")
-    return F.when(F.length(t) < 3, F.concat(t, F.lit("-collection"))).otherwise(t)
+    t = F.substring(t, 1, 60)
+    t = F.when(F.length(t) < 3, F.concat(F.lit("doc-"), F.when(t == "", "pdf").otherwise(t))).otherwise(t)
+    t = F.regexp_replace(t, "^[^a-z0-9]+|[^a-z0-9]+$", "")
+    return F.when(F.length(t) < 3, "documents").otherwise(t)
+
+
+#: Fixed value: the format of chunk names.
+CHUNK_NAME = "%s-p%03d-c%03d-%s"
 
 
 def chunk_name(collection: Column, page: Column, chunk: Column, text: Column) -> Column:
-    return F.format_string("%s-p%03d-c%03d-%s", collection, page, chunk, F.substring(F.sha1(text), 1, 8))
+    return F.format_string(CHUNK_NAME, collection, page, chunk, F.substring(F.sha1(text), 1, 8))

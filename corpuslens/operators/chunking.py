@@ -32,27 +32,26 @@ def nfkc(df: DataFrame, column: str = "text") -> DataFrame:
 def pieces(text: str | None) -> list[str]:
     """Chunks of at most SIZE characters that overlap by about OVERLAP.
 
-    A cut prefers the last sentence end in its final zone, then the last space; every step moves
-    forward; blank chunks are dropped. Null and blank texts give none.
+    A cut falls after the last full stop (or else the last space) of its final zone. The next
+    chunk begins OVERLAP before the cut, or at the cut if that is no step forward. Blank chunks
+    are dropped; a text of at most SIZE is one chunk as it is. Null and empty texts give none.
     """
-    text = (text or "").strip()
+    if not text:
+        return []
+    if len(text) <= SIZE:
+        return [text]
     out, at = [], 0
-    while at < len(text):
-        end = at + SIZE
+    while True:
+        end = min(at + SIZE, len(text))
         if end < len(text):
-            stop = text.rfind(". ", end - SENTENCE_ZONE, end)
-            if stop >= 0:
-                end = stop + 1
-            else:
-                gap = text.rfind(" ", end - WORD_ZONE, end)
-                end = gap if gap > at else end
-        piece = text[at:end].strip()
-        if piece:
+            zones = ((mark, max(at, end - zone)) for mark, zone in ((". ", SENTENCE_ZONE), (" ", WORD_ZONE)))
+            cut = next((c for c in (text.rfind(mark, low, end) for mark, low in zones) if c >= 0), -1)
+            end = cut + 1 if cut > at else end
+        if piece := text[at:end].strip():
             out.append(piece)
-        if end >= len(text):
-            break
-        at = max(end - OVERLAP, at + 1)
-    return out
+        if end == len(text):
+            return out
+        at = end - OVERLAP if end - OVERLAP > at else end
 
 
 def chunk_documents(df: DataFrame, idc: str = "doc_id", column: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ def active(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("deleted_at").isNull())
 
 
-def cluster_pairs(chunks: DataFrame, columns: list[str], cap: int = DETECTOR_CAP) -> DataFrame:
+def cluster_pairs(chunks: DataFrame, columns: list[str], cap: int = DETECTOR_CAP, needed: str | None = None) -> DataFrame:
     """All pairs a < b of clusters of 2 to cap active members; larger clusters are skipped.
 
     Sizes are counted first (partially aggregated) and oversize clusters never reach the join, so
@@ -27,6 +27,8 @@ def cluster_pairs(chunks: DataFrame, columns: list[str], cap: int = DETECTOR_CAP
     c = active(chunks).filter("cluster_id is not null").select("cluster_id", "chunk_id", *columns)
     sized = c.groupBy("cluster_id").agg(F.count("*").alias("_n")).filter(F.col("_n").between(2, cap)).select("cluster_id")
     c = c.join(sized, "cluster_id")
+    if needed:  # after the count: members without a feature make a cluster as large as any
+        c = c.filter(F.size(needed) > 0)
     side = lambda s: c.select("cluster_id", F.col("chunk_id").alias(f"chunk_{s}"), *[F.col(x).alias(f"{x}_{s}") for x in columns])
     return side("a").join(side("b"), "cluster_id").filter("chunk_a < chunk_b")
 
@@ -34,13 +36,13 @@ def cluster_pairs(chunks: DataFrame, columns: list[str], cap: int = DETECTOR_CAP
 def numeric_hits(chunks: DataFrame) -> DataFrame:
     f = chunks.withColumn("nums", text.numbers("text")).withColumn("ctx", text.word_set(text.mask_numbers("text")))
     score = text.numeric_contradiction(*(F.col(x) for x in ("nums_a", "nums_b", "ctx_a", "ctx_b")))
-    return cluster_pairs(f.filter(F.size("nums") > 0), ["nums", "ctx"]).select("cluster_id", "chunk_a", "chunk_b", score.alias("raw_score")).filter("raw_score is not null")
+    return cluster_pairs(f, ["nums", "ctx"], needed="nums").select("cluster_id", "chunk_a", "chunk_b", score.alias("raw_score")).filter("raw_score is not null")
 
 
 def version_hits(chunks: DataFrame) -> DataFrame:
     f = chunks.withColumn("vers", text.versions("text")).withColumn("ctx", text.word_set(text.mask_versions("text")))
     score = text.version_contradiction(*(F.col(x) for x in ("vers_a", "vers_b", "ctx_a", "ctx_b")))
-    return cluster_pairs(f, ["vers", "ctx"]).select("cluster_id", "chunk_a", "chunk_b", score.alias("raw_score")).filter("raw_score is not null")
+    return cluster_pairs(f, ["vers", "ctx"], needed="vers").select("cluster_id", "chunk_a", "chunk_b", score.alias("raw_score")).filter("raw_score is not null")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
@@ -48,17 +50,18 @@ def group_pairs(groups: DataFrame) -> DataFrame:
     return groups.select("group_id", F.explode(F.array_distinct("member_chunk_ids")).alias("chunk_id")).filter("chunk_id is not null").distinct()
 
 
-def candidates(pairs: DataFrame, groups: DataFrame, threshold: float, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def candidates(pairs: DataFrame, groups: DataFrame, threshold: float, k: int, allowed: DataFrame | None = None, members: bool = False) -> DataFrame:
     """Pairs to be judged: top k by cosine for each query, over the threshold, minus dedup pairs, unordered.
 
     pairs: (a, b, cosine), both directions. Dedup pairs are removed after the top k, so they use
-    up places. allowed: chunk ids that may be queries; neighbours are not restricted.
+    up places. allowed: chunk ids that may be queries; neighbours are not restricted. members:
+    groups has a row per member (group_id, chunk_id) instead of lists.
     """
     if allowed is not None:
         pairs = pairs.join(allowed.select(F.col("chunk_id").alias("a")), "a", "left_semi")
     w = W.partitionBy("a").orderBy(F.desc("cosine"), F.desc("b"))
     top = pairs.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= k) & (F.col("cosine") > threshold))
-    m = group_pairs(groups)
+    m = groups.select("group_id", "chunk_id").distinct() if members else group_pairs(groups)
     dup = top.select("a", "b").join(m.select("group_id", F.col("chunk_id").alias("a")), "a").join(
         m.select("group_id", F.col("chunk_id").alias("b")), ["group_id", "b"]).select("a", "b").distinct()
     left = top.join(dup, ["a", "b"], "left_anti")

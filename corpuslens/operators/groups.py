@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens.operators.components import components
+from corpuslens.session import Stage
 
 
 def group_table(edges: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -27,11 +28,16 @@ def group_table(edges: DataFrame, chunks: DataFrame) -> DataFrame:
 def dense_ids(groups: DataFrame, label: str = "label") -> DataFrame:
     """group_id 0..n-1 in the order of the labels, without a single-task sort of all groups.
 
-    Ranges of labels are counted, the counts accumulated (one row a range), and rows numbered
-    inside their range.
+    The rows are cut into ranges of equal size by sampled quantiles of the label and staged in
+    order; ranges are counted, the counts accumulated (one row a range), and rows numbered inside
+    their range.
     """
-    g = groups.withColumn("_r", F.substring(label, 1, 2))
+    spark = groups.sparkSession
+    stage = Stage(spark, "dense-ids")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    g = groups.repartitionByRange(parts, label).sortWithinPartitions(label)
+    g = stage.put(g.withColumn("_r", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() % (1 << 33)), "ranges")
     n = g.groupBy("_r").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    g = g.join(n.withColumn("_b", before).select("_r", "_b"), "_r")
-    return g.withColumn("group_id", (F.row_number().over(W.partitionBy("_r").orderBy(label)) - 1 + F.col("_b")).cast("int")).drop("_r", "_b")
+    n = n.withColumn("_b", before).select("_r", "_b")
+    return g.join(F.broadcast(n), "_r").withColumn("group_id", (F.col("_k") + F.col("_b")).cast("int")).drop("_r", "_b", "_k")  # a row a range

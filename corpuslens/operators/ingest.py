@@ -15,16 +15,19 @@ def latest_records(feed: DataFrame, settings: DataFrame) -> DataFrame:
     return last.join(store, "collection").select("store_id", "collection", "chunk_id", F.col("r.text").alias("text"))
 
 
-def snapshot_diff(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def snapshot_diff(incoming: DataFrame, stored: DataFrame, whole: DataFrame | None = None) -> DataFrame:
     """A row per chunk of either side with its status and next version.
 
     new, unchanged (same text), updated, deleted (active, absent, in a collection that delivered
     rows), absent (already deleted or its collection delivered nothing). Only texts decide.
-    An unchanged chunk that was deleted stays deleted.
+    An unchanged chunk that was deleted stays deleted. whole: the collections that were read to
+    their end; nothing is deleted in others.
     """
     inc = incoming.select(*KEY, F.md5(F.coalesce("text", F.lit(""))).alias("new_hash"), F.lit(True).alias("seen"))
     old = stored.select(*KEY, F.md5(F.coalesce("text", F.lit(""))).alias("old_hash"), "version", "deleted_at", F.lit(True).alias("known"))
     delivered = incoming.select("store_id", "collection").distinct().withColumn("delivered", F.lit(True))
+    if whole is not None:
+        delivered = delivered.join(whole.select("collection").distinct(), "collection", "left_semi")
     j = inc.join(old, KEY, "full_outer").join(delivered, ["store_id", "collection"], "left")
     status = (
         F.when(F.col("known").isNull(), "new")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,11 @@ from pyspark.sql import Window as W
 
 from corpuslens.functions import scores, vectors
 from corpuslens.operators.components import components
+from corpuslens.operators.groups import dense_ids
 from corpuslens.session import ship
 
 CLUSTER_CAP = 2000
+BLOCK_ROWS = 20_000
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -27,11 +31,12 @@ def capped(rows: DataFrame, cluster: str, idc: str, cap: int = CLUSTER_CAP) -> D
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= cap).drop("_k")
 
 
-def cluster_cosines(rows: DataFrame, least: float = -2.0, top: int | None = None) -> DataFrame:
+def cluster_cosines(rows: DataFrame, least: float = -2.0, top: int | None = None, cap: int = CLUSTER_CAP) -> DataFrame:
     """(cluster_id, a, b, cosine), a != b, of rows (cluster_id, chunk_id, embedding).
 
-    One matrix product a cluster; clusters are capped, so a task's memory is bounded. top: only
-    the best of each a (ties: the greater id).
+    For the candidates of the pair model: one matrix product a cluster, and clusters are capped
+    for it (the scanner's own rule, see ``capped``), so a task's memory is bounded. top: only the
+    best of each a (ties: the greater id).
     """
     ship(rows.sparkSession)
 
@@ -54,17 +59,18 @@ def cluster_cosines(rows: DataFrame, least: float = -2.0, top: int | None = None
         c = t["cluster_id"][0].as_py()
         return pa.table({"cluster_id": pa.array([c] * len(i), pa.int32()), "a": pa.array(ids[i], pa.string()), "b": pa.array(ids[j], pa.string()), "cosine": s[i, j]})
 
-    return capped(rows, "cluster_id", "chunk_id").select("cluster_id", "chunk_id", "embedding").groupBy("cluster_id").applyInArrow(
+    return capped(rows, "cluster_id", "chunk_id", cap).select("cluster_id", "chunk_id", "embedding").groupBy("cluster_id").applyInArrow(
         run, "cluster_id int, a string, b string, cosine double")
 
 
-def blocked_knn(queries: DataFrame, data: DataFrame, k: int, blocks: int) -> DataFrame:
+def blocked_knn(queries: DataFrame, data: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(q, b, cosine, rank): exact k nearest rows of data for each query, itself left out.
 
-    Both sides are (id BIGINT, v). The data is cut into blocks, every query meets every block once
+    Both sides are (id BIGINT, v). The data is cut into blocks of about BLOCK_ROWS rows, every query meets every block once
     (one matrix product a block), and the k best of all blocks are kept.
     """
     ship(queries.sparkSession)
+    blocks = blocks or max(1, -(-data.count() // BLOCK_ROWS))
     d = data.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -92,22 +98,21 @@ def calibration_sample(embeddings: DataFrame, idc: str, v: str, sample: int = 20
     """(kind, cosine): baseline of hash-chosen pairs and k-neighbour cosines of a sample.
 
     The sample size is the operator's parameter (2 000 vectors and 10 000 pairs); the choice is by
-    md5, so it is the same on every run and in SQL.
+    md5, of pairs by a linear hash of their places in the order of ids, so it is the same on every
+    run and in SQL.
     """
     ship(embeddings.sparkSession)
     s = embeddings.select(F.col(idc).alias("id"), F.col(v).alias("v")).orderBy(F.md5(F.col(idc).cast("string")), idc).limit(sample)
 
     def run(t: pa.Table) -> pa.Table:
-        import hashlib
-
-        ids = t["id"].to_numpy()
+        ids = np.array(t["id"].to_pylist(), dtype=object)
         o = np.argsort(ids)
         ids, x = ids[o], _matrix(t["v"])[o]
         c = np.round(np.clip(x @ x.T, -1, 1), 9)
         i, j = np.triu_indices(len(ids), 1)
         if len(i) > pairs:
-            h = np.array([hashlib.md5(f"{a}-{b}".encode()).hexdigest() for a, b in zip(ids[i], ids[j])])
-            keep = np.argsort(h, kind="stable")[:pairs]
+            h = ((i.astype(np.int64) * 48271 + j * 16807) % 2147483647) * 69621 % 2147483647
+            keep = np.lexsort((j, i, h))[:pairs]
             i, j = i[keep], j[keep]
         base = c[i, j]
         np.fill_diagonal(c, -9)
@@ -117,6 +122,16 @@ def calibration_sample(embeddings: DataFrame, idc: str, v: str, sample: int = 20
     return s.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "kind string, cosine double")
 
 
+def sample_hash(rows: DataFrame, idc: str, sample: int = 2000) -> DataFrame:
+    """One row: a hash of the sample's ids that doesn't depend on their order."""
+    s = rows.select(F.col(idc).cast("string").alias("id")).orderBy(F.md5("id"), "id").limit(sample)
+    return s.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), ""), 256).alias("sample_hash"))
+
+
+def json_of(text: str | None) -> dict:
+    return json.loads(text) if text else {}
+
+
 def percentiles(sample: DataFrame) -> DataFrame:
     p = F.expr("percentile(cosine, array(0.5, 0.95, 0.99))")
     return sample.groupBy("kind").agg(F.count("*").alias("n"), p.alias("p")).select(
@@ -140,12 +155,12 @@ def model_default(dim: int | None) -> tuple[float, float, float]:
     return scores.MODEL_DEFAULTS[min(scores.MODEL_DEFAULTS, key=lambda x: (abs(x - dim), x))]
 
 
-def density_clusters(rows: DataFrame, cut: float, k: int = 10, core: int = 3, min_size: int = 5) -> DataFrame:
-    """(chunk_id, cluster_key, n): mutual neighbours over the cut between core rows, as components.
+def density_clusters(near: DataFrame, core: int = 3, min_size: int = 5) -> DataFrame:
+    """(chunk_id, cluster_key, n): mutual neighbours between core rows, as components of min_size or more.
 
-    rows: (cluster_id as block, chunk_id, embedding). Rows outside any cluster are noise.
+    near: (a, b, cosine), the neighbours b of each a over the density cut. Rows in no component
+    are noise.
     """
-    near = cluster_cosines(rows, cut, k)
     mutual = near.join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"]).select("a", "b")
     cores = mutual.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= core).select("a")
     e = mutual.join(cores, "a").join(cores.select(F.col("a").alias("b")), "b").filter("a < b")
@@ -154,12 +169,42 @@ def density_clusters(rows: DataFrame, cut: float, k: int = 10, core: int = 3, mi
     return lab.join(n, "label").select(F.col("id").alias("chunk_id"), F.col("label").alias("cluster_key"), "n")
 
 
-def centroids(rows: DataFrame) -> DataFrame:
-    """(cluster_id, n_chunks, centroid): mean of the unit vectors, a partially aggregated sum by place."""
-    u = rows.select("cluster_id", F.posexplode(vectors.unit(F.col("embedding"))).alias("pos", "x"))
-    m = u.groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    return m.groupBy("cluster_id").agg(F.max("n").alias("n_chunks"), F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("c")).select(
-        "cluster_id", "n_chunks", F.transform("c", lambda s: s["x"]).alias("centroid"))
+def assigned(clusters: DataFrame) -> DataFrame:
+    """(chunk_id, cluster_id): clusters (chunk_id, cluster_key) numbered in the order of their keys."""
+    ids = dense_ids(clusters.select(F.col("cluster_key").alias("label")).distinct())
+    return clusters.join(ids, clusters["cluster_key"] == ids["label"]).select("chunk_id", F.col("group_id").alias("cluster_id"))
+
+
+def silhouette(rows: DataFrame, sample: int = 2000, dim: int = 64) -> DataFrame:
+    """One row (n_clusters, n_clustered, silhouette) of rows (chunk_id, cluster_id, embedding).
+
+    Distances are squared Euclidean between unit vectors: the mean distance of a row to a cluster
+    is 2 - 2 times its product with the cluster's mean, so no pair of rows is needed. The score is
+    the mean over ``sample`` rows (the documented bound, chosen by md5) against all clusters; null
+    with fewer than two clusters.
+    """
+    ship(rows.sparkSession)
+    u = rows.select("chunk_id", "cluster_id", vectors.unit(F.col("embedding")).alias("u"))
+    c = centroids(rows.select("cluster_id", "embedding"), dim)
+    s = u.orderBy(F.md5("chunk_id"), "chunk_id").limit(sample)
+    some = F.broadcast(s.select(F.lit(1).alias("_1"), F.col("cluster_id").alias("own"), "chunk_id", "u"))  # at most ``sample`` rows
+    d = c.withColumn("_1", F.lit(1)).join(some, "_1").select(
+        "chunk_id", F.col("cluster_id") == F.col("own"), "n_chunks", (2 - 2 * vectors.dot(F.col("u"), F.col("centroid"))).alias("d")).toDF("chunk_id", "mine", "n", "d")
+    # The mean distance to the own cluster leaves the row itself (distance 0) out.
+    g = d.groupBy("chunk_id").agg(F.max(F.when(F.col("mine"), F.when(F.col("n") > 1, F.col("d") * F.col("n") / (F.col("n") - 1)))).alias("a"),
+                                  F.min(F.when(~F.col("mine"), F.col("d"))).alias("b"))
+    top = F.greatest("a", "b")
+    one = F.when(F.col("a").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
+    score = g.filter("b is not null").agg(F.avg(one).alias("silhouette")).withColumn("_1", F.lit(1))
+    n = c.agg(F.count("*").alias("n_clusters"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_clustered")).withColumn("_1", F.lit(1))
+    return n.join(F.broadcast(score), "_1").select("n_clusters", "n_clustered", "silhouette")  # one row each
+
+
+def centroids(rows: DataFrame, dim: int = 64) -> DataFrame:
+    """(cluster_id, n_chunks, centroid): mean of the unit vectors, one partially aggregated sum for each place."""
+    u = rows.select("cluster_id", vectors.unit(F.col("embedding")).alias("u"))
+    m = u.groupBy("cluster_id").agg(F.count("*").alias("n_chunks"), *[F.avg(F.col("u")[i]).alias(f"x{i}") for i in range(dim)])
+    return m.select("cluster_id", "n_chunks", F.array(*[f"x{i}" for i in range(dim)]).alias("centroid"))
 
 
 def drift(embedding: Column, centroid: Column) -> Column:
@@ -250,14 +295,22 @@ def hdbscan(x: np.ndarray, min_size: int = 5, min_samples: int = 3) -> np.ndarra
     return lab
 
 
-def block_hdbscan(rows: DataFrame, min_size: int = 5) -> DataFrame:
-    """(cluster_id as block, chunk_id, label): hdbscan of each (capped) block of rows."""
+def block_hdbscan(rows: DataFrame, min_size: int = 5, cap: int = CLUSTER_CAP) -> DataFrame:
+    """(block, chunk_id, label): the hierarchy of each block of rows (block, chunk_id, embedding).
+
+    The hierarchy is quadratic, so blocks over ``cap`` rows, which are density clusters already,
+    stay one cluster (label 0) instead.
+    """
     ship(rows.sparkSession)
 
     def run(t: pa.Table) -> pa.Table:
         ids = np.array(t["chunk_id"].to_pylist(), dtype=object)
         o = np.argsort(ids)
         lab = hdbscan(_matrix(t["embedding"])[o], min_size)
-        return pa.table({"cluster_id": pa.array([t["cluster_id"][0].as_py()] * len(o), pa.int32()), "chunk_id": pa.array(ids[o], pa.string()), "label": pa.array(lab, pa.int32())})
+        return pa.table({"block": pa.array([t["block"][0].as_py()] * len(o), pa.string()), "chunk_id": pa.array(ids[o], pa.string()), "label": pa.array(lab, pa.int32())})
 
-    return capped(rows, "cluster_id", "chunk_id").select("cluster_id", "chunk_id", "embedding").groupBy("cluster_id").applyInArrow(run, "cluster_id int, chunk_id string, label int")
+    rows = rows.select("block", "chunk_id", "embedding")
+    size = rows.groupBy("block").agg((F.count("*") > cap).alias("large"))
+    rows = rows.join(size, "block")
+    small = rows.filter("not large").drop("large").groupBy("block").applyInArrow(run, "block string, chunk_id string, label int")
+    return small.unionByName(rows.filter("large").select("block", "chunk_id", F.lit(0).cast("int").alias("label")))

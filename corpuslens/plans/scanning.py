@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import scores
 from corpuslens.operators import contradictions as C
 from corpuslens.operators import neighbourhood as N
+from corpuslens.operators.staleness import evidence_counts, scored
 from corpuslens.operators.triage import allowed, priorities
 from corpuslens.plans.catalog import CONTRADICTIONS
-from corpuslens.plans.texts import Rows, _ascii, every
+from corpuslens.plans.texts import SET
 from corpuslens.plans.vectors import CPAIRS, VEC, chunk_vectors, clustered
 from corpuslens.sources.tables import contradictions, load
 
@@ -40,7 +39,7 @@ def triage_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str, budgeted: bool = False) -> DataFrame:
-    pairs = N.cluster_cosines(clustered(spark, d)).select("a", "b", "cosine")
+    pairs = N.cluster_cosines(clustered(spark, d), top=K).select("a", "b", "cosine")
     return C.candidates(pairs, load(spark, d, "dedup_groups"), CANDIDATE, K, triage_allowed(spark, d) if budgeted else None)
 
 
@@ -54,9 +53,9 @@ def nli_candidates_budgeted(spark: SparkSession, d: str) -> DataFrame:
     return _candidates(spark, d, True).select("chunk_a", "chunk_b", F.round("cosine", 6).alias("cosine"))
 
 
-def nli_fused(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def nli_fused(spark: SparkSession, d: str) -> DataFrame:
     """Candidates judged by the lexical stand-in in both directions."""
-    t = keep(load(spark, d, "chunks").select("chunk_id", "text"))
+    t = load(spark, d, "chunks").select("chunk_id", "text")
     p = _candidates(spark, d)
     for s in "ab":
         p = p.join(t.select(F.col("chunk_id").alias(f"chunk_{s}"), F.col("text").alias(f"text_{s}")), f"chunk_{s}")
@@ -78,8 +77,7 @@ def nli_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    c = contradictions(spark, d).filter("user_resolution is null or user_resolution = 'confirmed'")
-    return c.select(F.explode(F.array("chunk_a", "chunk_b")).alias("chunk_id")).filter("chunk_id is not null").groupBy("chunk_id").agg(F.count("*").alias("n"))
+    return evidence_counts(contradictions(spark, d))
 
 
 def contradiction_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -108,12 +106,8 @@ def age_decay(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     v = chunk_vectors(spark, d).select("chunk_id", "cluster_id", "collection", "embedding", "resolved_timestamp")
     cen = N.centroids(v.filter("cluster_id is not null").select("cluster_id", "embedding"))
-    j = v.join(cen, "cluster_id", "left").withColumn("drift", N.drift(F.col("embedding"), F.col("centroid"))).drop("embedding", "centroid")
-    j = j.join(_evidence(spark, d), "chunk_id", "left").join(superseded_flags(spark, d).withColumn("sup", F.lit(1.0)), "chunk_id", "left")
-    j = j.join(_half_life(spark, d), "collection", "left")
-    age = scores.age_decay(F.col("resolved_timestamp"), F.lit(NOW).cast("timestamp"), F.coalesce("half_life_days", F.lit(scores.HALF_LIFE)))
-    s = scores.staleness(age, F.col("drift"), scores.evidence(F.col("n")), F.coalesce("sup", F.lit(0.0)))
-    return j.select("chunk_id", "collection", F.round(s, 9).alias("s"))
+    r = scored(v, cen, _evidence(spark, d), superseded_flags(spark, d), _half_life(spark, d), F.lit(NOW).cast("timestamp"))
+    return r.select("chunk_id", "collection", F.col("score").alias("s"))
 
 
 def staleness_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +131,6 @@ def staleness_page(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     triage_scored, triage_allowed, triage_summary, nli_candidates, nli_candidates_budgeted, nli_fused, nli_retune_f05, nli_backfill, contradiction_evidence,
     superseded_flags, age_decay, staleness_scored, staleness_labels, staleness_page)}
-QUERIES["nli_fused_all"] = partial(nli_fused, keep=every)
 _HL = "hl AS (SELECT collection, max(half_life_days) AS h FROM collection_settings GROUP BY 1)"
 _AGE = f"CASE WHEN resolved_timestamp IS NULL THEN 0 ELSE 1 - pow(2.0, -greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(resolved_timestamp)) / 86400e6) / coalesce(h, 90)) END"
 _TRI = f"""{_HL}, tc AS (SELECT * FROM chunks WHERE deleted_at IS NULL AND cluster_id IS NOT NULL), sz AS (SELECT cluster_id, count(*) AS n FROM tc GROUP BY 1),
@@ -152,7 +145,6 @@ def _cand(where: str) -> str:
       AND NOT EXISTS (SELECT 1 FROM dp WHERE dp.a = tk.a AND dp.b = tk.b) GROUP BY 1, 2)"""
 
 
-_WS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}.text, '')), '\s+'), lambda x: x <> ''))"
 _BEST = f"""{CONTRADICTIONS}, l AS (SELECT raw_score AS s, sum(CAST(user_resolution = 'confirmed' AS INT)) AS p, count(*) AS n FROM c
   WHERE user_resolution IS NOT NULL AND detector = 'nli' AND raw_score IS NOT NULL GROUP BY 1),
 g AS (SELECT s, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS al, sum(p) OVER () AS pos, sum(n) OVER () AS nl FROM l),
@@ -175,8 +167,7 @@ SQL = {
     "triage_summary": f"WITH {_TRI}, {_ALLOW} SELECT count(*) AS total, count(al.chunk_id) AS scanned FROM tp LEFT JOIN al USING (chunk_id)",
     "nli_candidates": f"WITH {_cand('')} SELECT chunk_a, chunk_b, round(cosine, 6) AS cosine FROM ca",
     "nli_candidates_budgeted": f"WITH {_TRI}, {_ALLOW}, {_cand('WHERE a IN (SELECT chunk_id FROM al)')} SELECT chunk_a, chunk_b, round(cosine, 6) AS cosine FROM ca",
-    "nli_fused": f"""WITH {_cand('')}, ws AS (SELECT chunk_a, chunk_b, {_WS.format('x')} AS a, {_WS.format('y')} AS b FROM ca JOIN chunks x ON x.chunk_id = chunk_a JOIN chunks y ON y.chunk_id = chunk_b
-          WHERE NOT coalesce(regexp_matches(x.text, '[^\\x00-\\x7F]'), false) AND NOT coalesce(regexp_matches(y.text, '[^\\x00-\\x7F]'), false)),
+    "nli_fused": f"""WITH {_cand('')}, ws AS (SELECT chunk_a, chunk_b, {SET.format('coalesce(x.text, chr(32))')} AS a, {SET.format('coalesce(y.text, chr(32))')} AS b FROM ca JOIN chunks x ON x.chunk_id = chunk_a JOIN chunks y ON y.chunk_id = chunk_b),
         sc AS (SELECT chunk_a, chunk_b, CASE WHEN len(a) = 0 THEN 0 ELSE round((len(a) - len(list_intersect(a, b))) / len(a), 6) END AS f,
           CASE WHEN len(b) = 0 THEN 0 ELSE round((len(b) - len(list_intersect(a, b))) / len(b), 6) END AS b FROM ws)
         SELECT chunk_a, chunk_b, CASE WHEN f > {HIT} AND b > {HIT} THEN 'both' WHEN f > {HIT} THEN 'a->b' ELSE 'b->a' END AS direction,

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,75 +13,60 @@ from corpuslens.operators.groups import dense_ids, group_table
 from corpuslens.operators.text_dedup import copies, similar_texts, text_edges
 from corpuslens.sources.tables import load
 
-Rows = Callable[[DataFrame], DataFrame]
-
-
 def _active(spark: SparkSession, d: str) -> DataFrame:
     return active(load(spark, d, "chunks"))
 
 
-def _ascii(c: DataFrame) -> DataFrame:
-    """Texts with ASCII signs only: the SQL engine's pattern classes know no others.
-
-    For the comparison with SQL; the queries named ..._all cover every text and have no SQL.
-    """
-    return c.filter(F.coalesce(~F.col("text").rlike(r"[^\x00-\x7F]"), F.lit(True)))
-
-
-def every(c: DataFrame) -> DataFrame:
-    return c
-
-
-def text_shingles(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def text_shingles(spark: SparkSession, d: str) -> DataFrame:
     """Number of words and of distinct shingles of each chunk."""
-    c = keep(load(spark, d, "chunks")).withColumn("w", X.words("text"))
+    c = load(spark, d, "chunks").withColumn("w", X.words("text"))
     return c.select("chunk_id", F.size("w").alias("n_words"), F.size(X.shingles_of(F.col("w"))).alias("n_shingles"))
 
 
-def numbers_extracted(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def numbers_extracted(spark: SparkSession, d: str) -> DataFrame:
     """Numbers by chunk."""
-    return keep(load(spark, d, "chunks")).select("chunk_id", F.explode(X.numbers("text")).alias("number"))
+    return load(spark, d, "chunks").select("chunk_id", F.explode(X.numbers("text")).alias("number"))
 
 
-def versions_extracted(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def versions_extracted(spark: SparkSession, d: str) -> DataFrame:
     """Versions by chunk."""
-    return keep(load(spark, d, "chunks")).select("chunk_id", F.explode(X.versions("text")).alias("version"))
+    return load(spark, d, "chunks").select("chunk_id", F.explode(X.versions("text")).alias("version"))
 
 
-def masked_texts(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def masked_texts(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the texts with numbers and with versions masked."""
-    return keep(load(spark, d, "chunks")).select(
+    return load(spark, d, "chunks").select(
         "chunk_id", F.length(X.mask_numbers("text")).alias("n_numbers_masked"), F.length(X.mask_versions("text")).alias("n_versions_masked"))
 
 
-def word_jaccard(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def word_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Word overlap of the canonical and each other member of the groups."""
     g = load(spark, d, "dedup_groups").select("canonical_chunk_id", F.explode("member_chunk_ids").alias("chunk_id")).filter(
         "chunk_id != canonical_chunk_id").distinct()
-    t = keep(load(spark, d, "chunks")).select("chunk_id", X.word_set("text").alias("w"))
+    t = load(spark, d, "chunks").select("chunk_id", X.word_set("text").alias("w"))
     j = g.join(t, "chunk_id").join(t.select(F.col("chunk_id").alias("canonical_chunk_id"), F.col("w").alias("cw")), "canonical_chunk_id")
     return j.select("canonical_chunk_id", "chunk_id", F.round(X.set_jaccard(F.col("w"), F.col("cw")), 6).alias("jaccard"))
 
 
-def text_jaccard_pairs(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def text_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different word sequences with a shingle similarity of at least 0.8."""
-    return similar_texts(keep(_active(spark, d))).select("vid_a", "vid_b", F.round("jaccard", 6).alias("jaccard"))
+    return similar_texts(_active(spark, d)).select("vid_a", "vid_b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def text_copies(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def text_copies(spark: SparkSession, d: str) -> DataFrame:
     """Copy groups of two or more: the smallest id and the size."""
-    return copies(keep(_active(spark, d))).groupBy("vid").agg(F.count("*").alias("n")).filter("n > 1")
+    return copies(_active(spark, d)).groupBy("vid").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def text_dedup_groups(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def text_dedup_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of near-duplicate texts with their canonical chunk and dense ids."""
-    c = keep(_active(spark, d))
+    c = _active(spark, d)
     return dense_ids(group_table(text_edges(c), c)).select("group_id", "canonical_chunk_id", "n_members")
 
 
-def dedup_merged_channels(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def dedup_merged_channels(spark: SparkSession, d: str) -> DataFrame:
     """Stored groups merged with text edges: members and channels of each resulting group."""
-    c = keep(_active(spark, d))
+    c = _active(spark, d)
     ids = c.select("chunk_id")
     g = load(spark, d, "dedup_groups").filter(F.array_contains("detection_channels", "embedding"))
     m = g.select("canonical_chunk_id", F.explode("member_chunk_ids").alias("b")).select(F.col("canonical_chunk_id").alias("a"), "b").distinct()
@@ -96,19 +78,19 @@ def dedup_merged_channels(spark: SparkSession, d: str, keep: Rows = _ascii) -> D
     return n.join(ch, "label").select(F.col("label").alias("group_key"), "n_members", "channels")
 
 
-def numeric_contradictions(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def numeric_contradictions(spark: SparkSession, d: str) -> DataFrame:
     """Numeric contradictions inside clusters of at most 50."""
-    return numeric_hits(keep(load(spark, d, "chunks")))
+    return numeric_hits(load(spark, d, "chunks"))
 
 
-def version_contradictions(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def version_contradictions(spark: SparkSession, d: str) -> DataFrame:
     """Version contradictions inside clusters of at most 50."""
-    return version_hits(keep(load(spark, d, "chunks")))
+    return version_hits(load(spark, d, "chunks"))
 
 
-def clean_text(spark: SparkSession, d: str, keep: Rows = _ascii) -> DataFrame:
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the cleaned documents."""
-    t = keep(load(spark, d, "documents"))
+    t = load(spark, d, "documents")
     return nfkc(t.select("doc_id", "text")).select("doc_id", F.length(X.clean_spaces("text")).alias("n_clean"))
 
 
@@ -125,22 +107,23 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def slugify(spark: SparkSession, d: str) -> DataFrame:
     """Collection names from the sources."""
-    return load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("slug", X.slug("source"))
+    s = load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("name", F.col("source"))
+    return nfkc(s, "name").select("source", "n", X.slug("name").alias("slug"))
 
 
 QUERIES = {f.__name__: f for f in (
     text_shingles, numbers_extracted, versions_extracted, masked_texts, word_jaccard, text_jaccard_pairs, text_copies, text_dedup_groups, dedup_merged_channels,
     numeric_contradictions, version_contradictions, clean_text, chunk_text, chunk_ids, slugify)}
-QUERIES |= {f"{f.__name__}_all": partial(f, keep=every) for f in (
-    text_shingles, numbers_extracted, versions_extracted, masked_texts, word_jaccard, text_jaccard_pairs, text_copies, text_dedup_groups, dedup_merged_channels,
-    numeric_contradictions, version_contradictions, clean_text)}
-_ASCII = r"NOT coalesce(regexp_matches(text, '[^\x00-\x7F]'), false)"
+_WIDE = r"[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]"  # letters and numbers that the SQL engine's \b and \w don't know
 _NUM, _VER = r"\b\d+(?:[.,]\d+)?\b", r"v?(\d+\.\d+(?:\.\d+)*)\b"
-_NUMS = f"list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '{_NUM}', 0), lambda x: CAST(replace(x, ',', '') AS DOUBLE)))"
-_VERS = f"list_distinct(regexp_extract_all(coalesce(text, ''), '(?i){_VER}', 1))"
-_SET = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
+_T = f"regexp_replace(translate(coalesce(text, ''), '{X.DIGITS}', '{X.PLAIN_DIGITS}'), '({_WIDE})', '_\\1_', 'g')"  # wide signs stand between _
+_PLAIN = f"regexp_replace({{}}, '_({_WIDE})_', '\\1', 'g')".replace("{L}", "{{L}}").replace("{N}", "{{N}}")
+_NUMS = f"list_distinct(list_transform(regexp_extract_all({_T}, '{_NUM}', 0), lambda x: CAST(replace(x, ',', '') AS DOUBLE)))"
+_VERS = f"list_distinct(regexp_extract_all({_T}, '(?i){_VER}', 1))"
+_NMASK, _VMASK = (_PLAIN.format(f"regexp_replace({_T}, '{p}', '{m}', 'g')") for p, m in ((_NUM, "__NUM__"), (f"(?i){_VER}", "__VER__")))
+SET = f"list_distinct(list_filter(regexp_split_to_array(lower({{}}), '{X.SPACE.replace('{', '{{').replace('}', '}}')}+'), lambda x: x <> ''))"
 _JAC = "(len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))))"
-_W = r"""w AS (SELECT chunk_id, text, resolved_timestamp, regexp_extract_all(lower(coalesce(text, '')), '\w+') AS w FROM chunks WHERE deleted_at IS NULL AND """ + _ASCII + """),
+_W = r"""w AS (SELECT chunk_id, text, resolved_timestamp, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM chunks WHERE deleted_at IS NULL),
 v AS (SELECT min(chunk_id) AS vid, any_value(w) AS w FROM w GROUP BY array_to_string(w, ' ')),
 s AS (SELECT vid, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) END AS sh FROM v),
 e AS (SELECT vid, len(sh) AS n, unnest(sh) AS x FROM s),
@@ -154,8 +137,7 @@ lab AS (SELECT id, least(id, min(t)) AS label FROM r GROUP BY id)"""
 
 
 def _pairs(feature: str, mask: str, hit: str) -> str:
-    return f"""WITH f AS (SELECT cluster_id, chunk_id, {feature} AS n, {_SET.format(mask)} AS ctx FROM chunks
-        WHERE deleted_at IS NULL AND cluster_id IS NOT NULL AND {_ASCII} AND {"len(" + feature + ") > 0" if feature == _NUMS else "true"}),
+    return f"""WITH f AS (SELECT cluster_id, chunk_id, {feature} AS n, {SET.format(mask)} AS ctx FROM chunks WHERE deleted_at IS NULL AND cluster_id IS NOT NULL),
       k AS (SELECT cluster_id FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)
       SELECT a.cluster_id, a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, {hit} AS raw_score
       FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.chunk_id < b.chunk_id JOIN k ON k.cluster_id = a.cluster_id
@@ -164,15 +146,14 @@ def _pairs(feature: str, mask: str, hit: str) -> str:
 
 
 SQL = {
-    "text_shingles": rf"""WITH w AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(text, '')), '\w+') AS w FROM chunks WHERE {_ASCII})
+    "text_shingles": rf"""WITH w AS (SELECT chunk_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM chunks)
         SELECT chunk_id, CAST(len(w) AS INT) AS n_words, CAST(CASE WHEN len(w) < 3 THEN 1 ELSE
           len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))) END AS INT) AS n_shingles FROM w""",
-    "numbers_extracted": f"SELECT chunk_id, unnest({_NUMS}) AS number FROM chunks WHERE {_ASCII}",
-    "versions_extracted": f"SELECT chunk_id, unnest({_VERS}) AS version FROM chunks WHERE {_ASCII}",
-    "masked_texts": f"""SELECT chunk_id, CAST(length(regexp_replace(coalesce(text, ''), '{_NUM}', '__NUM__', 'g')) AS INT) AS n_numbers_masked,
-        CAST(length(regexp_replace(coalesce(text, ''), '(?i){_VER}', '__VER__', 'g')) AS INT) AS n_versions_masked FROM chunks WHERE {_ASCII}""",
+    "numbers_extracted": f"SELECT chunk_id, unnest({_NUMS}) AS number FROM chunks",
+    "versions_extracted": f"SELECT chunk_id, unnest({_VERS}) AS version FROM chunks",
+    "masked_texts": f"SELECT chunk_id, CAST(length({_NMASK}) AS INT) AS n_numbers_masked, CAST(length({_VMASK}) AS INT) AS n_versions_masked FROM chunks",
     "word_jaccard": f"""WITH g AS (SELECT DISTINCT canonical_chunk_id, unnest(member_chunk_ids) AS chunk_id FROM dedup_groups),
-        t AS (SELECT chunk_id, {_SET.format("coalesce(text, '')")} AS w FROM chunks WHERE {_ASCII})
+        t AS (SELECT chunk_id, {SET.format("coalesce(text, '')")} AS w FROM chunks)
         SELECT canonical_chunk_id, g.chunk_id, round(CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 1.0 ELSE {_JAC.format("a.w", "b.w")} END, 6) AS jaccard
         FROM g JOIN t a ON a.chunk_id = g.chunk_id JOIN t b ON b.chunk_id = canonical_chunk_id WHERE g.chunk_id <> canonical_chunk_id""",
     "text_jaccard_pairs": f"WITH {_W} SELECT vid_a, vid_b, round(jaccard, 6) AS jaccard FROM p",
@@ -187,12 +168,12 @@ SQL = {
           UNION ALL SELECT a, b, 'text' FROM te), {_REACH.format("ge")}
         SELECT label AS group_key, count(DISTINCT id) AS n_members, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels
         FROM lab LEFT JOIN ge ON ge.a = lab.id GROUP BY label""",
-    "numeric_contradictions": _pairs(_NUMS, f"regexp_replace(coalesce(text, ''), '{_NUM}', '__NUM__', 'g')", "round(1 - " + _JAC.format("a.n", "b.n") + ", 4)"),
-    "version_contradictions": _pairs(_VERS, f"regexp_replace(coalesce(text, ''), '(?i){_VER}', '__VER__', 'g')", "1.0::DOUBLE"),
-    "clean_text": rf"""SELECT doc_id, CAST(length(trim(regexp_replace(replace(coalesce(text, ''), chr(0), ''), '\s+', ' ', 'g'))) AS INT) AS n_clean FROM documents WHERE {_ASCII}""",
+    "numeric_contradictions": _pairs(_NUMS, _NMASK, "round(1 - " + _JAC.format("a.n", "b.n") + ", 4)"),
+    "version_contradictions": _pairs(_VERS, _VMASK, "1.0::DOUBLE"),
     "chunk_ids": """SELECT doc_id, format('{}-p{:03d}-c{:03d}-{}', lower(source), doc_id % 50 + 1, doc_id % 7, substr(sha1(text), 1, 8)) AS chunk_name
         FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""",
-    "slugify": r"""WITH s AS (SELECT source, count(*) AS n, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9_-]', '-', 'g'),
-        '-{2,}', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 60), '[-_]+$', '') AS t FROM documents GROUP BY source)
-        SELECT source, n, CASE WHEN length(t) < 3 THEN t || '-collection' ELSE t END AS slug FROM s""",
+    "slugify": r"""WITH s AS (SELECT source, count(*) AS n, substr(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9_-]', '-', 'g'),
+        '-{2,}', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 60) AS t FROM documents GROUP BY source),
+        u AS (SELECT source, n, regexp_replace(CASE WHEN length(t) >= 3 THEN t WHEN t = '' THEN 'doc-pdf' ELSE 'doc-' || t END, '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS t FROM s)
+        SELECT source, n, CASE WHEN length(t) < 3 THEN 'documents' ELSE t END AS slug FROM u""",
 }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import scores, vectors
 from corpuslens.operators import neighbourhood as N
+from corpuslens.operators.grids import nearest_pairs
 from corpuslens.operators.groups import dense_ids, group_table
+from corpuslens.session import Stage
 from corpuslens.sources.tables import load
 
 DIM, DEDUP, DENSITY = 64, 0.9, 0.85
@@ -39,7 +41,7 @@ def vector_quality(spark: SparkSession, d: str) -> DataFrame:
 def knn10(spark: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of every vector whose id is divisible by 50, against all."""
     e = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return N.blocked_knn(e.filter("id % 50 = 0"), e, 10, 8).select(F.col("q").alias("vec_id"), F.col("b").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"), "rank")
+    return N.blocked_knn(e.filter("id % 50 = 0"), e, 10).select(F.col("q").alias("vec_id"), F.col("b").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"), "rank")
 
 
 def _sample(spark: SparkSession, d: str) -> DataFrame:
@@ -82,9 +84,16 @@ def cluster_pairs_topk(spark: SparkSession, d: str) -> DataFrame:
     return p.select("cluster_id", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+def near_pairs(spark: SparkSession, d: str, k: int, least: float) -> DataFrame:
+    """The k most similar others of every active chunk with a vector, over the whole collection."""
+    v = chunk_vectors(spark, d).select("chunk_id", "embedding")
+    v = Stage(spark, "active-vectors").put(v, "vectors")
+    return nearest_pairs(v, "chunk_id", "embedding", k, least, DIM)
+
+
 def dedup_embedding_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs among the ten nearest of a cluster with a cosine over the threshold."""
-    p = N.cluster_cosines(clustered(spark, d), DEDUP, top=10)
+    """Pairs among the ten nearest of any active chunk with a cosine over the threshold."""
+    p = near_pairs(spark, d, 10, DEDUP)
     return p.groupBy(F.least("a", "b").alias("chunk_a"), F.greatest("a", "b").alias("chunk_b")).agg(F.round(F.max("cosine"), 6).alias("cosine"))
 
 
@@ -114,40 +123,65 @@ def cluster_drift(spark: SparkSession, d: str) -> DataFrame:
     return v.join(c, "cluster_id", "left").select("chunk_id", F.round(N.drift(F.col("embedding"), F.col("centroid")), 5).alias("drift"))
 
 
+def _density(spark: SparkSession, d: str, min_size: int = 5) -> DataFrame:
+    return N.density_clusters(near_pairs(spark, d, 10, DENSITY), min_size=min_size)
+
+
 def cluster_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters of mutual neighbours inside the stored clusters."""
-    return N.density_clusters(clustered(spark, d).select("cluster_id", "chunk_id", "embedding"), DENSITY)
+    """Density clusters of mutual neighbours among all active chunks with a vector."""
+    return _density(spark, d)
+
+
+def cluster_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """New cluster ids of all active chunks with a vector; null is noise."""
+    got = N.assigned(_density(spark, d))
+    return chunk_vectors(spark, d).select("chunk_id").join(got, "chunk_id", "left")
 
 
 def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Hierarchical density clusters inside the stored clusters, by size."""
-    h = N.block_hdbscan(clustered(spark, d).select("cluster_id", "chunk_id", "embedding"))
-    return h.groupBy("cluster_id", "label").agg(F.count("*").alias("n"))
+    """Hierarchical density clusters inside each density cluster, by size."""
+    rows = chunk_vectors(spark, d).join(_density(spark, d).select("chunk_id", F.col("cluster_key").alias("block")), "chunk_id")
+    return N.block_hdbscan(rows).groupBy("block", "label").agg(F.count("*").alias("n"))
 
 
 def auto_tune_silhouette(spark: SparkSession, d: str) -> DataFrame:
-    """Minimum sizes tried for the hierarchy with the members they cluster."""
-    v = clustered(spark, d).select("cluster_id", "chunk_id", "embedding")
+    """Minimum sizes around the automatic one (half, same, double) with their silhouettes; the best one is chosen."""
+    v = Stage(spark, "tuned-vectors").put(chunk_vectors(spark, d).select("chunk_id", "embedding"), "vectors")
+    base = max(5, int(v.count() ** 0.5 / 4))
+    near = Stage(spark, "tuned").put(nearest_pairs(v, "chunk_id", "embedding", 10, DENSITY, DIM), "near")
+    every = Stage(spark, "tuned-clusters").put(N.density_clusters(near, min_size=max(2, base // 2)), "clusters")
     out = None
-    for m in (5, 10, 20):
-        h = N.block_hdbscan(v, m).agg(F.count_if(F.col("label") >= 0).alias("n_clustered"), F.count("*").alias("n")).withColumn("min_size", F.lit(m))
-        out = h if out is None else out.unionByName(h)
-    return out
+    for m in sorted({max(2, base // 2), base, base * 2}):
+        rows = v.join(every.filter(F.col("n") >= m).select("chunk_id", F.col("cluster_key").alias("cluster_id")), "chunk_id")
+        s = N.silhouette(rows).withColumn("min_size", F.lit(m))
+        out = s if out is None else out.unionByName(s)
+    s = F.round(F.when(F.col("n_clusters") >= 2, F.col("silhouette")), 6)
+    out = out.select("min_size", "n_clusters", "n_clustered", s.alias("silhouette")).withColumn("_1", F.lit(1))
+    best = out.groupBy("_1").agg(F.max_by("min_size", F.struct(F.coalesce("silhouette", F.lit(-2.0)), -F.col("min_size"))).alias("m"))
+    return out.join(F.broadcast(best), "_1").select("min_size", "n_clusters", "n_clustered", "silhouette", (F.col("min_size") == F.col("m")).alias("chosen"))  # one row
 
 
 QUERIES = {f.__name__: f for f in (
     vector_norms, vector_quality, knn10, calibration_percentiles, calibration_thresholds, model_defaults, growth_triggers, cluster_pairs_topk,
-    dedup_embedding_edges, dedup_embedding_groups, cluster_sizes, cluster_centroids, cluster_drift, cluster_graph, hdbscan_clusters, auto_tune_silhouette)}
+    dedup_embedding_edges, dedup_embedding_groups, cluster_sizes, cluster_centroids, cluster_drift, cluster_graph, cluster_assigned, hdbscan_clusters, auto_tune_silhouette)}
 _GOOD = "coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false)"
 VEC = f"""v0 AS (SELECT chunk_id, arg_min(embedding, record_no)::DOUBLE[] AS e FROM chunk_records WHERE {_GOOD} GROUP BY 1),
 v AS (SELECT c.chunk_id, cluster_id, collection, text, resolved_timestamp, e FROM chunks c JOIN v0 USING (chunk_id) WHERE deleted_at IS NULL)"""
-CPAIRS = """cp AS (SELECT x.cluster_id, x.chunk_id AS a, y.chunk_id AS b, round(least(1, list_cosine_similarity(x.e, y.e)), 9) AS cosine
-  FROM v x JOIN v y ON x.cluster_id = y.cluster_id AND x.chunk_id <> y.chunk_id)"""
-_EDGES = f"""{VEC}, {CPAIRS}, de AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(cosine) AS cosine FROM (
-  SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b DESC) <= 10) WHERE cosine > {DEDUP} GROUP BY 1, 2)"""
-_SAMPLE = """s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 2000),
-p AS (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.e, y.e), 9) AS cosine FROM s x JOIN s y ON x.vec_id <> y.vec_id),
-q AS (SELECT 'baseline' AS kind, cosine FROM (SELECT * FROM p WHERE a < b ORDER BY md5(a || '-' || b) LIMIT 10000)
+CPAIRS = f"""vc AS (SELECT * FROM v WHERE cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY md5(chunk_id), chunk_id) <= {N.CLUSTER_CAP}),
+cp AS (SELECT x.cluster_id, x.chunk_id AS a, y.chunk_id AS b, round(least(1, list_cosine_similarity(x.e, y.e)), 9) AS cosine
+  FROM vc x JOIN vc y ON x.cluster_id = y.cluster_id AND x.chunk_id <> y.chunk_id)"""
+_ALL = f"""{VEC}, ap AS (SELECT x.chunk_id AS a, y.chunk_id AS b, round(least(1, list_cosine_similarity(x.e, y.e)), 9) AS cosine FROM v x JOIN v y ON x.chunk_id <> y.chunk_id
+  WHERE list_cosine_similarity(x.e, y.e) > {min(DEDUP, DENSITY) - 0.01}),
+nn AS (SELECT * FROM ap QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b DESC) <= 10)"""
+_EDGES = f"{_ALL}, de AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(cosine) AS cosine FROM nn WHERE cosine > {DEDUP} GROUP BY 1, 2)"
+_DENSE = f"""{_ALL}, mu AS (SELECT n.a, n.b FROM nn n JOIN nn k ON n.a = k.b AND n.b = k.a WHERE n.cosine > {DENSITY}), co AS (SELECT a FROM mu GROUP BY 1 HAVING count(*) >= 3),
+ee AS (SELECT a, b FROM mu WHERE a IN (SELECT a FROM co) AND b IN (SELECT a FROM co)),
+r(id, t) AS (SELECT a, b FROM ee UNION SELECT r.id, ee.b FROM r JOIN ee ON r.t = ee.a), lab AS (SELECT id, least(id, min(t)) AS label FROM r GROUP BY id),
+dc AS (SELECT id AS chunk_id, label AS cluster_key, count(*) OVER (PARTITION BY label) AS n FROM lab)"""
+_SAMPLE = """s0 AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 2000),
+s AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM s0),
+p AS (SELECT x.i AS a, y.i AS b, round(list_cosine_similarity(x.e, y.e), 9) AS cosine FROM s x JOIN s y ON x.vec_id <> y.vec_id),
+q AS (SELECT 'baseline' AS kind, cosine FROM (SELECT * FROM p WHERE a < b ORDER BY ((a * 48271 + b * 16807) % 2147483647) * 69621 % 2147483647, a, b LIMIT 10000)
   UNION ALL SELECT 'neighbour', cosine FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC) <= 10)),
 t AS (SELECT quantile_cont(cosine, 0.95) FILTER (kind = 'baseline') AS b95, quantile_cont(cosine, 0.5) FILTER (kind = 'neighbour') AS n50,
   quantile_cont(cosine, 0.99) FILTER (kind = 'neighbour') AS n99 FROM q)"""
@@ -163,10 +197,10 @@ SQL = {
     "calibration_percentiles": f"""WITH {_SAMPLE} SELECT kind, count(*) AS n, round(quantile_cont(cosine, 0.5), 5) AS p50, round(quantile_cont(cosine, 0.95), 5) AS p95,
         round(quantile_cont(cosine, 0.99), 5) AS p99 FROM q GROUP BY 1""",
     "calibration_thresholds": f"""WITH {_SAMPLE}, z AS (SELECT b95, n99 - 0.1 * (n99 - n50) AS dd, b95 + 0.5 * (n50 - b95) AS cc, n50 AS nn FROM t)
-        SELECT round(CASE WHEN b95 < cc AND cc < dd AND dd < 1 THEN dd ELSE 0.92 END, 5) AS dedup_threshold,
-          round(CASE WHEN b95 < cc AND cc < dd AND dd < 1 THEN cc ELSE 0.82 END, 5) AS contradiction_threshold,
-          round(CASE WHEN b95 < cc AND cc < dd AND dd < 1 THEN nn ELSE 0.72 END, 5) AS cluster_min_density FROM z""",
-    "model_defaults": """WITH d AS (SELECT * FROM (VALUES (384, 0.92, 0.82, 0.72), (768, 0.93, 0.84, 0.74), (1024, 0.93, 0.84, 0.74), (1536, 0.95, 0.88, 0.80), (3072, 0.95, 0.88, 0.80)) t(dim, dedup, contradiction, density)),
+        SELECT round(CASE WHEN b95 < cc AND cc < dd AND dd < 1 THEN dd ELSE 0.95 END, 5) AS dedup_threshold,
+          round(CASE WHEN b95 < cc AND cc < dd AND dd < 1 THEN cc ELSE 0.85 END, 5) AS contradiction_threshold,
+          round(CASE WHEN b95 < cc AND cc < dd AND dd < 1 THEN nn ELSE 0.75 END, 5) AS cluster_min_density FROM z""",
+    "model_defaults": """WITH d AS (SELECT * FROM (VALUES (384, 0.95, 0.85, 0.75), (768, 0.93, 0.82, 0.72), (1024, 0.92, 0.80, 0.70), (1536, 0.90, 0.78, 0.68), (3072, 0.88, 0.76, 0.65)) t(dim, dedup, contradiction, density)),
         n AS (SELECT CAST(len(embedding) AS INT) AS length, count(*) AS n FROM chunk_records WHERE embedding IS NOT NULL GROUP BY 1)
         SELECT length, n, dim, dedup::DOUBLE AS dedup, contradiction::DOUBLE AS contradiction, density::DOUBLE AS density FROM n, d
         QUALIFY row_number() OVER (PARTITION BY length ORDER BY abs(dim - length), dim) = 1""",
@@ -184,9 +218,19 @@ SQL = {
         SELECT cluster_id, n, round(n / (SELECT max(n) FROM c), 6) AS share_of_largest FROM c""",
     "cluster_centroids": f"WITH {VEC}, {_CENT} SELECT cluster_id, n_chunks, round(c[1], 6) AS first_value, round(sqrt(list_dot_product(c, c)), 5) AS norm FROM ce",
     "cluster_drift": f"""WITH {VEC}, {_CENT} SELECT chunk_id, round(CASE WHEN c IS NULL THEN 0 ELSE 1 - list_cosine_similarity(e, c) END, 5) AS drift FROM v LEFT JOIN ce USING (cluster_id)""",
-    "cluster_graph": f"""WITH RECURSIVE {VEC}, {CPAIRS}, n AS (SELECT a, b FROM (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b DESC) <= 10) WHERE cosine > {DENSITY}),
-        mu AS (SELECT n.a, n.b FROM n JOIN n k ON n.a = k.b AND n.b = k.a), co AS (SELECT a FROM mu GROUP BY 1 HAVING count(*) >= 3),
-        ee AS (SELECT a, b FROM mu WHERE a IN (SELECT a FROM co) AND b IN (SELECT a FROM co)),
-        r(id, t) AS (SELECT a, b FROM ee UNION SELECT r.id, ee.b FROM r JOIN ee ON r.t = ee.a), lab AS (SELECT id, least(id, min(t)) AS label FROM r GROUP BY id)
-        SELECT id AS chunk_id, label AS cluster_key, count(*) OVER (PARTITION BY label) AS n FROM lab QUALIFY count(*) OVER (PARTITION BY label) >= 5""",
+    "cluster_graph": f"WITH RECURSIVE {_DENSE} SELECT chunk_id, cluster_key, n FROM dc WHERE n >= 5",
+    "cluster_assigned": f"""WITH RECURSIVE {_DENSE}, k AS (SELECT chunk_id, CAST(dense_rank() OVER (ORDER BY cluster_key) - 1 AS INT) AS cluster_id FROM dc WHERE n >= 5)
+        SELECT chunk_id, k.cluster_id FROM v LEFT JOIN k USING (chunk_id)""",
+    "auto_tune_silhouette": f"""WITH RECURSIVE {_DENSE}, ba AS (SELECT greatest(5, CAST(floor(sqrt(count(*)) / 4) AS INT)) AS base FROM v),
+        sizes AS (SELECT DISTINCT unnest([greatest(2, base // 2), base, base * 2]) AS min_size FROM ba),
+        w AS (SELECT min_size, chunk_id, cluster_key AS c, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM dc JOIN v USING (chunk_id) JOIN sizes ON n >= min_size),
+        p AS (SELECT min_size, c, unnest(range(0, 64)) AS pos, unnest(u) AS x FROM w), m AS (SELECT min_size, c, pos, avg(x) AS x, count(*) AS n FROM p GROUP BY ALL),
+        ce AS (SELECT min_size, c, any_value(n) AS n, list(x ORDER BY pos) AS m FROM m GROUP BY 1, 2),
+        so AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY min_size ORDER BY md5(chunk_id), chunk_id) <= 2000),
+        di AS (SELECT so.min_size, chunk_id, so.c = ce.c AS mine, n, 2 - 2 * list_dot_product(u, m) AS d FROM so JOIN ce ON so.min_size = ce.min_size),
+        ab AS (SELECT min_size, chunk_id, max(d * n / (n - 1)) FILTER (mine AND n > 1) AS a, min(d) FILTER (NOT mine) AS b FROM di GROUP BY 1, 2),
+        sc AS (SELECT min_size, avg(CASE WHEN a IS NULL OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab WHERE b IS NOT NULL GROUP BY 1),
+        q AS (SELECT sizes.min_size, count(ce.c) AS n_clusters, CAST(coalesce(sum(ce.n), 0) AS BIGINT) AS n_clustered FROM sizes LEFT JOIN ce ON ce.min_size = sizes.min_size GROUP BY 1),
+        z AS (SELECT q.*, CASE WHEN n_clusters >= 2 THEN round(s, 6) END AS silhouette FROM q LEFT JOIN sc USING (min_size))
+        SELECT min_size, n_clusters, n_clustered, silhouette, row_number() OVER (ORDER BY coalesce(silhouette, -2) DESC, min_size) = 1 AS chosen FROM z""",
 }

@@ -8,6 +8,7 @@ nothing but its name travels. An in-memory store stands in for a server in tests
 from __future__ import annotations
 
 import importlib
+import time
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,13 +31,14 @@ class StoreReader(DataSourceReader):
     def __init__(self, options: dict):
         self.factory, self.prefix = options["client"], options.get("prefix", "")
         self.size = int(options.get("pageSize", 500))
+        self.deadline = float(options.get("deadline", "inf"))
 
     def partitions(self) -> list[Page]:
         names = sorted((n, c) for n, c in make_client(self.factory).list() if n.startswith(self.prefix))
         return [Page(n, self.size, o) for n, c in names for o in range(0, c, self.size)] or [Page("", 0, 0)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        if not partition.limit:
+        if not partition.limit or time.time() > self.deadline:  # the fetch budget is used up
             return
         for r in make_client(self.factory).get(partition.name, partition.limit, partition.offset):
             e = r.get("embedding")
@@ -54,6 +56,12 @@ class PagedStore(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    @staticmethod
+    def counts(options: dict) -> list[tuple[str, int]]:
+        """(collection, records) as the store counts them."""
+        prefix = options.get("prefix", "")
+        return sorted((n[len(prefix):], c) for n, c in make_client(options["client"]).list() if n.startswith(prefix))
+
     def reader(self, schema) -> StoreReader:  # noqa: ANN001
         return StoreReader(self.options)
 

@@ -7,6 +7,7 @@ from corpuslens.operators import contradictions as C
 from corpuslens.operators import neighbourhood as N
 from corpuslens.operators.chunking import pieces
 from corpuslens.operators.components import components
+from corpuslens.operators.grids import nearest_pairs
 from corpuslens.operators.groups import dense_ids
 from corpuslens.operators.ingest import apply_diff, snapshot_diff
 from corpuslens.operators.text_dedup import text_edges
@@ -86,20 +87,63 @@ def test_hdbscan_finds_three_clusters():
 
 def test_density_clusters(spark):
     rng = np.random.RandomState(1)
-    rows = [(1, f"c{i}-{j}", (np.eye(8)[i] + rng.randn(8) * 0.02).tolist()) for i in range(3) for j in range(8)] + [(1, "noise", np.eye(8)[7].tolist())]
-    got = N.density_clusters(spark.createDataFrame(rows, "cluster_id int, chunk_id string, embedding array<double>"), 0.9).collect()
+    rows = [(f"c{i}-{j}", (np.eye(8)[i] + rng.randn(8) * 0.05).tolist()) for i in range(3) for j in range(8)] + [(f"noise{i}", (np.eye(8)[5 + i] * 3).tolist()) for i in range(3)]
+    rows += [rows[0], ("bad", None), ("zero", [0.0] * 8), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
+    near = nearest_pairs(df, "chunk_id", "embedding", 10, 0.8, dim=8)
+    got = N.density_clusters(near).collect()
     assert {r.cluster_key for r in got} == {"c0-0", "c1-0", "c2-0"} and len(got) == 24
+    ids = {r.chunk_id: r.cluster_id for r in N.assigned(N.density_clusters(near)).collect()}
+    assert {ids["c0-3"], ids["c1-3"], ids["c2-3"]} == {0, 1, 2}
+    clustered = df.join(N.assigned(N.density_clusters(near)), "chunk_id").dropDuplicates(["chunk_id"])
+    s = N.silhouette(clustered, dim=8).first()
+    assert s.n_clusters == 3 and s.n_clustered == 24 and s.silhouette > 0.9
+    assert N.silhouette(clustered.filter("cluster_id = 0"), dim=8).first().silhouette is None
+    assert nearest_pairs(df.limit(0), "chunk_id", "embedding", 10, 0.8, dim=8).count() == 0
+
+
+def test_nearest_pairs_of_copies(spark):
+    rng = np.random.RandomState(2)
+    v = rng.randn(16)
+    rows = [(f"s{i:03}", (v * (1 + i % 3)).tolist()) for i in range(60)] + [(f"t{i}", (v + rng.randn(16) * 0.1).tolist()) for i in range(5)]
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = np.round(np.minimum(x @ x.T, 1), 9)
+    names = [r[0] for r in rows]
+    want = {(names[i], names[j]) for i in range(65) for j in sorted((j for j in range(65) if j != i and c[i, j] > 0.9), key=lambda j: (c[i, j], names[j]))[-4:]}
+    got = nearest_pairs(spark.createDataFrame(rows, "chunk_id string, embedding array<float>"), "chunk_id", "embedding", 4, 0.9, dim=16)
+    assert {(r.a, r.b) for r in got.collect()} == want
 
 
 def test_model_defaults():
-    assert N.model_default(None) == N.model_default(64) and N.model_default(768) == N.model_default(800)
+    """Values of the documentation, by dimension: dedup, contradiction, density."""
+    assert N.model_default(384) == (0.95, 0.85, 0.75) and N.model_default(1536) == (0.90, 0.78, 0.68)
+    assert N.model_default(64) == (0.95, 0.85, 0.75) and N.model_default(800) == (0.93, 0.82, 0.72) and N.model_default(9000) == (0.88, 0.76, 0.65)
+    assert N.model_default(1024) == (0.92, 0.80, 0.70) and N.model_default(None) == (0.92, 0.82, 0.72)
+
+
+def test_detectors_count_all_members(spark):
+    """Members without a number count for the limit of 50."""
+    rows = [("a", 1, "the widget is 100 dollars", None), ("b", 1, "the widget is 200 dollars", None)] + [(f"x{i:02}", 1, "no numbers here", None) for i in range(48)]
+    df = spark.createDataFrame(rows, "chunk_id string, cluster_id int, text string, deleted_at timestamp")
+    assert C.numeric_hits(df).count() == 1
+    assert C.numeric_hits(df.unionByName(spark.createDataFrame([("y", 1, None, None)], df.schema))).count() == 0
+
+
+@pytest.mark.parametrize(("name", "want"), [("My Source!!", "my-source"), ("__a--b__", "a-b"), ("ab", "doc-ab"), ("", "doc-pdf"), (None, "doc-pdf"), ("--", "doc-pdf"), ("x" * 70, "x" * 60), ("Größe 5", "gr-e-5")])
+def test_slug(spark, name, want):
+    assert spark.createDataFrame([(name,)], "s string").select(text.slug("s")).first()[0] == want
 
 
 def test_pieces():
-    assert pieces(None) == [] and pieces("  ") == [] and pieces("a b") == ["a b"]
-    p = pieces("word " * 1000)
-    assert all(len(x) <= 800 for x in p) and len(p) >= 7
-    assert pieces("x" * 2000)[0] == "x" * 800
+    """Cuts at 800 signs, 100 of overlap, full stops of the last 120 signs, spaces of the last 60."""
+    assert pieces(None) == [] and pieces("") == [] and pieces("a b") == ["a b"] and pieces("  ") == ["  "]
+    assert pieces("x" * 2000) == ["x" * 800, "x" * 800, "x" * 600]
+    w = "word " * 1000
+    p = pieces(w)
+    assert p[0] == w[:800].strip() and p[1] == w[700:1500].strip() and all(len(x) <= 800 for x in p)
+    t = "y" * 700 + ". " + "z" * 900
+    assert pieces(t) == ["y" * 700 + ".", ("y" * 99 + ". " + "z" * 699), "z" * 301]
 
 
 def test_text_edges(spark):
@@ -110,6 +154,7 @@ def test_text_edges(spark):
 
 
 def test_dense_ids(spark):
-    df = spark.createDataFrame([(f"{i % 7}{i:03}",) for i in range(50)], "label string")
+    df = spark.createDataFrame([(f"chunk-{i:03}",) for i in range(50)], "label string").repartition(5)
     got = sorted((r.label, r.group_id) for r in dense_ids(df).collect())
     assert [g for _, g in got] == list(range(50))
+    assert dense_ids(df.limit(0)).count() == 0

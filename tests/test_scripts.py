@@ -19,11 +19,11 @@ def test_texts_of_any_script(spark, tmp_path):
     d = str(tmp_path)
     write(spark, d)
     rows = lambda n: [r.asDict() for r in Q[n](spark, d).collect()]
-    n = {r["chunk_id"]: r["n_words"] for r in rows("text_shingles_all")}
+    n = {r["chunk_id"]: r["n_words"] for r in rows("text_shingles")}
     assert n["c0"] == len(A.split()) and len(n) == 6
-    assert [(r["vid"], r["n"]) for r in rows("text_copies_all")] == [("c0", 2)]
-    assert [r["n_members"] for r in rows("text_dedup_groups_all")] == [2]
-    hits = {(r["chunk_a"], r["chunk_b"]): r["raw_score"] for r in rows("numeric_contradictions_all")}
+    assert [(r["vid"], r["n"]) for r in rows("text_copies")] == [("c0", 2)]
+    assert [r["n_members"] for r in rows("text_dedup_groups")] == [2]
+    hits = {(r["chunk_a"], r["chunk_b"]): r["raw_score"] for r in rows("numeric_contradictions")}
     assert hits == {("c0", "c2"): 1.0, ("c1", "c2"): 1.0}
-    assert {r["doc_id"]: r["n_clean"] for r in rows("clean_text_all")} == {1: len("fine XII"), 2: 3, 3: 0}
+    assert {r["doc_id"]: r["n_clean"] for r in rows("clean_text")} == {1: len("fine XII"), 2: 3, 3: 0}
     assert {r["source"]: r["slug"] for r in rows("slugify")}["Süd"] == "s-d"
