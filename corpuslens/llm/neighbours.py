@@ -1,15 +1,17 @@
 """Most similar vectors of every vector: a robust-pruned directed graph in each shard.
 
 1. Sharding: records linked (directly or through others) at the threshold belong together, and no
-   wanted pair crosses two such groups; the groups come from the grids of ``vectors``. A group of
-   more than SHARD_ROWS records is cut into parts by id, and each pair of parts is a shard, so
-   every two of its records meet in a shard; there a matrix product replaces steps 2 and 3, since
-   a beam search of bounded width loses neighbours in so dense a shard.
+   wanted pair crosses two such groups; the groups come from the grids of ``clusters``.
 2. In each shard a directed graph is built: greedy searches from the shard's entry propose
    neighbours, pruning with a relaxed distance (alpha 1.2) keeps diverse edges.
 3. Every record is a query: a beam search in each of its shards, the best k of all shards.
 4. The cosines of what is found are computed in double precision from the stored vectors.
 
+Groups of more than GRAPH_ROWS records are searched by matrix products instead of steps 2 and 3:
+a beam narrow enough to be worth its cost loses neighbours there (figures in the README). A group
+of more than SHARD_ROWS is cut into parts by id and each pair of parts is a shard, so that every
+two of its records meet; its cost grows with the square of the group.
+
 Measured against brute force, see the README. Defined results: as in ``clusters``; a record has
 fewer than k neighbours if fewer reach the threshold; equal cosines (to 1e-12) are ordered by
 name; identical vectors are neighbours with cosine 1, and of many of them only the k + 1 smallest
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.clusters import cluster_labels, count_vectors
+from corpuslens.llm.clusters import Labels
 from corpuslens.llm.graph import Graph
-from corpuslens.llm.vectors import good
+from corpuslens.operators.grids import good
 from corpuslens.session import Stage, ship
 
-SHARD_ROWS, PACK_ROWS = 8192, 16384
+GRAPH_ROWS, SHARD_ROWS, PACK_ROWS = 512, 8192, 16384
 
 
 def _stored(records: DataFrame, idc: str, vector: str, dim: int) -> DataFrame:
@@ -71,7 +73,8 @@ def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degre
     """(a, b, cosine): up to k best neighbours b of each a in each shard, by graph or exactly."""
     def pack(shard, ids, names, raw):  # noqa: ANN001, ANN202
         # Of identical vectors the k + 1 smallest names are in the graph; the others' neighbours are the k smallest.
-        _, same, n_same = np.unique(np.array(raw, dtype=object), return_inverse=True, return_counts=True)
+        run = np.cumsum(np.diff(shard, prepend=shard[0]) != 0)  # a row may stand in several shards of a pack
+        _, same, n_same = np.unique(run * len(raw) + np.unique(np.array(raw, dtype=object), return_inverse=True)[1], return_inverse=True, return_counts=True)
         extra = None
         if n_same.max() > k + 1:
             name = np.array(names, dtype=object)
@@ -139,22 +142,23 @@ def _search(shards: DataFrame, dim: int, k: int, least: float, parts: int, degre
     return shards.repartition(parts, "shard").mapInArrow(run, "a string, b string, cosine double")
 
 
-def neighbours(records: DataFrame, idc: str, vector: str, k: int, least: float, dim: int = 64, grids: int = 4,
-               degree: int = 12, beam: int = 16) -> DataFrame:
+def neighbours(records: DataFrame, idc: str, vector: str, k: int, least: float, dim: int = 64, degree: int = 12, beam: int = 16) -> DataFrame:
     """(a, b, cosine): the up to k most similar records b of each record a, cosine at least ``least``."""
     spark = records.sparkSession
     stage = Stage(spark, "neighbours")
-    rows = count_vectors(records, vector, dim)
-    lab = stage.put(cluster_labels(records, idc, vector, least, dim, grids, stage), "labels").distinct()
-    cuts = F.when(F.count("*") > SHARD_ROWS, F.ceil(F.count("*") * 2 / SHARD_ROWS)).otherwise(1).cast("long")
+    lab = stage.put(Labels(records, idc, vector, least, dim, stage=stage).labels(), "all-labels")
+    n = F.count("*")
+    cuts = F.when(n > SHARD_ROWS, F.ceil(n * 2 / SHARD_ROWS)).when(n > GRAPH_ROWS, 1).otherwise(0).cast("long")
     size = lab.groupBy("label").agg(cuts.alias("parts"))
     where = stage.put(lab.join(size, "label").select("id", "label", "parts"), "where")
+    counts = {r["parts"] for r in where.select(F.least("parts", F.lit(2)).alias("parts")).distinct().collect()}
     at = _stored(records, idc, vector, dim).join(where, "id").select("id", "name", "x", "label", "parts")
-    single = where.filter("parts > 1").isEmpty()
-    shards = at.filter("parts = 1").select(F.col("label").alias("shard"), "id", "name", "x")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000)
-    found = _search(shards, dim, k, least, parts, degree, beam)
-    if single:  # every record is in one shard
+    whole = lambda p: at.filter(F.col("parts") == p).select(F.col("label").alias("shard"), "id", "name", "x")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), where.count() // 20_000)
+    found = _search(whole(0), dim, k, least, parts, degree, beam)
+    if 1 in counts:
+        found = found.unionByName(_search(whole(1), dim, k, least, parts, degree, beam, exact=True))
+    if 2 not in counts:  # every record is in one shard
         return found
     found = found.unionByName(_search(_cut(at), dim, k, least, parts, degree, beam, exact=True))
     found = stage.put(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "found")

@@ -38,4 +38,11 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_typical": p1_typical, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": """WITH RECURSIVE g AS (SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM chunk_records WHERE chunk_id IS NOT NULL AND
+          coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) GROUP BY 1),
+        l AS (SELECT x.chunk_id AS a, y.chunk_id AS b FROM g x JOIN g y ON x.chunk_id <> y.chunk_id WHERE list_cosine_similarity(x.e, y.e) >= 0.82),
+        s AS (SELECT a AS id, a AS t FROM l UNION SELECT a, b FROM l), c(id, t) AS (SELECT id, t FROM s UNION SELECT c.id, l.b FROM c JOIN l ON c.t = l.a),
+        k AS (SELECT id, min(t) AS cluster_key FROM c GROUP BY 1)
+        SELECT cluster_key, id AS chunk_id FROM k QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 8""",
+}

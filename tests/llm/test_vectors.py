@@ -1,11 +1,13 @@
 import numpy as np
+import pytest
 
 from corpuslens.llm import neighbours as neighbours_module
-from corpuslens.llm import vectors
 from corpuslens.llm.clusters import clusters, typical_members
 from corpuslens.llm.graph import Graph
 from corpuslens.llm.neighbours import neighbours, pairs_of
-from corpuslens.llm.vectors import fragments, refinement
+from corpuslens.llm.links import fragments
+from corpuslens.operators import grids as vectors
+from corpuslens.operators.grids import refinement
 
 rng = np.random.RandomState(4)
 
@@ -61,16 +63,66 @@ def test_identical_vectors(spark):
     assert got == 3000
 
 
-def test_spread_cells(spark, monkeypatch):
-    from corpuslens.llm import vectors as V
+def components_of(rows, cut, least):
+    ids, s = brute(rows)
+    lab = np.arange(len(ids))
+    i, j = np.nonzero(s >= cut)
+    while True:
+        new = lab.copy()
+        np.minimum.at(new, i, lab[j])
+        new = new[new]
+        if (new == lab).all():
+            break
+        lab = new
+    n = np.bincount(lab, minlength=len(ids))
+    return {(ids[lab[k]], ids[k]) for k in range(len(ids)) if n[lab[k]] >= least}
+
+
+def top(rows, k, least):
+    ids, s = brute(rows)
+    np.fill_diagonal(s, -2)
+    return {(ids[i], ids[j]) for i in range(len(ids)) for j in np.argsort(-s[i], kind="stable")[:k] if s[i, j] >= least}
+
+
+def simple(spark, rows):
+    return spark.createDataFrame(rows, "cid string, emb array<float>").repartition(4)
+
 
+def loose(groups, size, spread, noise, seed):
+    """Groups near one axis whose members have few partners over the cut."""
+    r = np.random.RandomState(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    c = unit(np.eye(1, 64) + spread * unit(r.randn(groups, 64)))
+    return [(f"l{g:04}-{i:02}", unit(c[g] + noise * unit(r.randn(64))).astype(np.float32).tolist()) for g in range(groups) for i in range(size)]
+
+
+def test_loose_clusters(spark):
+    rows = loose(150, 12, 1.2, 0.5, 21)
+    want = components_of(rows, 0.82, 8)
+    got = {(r.cluster_key, r.name) for r in clusters(simple(spark, rows), "cid", "emb", 0.82).collect()}
+    assert len(want) > 300 and len(got & want) / len(want) >= 0.99 and len(got & want) / len(got) >= 0.99, (len(want), len(got), len(got & want))
+
+
+def test_hot_cells_are_refined(spark, monkeypatch):
     c = rng.randn(64)
     rows = [(f"s{i:04}", (c + rng.randn(64) * 0.2).astype(np.float32).tolist()) for i in range(600)]
-    df = frame(spark, rows)
-    monkeypatch.setattr(V, "CELL_ROWS", 50)
-    links = V.cell_links(V.gridded(df, "cid", "emb", 64, 6, 600), 64, 0.82, 4)
-    assert links.filter("v is not null").count() > 0
-    assert clusters(df, "cid", "emb", 0.82).count() == 600
+    line = rng.randn(64)
+    far = rng.randn(64)
+    rows += [(f"t{i:04}", (far + line * (i + 1) / 3000).astype(np.float32).tolist()) for i in range(300)]
+    df = simple(spark, rows)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 60)
+    v = vectors.distinct_vectors(df, "cid", "emb", 64)
+    cells = vectors.gridded(v, 64, [0, 1], 900).collect()
+    inside, blocks = {}, {}
+    for x in cells:
+        inside.setdefault((x.cell, x.block >> 24), set()).add(x.id)
+        blocks.setdefault((x.cell, x.block), set()).add(x.id)
+    met = {(k[0], k[1] >> 24, a, b) for k, y in blocks.items() for a in y for b in y}
+    assert max(len(y) for y in blocks.values()) < 2 * 60 and max(map(len, inside.values())) > 100
+    assert all((*k, a, b) in met for k, y in inside.items() for a in y for b in y)
+    got = {(r.cluster_key, r.name) for r in clusters(df, "cid", "emb", 0.82).collect()}
+    assert {n for k, n in got if k == "s0000"} == {i for i, _ in rows if i[0] == "s"}
+    assert {n for k, n in got if k == "t0000"} == {i for i, _ in rows if i[0] == "t"}
 
 
 def test_neighbours(spark):
@@ -137,24 +189,24 @@ def test_fragments_dense_and_sparse():
 
 
 def test_refinement_grows():
-    assert refinement(1000, 64) == 0 and refinement(10**6, 64) <= 64 and refinement(10**6, 64) >= 8
+    assert refinement(1000, 64) == [] and refinement(10**6, 64) == [16] and refinement(10**8, 64) == [64, 8] and len(refinement(10**12, 64)) == 4
 
 
-def test_every_two_rows_of_a_hot_cell_meet(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CELL_ROWS", 60)
-    r = np.random.RandomState(8)
+@pytest.mark.parametrize("n", [600, 2000])
+def test_neighbours_of_a_whole_group(spark, n):
+    r = np.random.RandomState(n)
     c = r.randn(64)
-    rows = [(f"h{i:04}", (c + r.randn(64) * 0.03).astype(np.float32).tolist()) for i in range(300)]
-    rows += [(f"r{i:04}", r.randn(64).astype(np.float32).tolist()) for i in range(900)]
-    df = spark.createDataFrame(rows, "cid string, emb array<float>").coalesce(1).sortWithinPartitions("cid").repartitionByRange(6, "cid")
-    cells = vectors.gridded(df, "cid", "emb", 64, 2, 320_000).select("cell", "block", "id").collect()
-    inside, blocks = {}, {}
-    for x in cells:
-        inside.setdefault(x.cell, set()).add(x.id)
-        blocks.setdefault((x.cell, x.block), set()).add(x.id)
-    met = {(k[0], a, b) for k, v in blocks.items() for a in v for b in v}
-    assert max(len(v) for v in inside.values()) > 120 and max(len(v) for v in blocks.values()) < 120
-    assert all((k, a, b) in met for k, v in inside.items() for a in v for b in v)
+    rows = [(f"n{i:05}", (c + r.randn(64) * 0.36).astype(np.float32).tolist()) for i in range(n)]
+    want = top(rows, 3, 0.85)
+    got = {(x.a, x.b) for x in neighbours(simple(spark, rows), "cid", "emb", 3, 0.85).collect()}
+    assert len(want) > n and len(want & got) / len(want) >= 0.95, len(want & got) / len(want)
+
+
+def test_neighbours_in_loose_groups(spark):
+    rows = loose(100, 15, 1.5, 0.42, 5)
+    want = top(rows, 3, 0.85)
+    got = {(x.a, x.b) for x in neighbours(simple(spark, rows), "cid", "emb", 3, 0.85).collect()}
+    assert len(want) > 1000 and len(want & got) / len(want) >= 0.97, len(want & got) / len(want)
 
 
 def test_neighbours_of_a_large_group(spark, monkeypatch):
