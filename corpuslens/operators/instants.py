@@ -1,18 +1,22 @@
 """Normalising creation times of mixed spellings, precisions and zones to one UTC instant.
 
-Every value is parsed under each interpretation that its shape allows. Only slashed dates have
-two (day first, month first); which one a source uses is a mixture parameter fitted by
-expectation maximisation over the source's own values:
-
-* E step: a value valid under one order gives it all its weight, a value valid under both is
-  shared in proportion to the current mixture.
+Every value is parsed under each interpretation that its shape allows. Slashed dates have two (day
+first, month first), dates of three two-digit numbers up to three (day, month or year first; years
+00 to 68 are of this century). Which order a source uses is a mixture fitted by expectation
+maximisation over the source's own values:
+
+* likelihood: a valid reading between 1990 and a day after the record was received (if that is
+  known) has 1, any other valid one RARE, an impossible date 0;
+* E step: a value is shared among its readings in proportion to likelihood times mixture weight;
 * M step: the mixture is the normalised weight plus a symmetric prior count.
 
-A source is a collection. The sufficient statistics are three counts a source, so the loop runs
-inside one Catalyst expression (``aggregate`` over a sequence) on the aggregated rows: one
-partially aggregated shuffle of a few rows a source, whatever the number of values. A declared
-order of the source is a prior of weight one and leaves nothing to estimate. A value whose best
-posterior stays under ``confidence`` has no instant by this reading and is marked ambiguous.
+A source is a collection. Its sufficient statistics are the counts of values by the likelihoods of
+their three readings, 26 numbers at most, so the loop runs inside one Catalyst expression
+(``aggregate`` over a sequence) on the aggregated rows: two partially aggregated shuffles of a few
+rows a source, whatever the number of values. A declared order of the source is a mixture of
+weight one and leaves nothing to estimate. A value whose best posterior stays under ``confidence``
+has no instant by this reading and is marked ambiguous; readings of the same instant count together.
+The unit of an epoch follows from its length, which leaves no two plausible units.
 
 Defined results: null, blank, unreadable and impossible values give no instant from metadata;
 then the time inside a version-1 UUID or a ULID counts; else the instant is null. Null metadata,
@@ -86,11 +90,12 @@ def _once(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def with_readings(df: DataFrame, raw: Column) -> DataFrame:
-    """Adds _kind (epoch, plain, slashed; null: unreadable), _a, _b and _off.
+    """Adds _kind (epoch, plain, slashed, short; null: unreadable), _a, _b, _c and _off.
 
     _a: wall-clock (or, with a zone or for epochs, also zoned) microseconds of the only reading,
-    for slashed dates of the day-first one; _b of the month-first one. _off: seconds, null
-    without a zone. Each step is a projection of its own, so that the parts are computed once.
+    for slashed and short dates of the day-first one; _b of the month-first, _c of the year-first
+    one. _off: seconds, null without a zone. Each step is a projection of its own, so that the
+    parts are computed once.
     """
     g = lambda i: F.col("_g")[i]
     n = lambda c: F.col(c)
@@ -116,7 +121,7 @@ def with_readings(df: DataFrame, raw: Column) -> DataFrame:
     df = _once(df, _p=F.when(date, F.struct(
         _int(g(0)).alias("x"), g(1).alias("sep"), F.when(worded, month).otherwise(F.when(~worded, g(2)).cast("int")).alias("y"),
         _int(g(4)).alias("z"), worded.alias("w"), clock.alias("clock"),
-        (g(1) == g(3)).alias("same"), F.length(g(0)).alias("lx"), F.length(g(4)).alias("lz"),
+        (g(1) == g(3)).alias("same"), F.length(g(0)).alias("lx"), F.length(g(2)).alias("ly"), F.length(g(4)).alias("lz"),
         F.when(g(10) != "", _zone_offset(g(10))).alias("off"), (g(10) == "").alias("local"))),
         _epoch=F.when(F.size("_g") == 2, F.floor(epoch).cast("long")))
     q = F.col("_p")
@@ -125,15 +130,18 @@ def with_readings(df: DataFrame, raw: Column) -> DataFrame:
     year_first = (sep == "-") & ~q["w"] & (q["lx"] == 4) & (q["lz"] <= 2)
     day_first = ((sep == ".") & ~q["w"] | (blank | (sep == "-")) & q["w"]) & (q["lx"] <= 2) & (q["lz"] == 4)
     slashed = (sep == "/") & ~q["w"] & (q["lx"] <= 2) & (q["lz"] == 4)
-    kind = F.when(F.col("_epoch").isNotNull(), "epoch").when(ok & (year_first | day_first), "plain").when(ok & slashed, "slashed")
+    short = ~blank & ~q["w"] & (q["lx"] == 2) & (q["ly"] == 2) & (q["lz"] == 2)
+    century = lambda y: y + F.when(y <= 68, 2000).otherwise(1900)
+    kind = F.when(F.col("_epoch").isNotNull(), "epoch").when(ok & (year_first | day_first), "plain").when(ok & slashed, "slashed").when(ok & short, "short")
     df = _once(df, _kind=kind, _ymd=F.when(year_first, F.struct(q["x"].alias("y"), q["y"].alias("m"), q["z"].alias("d")))
-               .otherwise(F.struct(q["z"].alias("y"), q["y"].alias("m"), q["x"].alias("d"))))
+               .otherwise(F.struct(F.when(short, century(q["z"])).otherwise(q["z"]).alias("y"), q["y"].alias("m"), q["x"].alias("d"))))
     e = F.col("_ymd")
     us = lambda day: day * F.lit(86_400_000_000).cast("long") + q["clock"]
     a = F.when(F.col("_kind") == "epoch", F.col("_epoch")).when(F.col("_kind").isNotNull(), us(_day(e["y"], e["m"], e["d"])))
-    b = F.when(F.col("_kind") == "slashed", us(_day(e["y"], e["d"], e["m"])))
+    b = F.when((F.col("_kind") == "slashed") | (F.col("_kind") == "short") & (sep != "."), us(_day(e["y"], e["d"], e["m"])))
+    c = F.when(F.col("_kind") == "short", us(_day(century(e["d"]), e["m"], q["z"])))
     off = F.when(F.col("_kind") == "epoch", 0).otherwise(q["off"])
-    return _once(df, _a=a, _b=b, _off=off).drop("_v", "_g", "_p", "_epoch", "_ymd")
+    return _once(df, _a=a, _b=b, _c=c, _off=off).drop("_v", "_g", "_p", "_epoch", "_ymd")
 
 
 def id_instant(cid: Column) -> Column:
@@ -156,18 +164,43 @@ def _known_zones(spark: SparkSession) -> list[str]:
     return sorted(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(","))
 
 
+READINGS = ("_a", "_b", "_c")
+RARE = 1e-3  # likelihood of a reading outside the plausible time
+FIRST_US = 631_152_000_000_000  # 1990-01-01
+
+
+def likelihoods(received: Column) -> dict[str, Column]:
+    """_wa, _wb, _wc: of the readings; received: microseconds or null."""
+    def one(t: Column) -> Column:
+        early = t < FIRST_US
+        late = F.coalesce(t > received + 86_400_000_000, F.lit(False))
+        return F.when(t.isNull(), 0.0).when(early | late, RARE).otherwise(1.0)
+
+    return {f"_w{x[1]}": one(F.col(x)) for x in READINGS}
+
+
 def fit_orders(parsed: DataFrame, rounds: int = 20, prior: float = 0.5) -> DataFrame:
-    """(_src, _pd): the fitted share of day-first slashed dates of each source."""
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
-    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
-    stats = parsed.filter(F.col("_kind") == "slashed").groupBy("collection").agg(
-        n(a & ~b).alias("_na"), n(b & ~a).alias("_nb"),
-        n(a & b & (F.col("_a") != F.col("_b"))).alias("_nab"), F.max("_order").alias("_o"))
-    step = lambda p, _: (F.col("_na") + F.lit(prior) + F.col("_nab") * p) / (
-        F.col("_na") + F.col("_nb") + F.col("_nab") + F.lit(2 * prior))
-    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.5), step)
-    p = F.when(F.col("_o") == "DMY", 1.0).when(F.col("_o") == "MDY", 0.0).otherwise(fitted)
-    return stats.select(F.col("collection").alias("_src"), p.alias("_pd"))
+    """(_src, _pa, _pb, _pc): the fitted mixture of day-first, month-first and year-first dates of each source."""
+    a, b, c = (F.col(x) for x in READINGS)
+    same = F.coalesce((a == b) & c.isNull(), F.lit(False))  # tells nothing
+    live = parsed.filter(F.col("_kind").isin("slashed", "short") & ~same & (a.isNotNull() | b.isNotNull() | c.isNotNull()))
+    count = live.groupBy("collection", "_wa", "_wb", "_wc").agg(F.count("*").alias("_n"), F.max("_order").alias("_o"))
+    stats = count.groupBy("collection").agg(F.collect_list(F.struct("_wa", "_wb", "_wc", "_n")).alias("_s"), F.max("_o").alias("_o"))  # 26 patterns at most
+    triple = lambda x, y, z: F.struct(x.alias("a"), y.alias("b"), z.alias("c"))
+
+    def step(p: Column, _: Column) -> Column:
+        def add(t: Column, s: Column) -> Column:
+            w = [s["_wa"] * p["a"], s["_wb"] * p["b"], s["_wc"] * p["c"]]
+            k = s["_n"] / (w[0] + w[1] + w[2])
+            return triple(t["a"] + k * w[0], t["b"] + k * w[1], t["c"] + k * w[2])
+
+        t = F.aggregate("_s", triple(*[F.lit(prior)] * 3), add)
+        return F.transform(F.array(t), lambda t: triple(*[t[x] / (t["a"] + t["b"] + t["c"]) for x in "abc"]))[0]
+
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), triple(*[F.lit(1 / 3)] * 3), step)
+    one = lambda *p: triple(*map(F.lit, p))
+    p = F.when(F.col("_o") == "DMY", one(1.0, 0.0, 0.0)).when(F.col("_o") == "MDY", one(0.0, 1.0, 0.0)).otherwise(fitted)
+    return stats.select(F.col("collection").alias("_src"), F.inline(F.array(p)).alias("_pa", "_pb", "_pc"))
 
 
 def resolve_instants(records: DataFrame, settings: DataFrame, confidence: float = 0.9) -> DataFrame:
@@ -187,15 +220,22 @@ def resolve_instants(records: DataFrame, settings: DataFrame, confidence: float
         records.join(s, F.col("collection") == F.col("_c"), "left").drop("_c"),
         F.coalesce(F.try_element_at(md, F.lit("created_at")), F.try_element_at(md, F.lit("createdAt"))),
     ).withColumn("_mz", F.try_element_at(md, F.lit("tz")))
-    fit = fit_orders(parsed.select("collection", "_kind", "_a", "_b", "_order"))
+    received = F.unix_micros(F.col("received_at").cast("timestamp")) if "received_at" in names else F.lit(None).cast("long")
+    parsed = _once(parsed, **likelihoods(received))
+    fit = fit_orders(parsed.select("collection", "_kind", *READINGS, "_wa", "_wb", "_wc", "_order"))
     j = parsed.join(fit, F.col("collection") == F.col("_src"), "left").drop("_src")
-    a, b, p = F.col("_a"), F.col("_b"), F.coalesce(F.col("_pd"), F.lit(0.5))
-    # Posterior of the day-first reading; null: no reading has any weight.
-    post = F.when(b.isNull(), F.when(a.isNotNull() & (p > 0), 1.0)).when(
-        a.isNull(), F.when(p < 1, 0.0)).when(a == b, 1.0).otherwise(p)
-    j = _once(j, _post=F.when(F.col("_kind") == "slashed", post))
-    po = F.col("_post")
-    wall = F.when(F.col("_kind") != "slashed", a).when(po >= confidence, a).when(po <= 1 - confidence, b)
+    mixed = F.col("_kind").isin("slashed", "short")
+    a, b, c = (F.col(x) for x in READINGS)
+    share = [F.col(f"_w{x}") * F.coalesce(f"_p{x}", F.lit(1 / 3)) for x in "abc"]
+    j = _once(j, **{f"_q{x}": F.when(mixed, w) for x, w in zip("abc", share)})
+    qs = [F.col(f"_q{x}") for x in "abc"]
+    total = qs[0] + qs[1] + qs[2]
+    # Posterior of each reading's instant; null: no reading has any weight.
+    post = {f"_r{x}": F.when(total > 0, sum(F.when(t == u, q).otherwise(0.0) for u, q in zip((a, b, c), qs)) / total) for x, t in zip("abc", (a, b, c))}
+    j = _once(j, **post)
+    sure = [F.coalesce(F.col(f"_r{x}") >= confidence, F.lit(False)) for x in "abc"]
+    wall = F.when(~mixed, a).when(sure[0], a).when(sure[1], b).when(sure[2], c)
+    j = _once(j, _ambiguous=F.coalesce(mixed & (total > 0) & ~(sure[0] | sure[1] | sure[2]), F.lit(False)))
     known = ", ".join(f"'{z}'" for z in zones)  # as SQL: one call instead of a thousand
     zone = F.expr(f"coalesce(CASE WHEN _mz IN ({known}) THEN _mz END, CASE WHEN _tz IN ({known}) THEN _tz END, 'UTC')")
     j = _once(j, _wall=F.when(wall.between(-62135596800000000, LAST_US), wall), _z=zone)
@@ -212,4 +252,4 @@ def resolve_instants(records: DataFrame, settings: DataFrame, confidence: float
         *names, F.coalesce("_m", "_i").alias("utc_us"),
         F.when(F.col("_m").isNotNull(), "metadata_field").when(
             F.col("_i").isNotNull(), F.when(F.length("chunk_id") == 36, "uuid_v1").otherwise("ulid")).alias("instant_source"),
-        F.coalesce((po > 1 - confidence) & (po < confidence), F.lit(False)).alias("ambiguous"))
+        F.col("_ambiguous").alias("ambiguous"))

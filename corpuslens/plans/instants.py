@@ -10,7 +10,7 @@ from corpuslens.sources.tables import load
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["record_no", "collection", "chunk_id", "metadata"]
+    cols = ["record_no", "collection", "chunk_id", "metadata", "received_at"]
     return resolve_instants(load(spark, d, "chunk_records").select(*cols), load(spark, d, "collection_settings"))
 
 

@@ -14,7 +14,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
 
@@ -91,6 +92,12 @@ class Stage:
         self.paths[label] = path
         return self.spark.read.schema(schema).parquet(path)
 
+    def put_counted(self, df: DataFrame, label: str) -> tuple[DataFrame, int]:
+        """Like put, with the number of rows, counted while they are written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+        return out, seen.get["n"]
+
     def done(self, *labels: str) -> None:
         """Removes tables that nothing reads any more."""
         for x in labels:
@@ -108,6 +115,14 @@ class Stage:
             self.drop(old)
         return out
 
+    def replace_counted(self, df: DataFrame, label: str) -> tuple[DataFrame, int]:
+        """Like replace, with the number of rows."""
+        old = self.paths.get(label)
+        out = self.put_counted(df, label)
+        if old:
+            self.drop(old)
+        return out
+
 
 _SHIPPED: set[str] = set()
 

@@ -80,5 +80,35 @@ def test_orders_are_learned(spark):
     assert got[16] == (None, None, True)
 
 
+def test_two_digit_dates(spark):
+    """Orders of short dates: learned where the source shows them, ambiguous where it doesn't."""
+    v = lambda x: {"created_at": x}
+    year = [("y", "x", v(f"{y}-{m:02}-28 10:00"), None) for y in range(95, 100) for m in (1, 5, 11)] + [("y", "x", v("21-03-04"), None)]
+    day = [("d", "x", v(f"{d}.12.99"), None) for d in range(13, 29)] + [("d", "x", v("05.06.07"), None), ("d", "x", v("31/12/98"), None)]
+    lone = [("l", "x", v("05-06-07"), None), ("l", "x", v("07-07-07"), None), ("l", "x", v("99-99-99"), None), ("m", "x", v("05/06/07"), None), ("l", "x", v("5-6-7"), None)]
+    cases = year + day + lone
+    got = run(spark, cases, [("y", None, None), ("m", None, "MDY")])
+    n, k = len(year), len(year) + len(day)
+    assert got[n - 1][:2] == (us(2021, 3, 4), "metadata_field") and got[0][0] == us(1995, 1, 28, 10)
+    assert got[k - 2][0] == us(2007, 6, 5) and got[k - 1][0] == us(1998, 12, 31) and got[n][0] == us(1999, 12, 13)
+    assert got[k] == (None, None, True) and got[k + 1][0] == us(2007, 7, 7) and got[k + 2] == (None, None, False) and got[k + 3][0] == us(2007, 5, 6) and got[k + 4][0] is None
+
+
+def test_a_mixed_source_stays_open(spark):
+    """Day-first and month-first values in equal number leave the others ambiguous; what only one order allows is read."""
+    v = lambda x: {"created_at": x}
+    cases = [("u", "x", v(f"{d}/01/2024"), None) for d in range(13, 28)] + [("u", "x", v(f"01/{d}/2024"), None) for d in range(13, 28)] + [("u", "x", v("03/04/2024"), None)]
+    got = run(spark, cases, [])
+    assert got[0][0] == us(2024, 1, 13) and got[15][0] == us(2024, 1, 13) and got[30] == (None, None, True)
+
+
+def test_future_readings_are_rare(spark):
+    """A reading after the record was received hardly counts."""
+    rows = [(i, "u", "x", {"created_at": x}, datetime(2024, 6, 1)) for i, x in enumerate(["02/11/2024", "03/10/2024", "04/12/2024", "05/09/2024"])]
+    df = spark.createDataFrame(rows, "record_no long, collection string, chunk_id string, metadata map<string,string>, received_at timestamp_ntz")
+    got = {r.record_no: r.utc_us for r in resolve_instants(df, spark.createDataFrame([], SET)).collect()}
+    assert got == {0: us(2024, 2, 11), 1: us(2024, 3, 10), 2: us(2024, 4, 12), 3: us(2024, 5, 9)}
+
+
 def test_empty(spark):
     assert run(spark, [], [("u", None, None)]) == {}
