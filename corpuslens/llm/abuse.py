@@ -14,8 +14,9 @@ documents judged clean are negative; of each document judged abusive the sentenc
 score is positive in the next round; a positive that the model puts with the negatives, and a
 negative that it puts far with the positives, is taken for a wrong verdict and left out.
 
-The fit takes at most ``max_documents`` labelled documents (documented bound, chosen by hash); scores and rates cover all documents and whole texts. A document's score is the
-highest of its passages.
+The fit takes at most ``max_documents`` labelled documents (documented bound, chosen by hash), and of
+their clean passages BASE at random and the HARD ones with the highest scores. Scores and rates
+cover all documents and whole texts. A document's score is the highest of its passages.
 
 Defined results: null, empty and blank texts have no passage and score null; labels that are null
 or tied are ignored; repeated labels count as votes; without labels of both kinds no document is
@@ -47,15 +48,21 @@ INNER = re.compile(r"(?<=\w)[@$!](?=\w)|(?<!\w)[@$](?=\w)|(?<=\w)[$](?!\w)")
 OTHER = re.compile(r"[^\w#]+|_+")
 WORDS, STEP = 20, 8
 COARSE, ALIKE, MARGIN = 512, 0.5, 0.15
+BASE, HARD = 5000, 3000
 
 
 def plain(sentence: str) -> str:
-    s = unicodedata.normalize("NFKD", sentence.lower())
-    s = "".join(c for c in s if not unicodedata.combining(c) and c not in "​‌‍­")
+    s = sentence.lower()
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s)
+        s = "".join(c for c in s if not unicodedata.combining(c) and c not in "\u200b\u200c\u200d\u00ad")
     s = SPELLED.sub(lambda m: re.sub(r"[\W_]", "", m.group()), s)
     s = NUMBER.sub("#", s)
-    s = INNER.sub(lambda m: m.group().translate(LOOKALIKE), s).replace("*", "")
-    words = OTHER.sub(" ", s).split()
+    if "@" in s or "$" in s or "!" in s:
+        s = INNER.sub(lambda m: m.group().translate(LOOKALIKE), s)
+    words = OTHER.sub(" ", s.replace("*", "")).split()
+    if "".join(words).replace("#", "").isalpha():
+        return " ".join(words)
     return " ".join(w if w.isalpha() or w == "#" else w.translate(LOOKALIKE) for w in words)
 
 
@@ -83,9 +90,8 @@ def _codes(passage_list: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint32), np.flatnonzero(brk) + 1
 
 
-def features(passage_list: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+def features(c: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each gap pattern: places (signed by their top bit), whether they lie in one passage, weight."""
-    c, ends = _codes(passage_list)
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(c))
     for i, j, k in OFFSETS:
         n = len(c) - k
@@ -98,9 +104,8 @@ def features(passage_list: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield h >> np.uint32(17), left[:n] > k, DECAY ** (k - 3)
 
 
-def _norms(passage_list: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _norms(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start of each passage, norm of its occurrences)."""
-    _, ends = _codes(passage_list)
     n = np.diff(ends, prepend=0)
     sq = sum(DECAY ** (2 * (k - 3)) * np.maximum(n - k, 0) for _, _, k in OFFSETS)
     return ends - n, np.sqrt(np.maximum(sq, 1e-9))
@@ -108,24 +113,25 @@ def _norms(passage_list: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def scores(passage_list: list[str], weight: np.ndarray) -> np.ndarray:
     """weight: PLACES values; the product of each passage's normalised row with it."""
-    start, norm = _norms(passage_list)
+    if not passage_list:
+        return np.zeros(0)
+    c, ends = _codes(passage_list)
+    start, norm = _norms(ends)
     both = np.concatenate([weight, -weight]).astype(np.float32)
-    total = None
-    for h, ok, w in features(passage_list):
-        v = both[h] * ok
-        if total is None:
-            total = np.zeros(len(_codes(passage_list)[0]), np.float32)
-        total[: len(v)] += v * np.float32(w)
-    return np.add.reduceat(total, start) / norm if total is not None else np.zeros(len(passage_list))
+    total = np.zeros(len(c), np.float32)
+    for h, ok, w in features(c, ends):
+        total[: len(h)] += both[h] * (ok * np.float32(w))
+    return np.add.reduceat(total, start) / norm
 
 
 def rows(passage_list: list[str], places: int = PLACES) -> np.ndarray:
     """Dense normalised rows in subsequence space."""
-    start, norm = _norms(passage_list)
-    n = np.diff(np.append(start, len(_codes(passage_list)[0])))
+    c, ends = _codes(passage_list)
+    start, norm = _norms(ends)
+    n = np.diff(np.append(start, len(c)))
     owner = np.repeat(np.arange(len(passage_list)), n) * places
     at, val = [], []
-    for h, ok, w in features(passage_list):
+    for h, ok, w in features(c, ends):
         h = h[ok]
         at.append(owner[: len(ok)][ok] + (h & np.uint32(places - 1)))
         val.append(np.where(h >= PLACES, -w, w))
@@ -185,7 +191,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 384, rounds: int
     often, rare = Counter(clean), Counter(flat)
     sure = [p for p, n in often.most_common(landmarks) if n >= 3 and n > 2 * rare[p]]
     clean = list(dict.fromkeys(clean))
-    base = [clean[i] for i in np.sort(pick(len(clean), 5000))]
+    base = [clean[i] for i in np.sort(pick(len(clean), BASE))]
     use, negs = np.flatnonzero(good_seed), list(dict.fromkeys(sure + base))
     weight, bias = None, 0.0
     for r in range(rounds):
@@ -193,7 +199,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = 384, rounds: int
         if weight is not None:  # the hardest clean passages, but for those of wrong verdicts
             s = scores(clean, weight) + bias
             order = np.argsort(-s)
-            hard = [clean[i] for i in order[s[order] < (0.9 if r == 1 else 0.6)][:3000]]
+            hard = [clean[i] for i in order[s[order] < (0.9 if r == 1 else 0.6)][:HARD]]
             negs = list(dict.fromkeys(sure + hard + base))
             marks += hard[: landmarks // 6]
         marks += sure[: landmarks // 4]
@@ -246,14 +252,13 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
         w, t = model.value
         for b in batches:
             best = np.full(b.num_rows, np.nan)
-            at, flat, own = b.schema.get_field_index("text"), [], []
+            at, flat, own = b.schema.get_field_index("text"), {}, []  # passages that recur are scored once
             for i, x in enumerate([*b.column(at).to_pylist(), None]):
-                p = passages(x) if x else []
-                flat += p
-                own += [i] * len(p)
-                if flat and (len(flat) > 4000 or i == b.num_rows):
-                    np.fmax.at(best, own, scores(flat, w) - t)
-                    flat, own = [], []
+                own += [(i, flat.setdefault(p, len(flat))) for p in passages(x)] if x else []
+                if own and (len(flat) > 4000 or i == b.num_rows):
+                    who, what = np.array(own).T
+                    np.fmax.at(best, who, (scores(list(flat), w) - t)[what])
+                    flat, own = {}, []
             s = pa.array(np.where(np.isfinite(best), best, 0.0), mask=~np.isfinite(best))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), s], names=["doc_id", "source", "score"])
 
