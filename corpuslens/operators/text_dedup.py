@@ -2,24 +2,35 @@
 
 Two sets with a Jaccard similarity of at least t share an element among the first
 n - ceil(t n) + 1 of each set under any common order; with the rarest first, the joined lists are
-short and no pair is missed. Texts that are equal word for word are one vertex from the start, so
-copies never meet in the join; a text without words has one empty shingle, like its copies.
+short and no pair is missed. The order comes from a count table of fixed size over all texts, so
+that it is known inside a row and no set is taken apart and put together again. Texts that are
+equal word for word are one vertex from the start, so copies never meet in the join; a text
+without words has one empty shingle, like its copies.
+
+Shingles are 64-bit hashes from the start: two different ones collide in a pair of texts of a
+thousand words with a probability of 1e-13.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import shingles_of, words
-from corpuslens.session import Stage
+from corpuslens.session import Stage, ship
+
+CELLS = 1 << 18
 
 
 def text_vertices(chunks: DataFrame, k: int = 3) -> DataFrame:
-    """(vid, members, sh, n): one row per distinct word sequence; vid is its smallest chunk id."""
+    """(vid, n, sh): one row per distinct word sequence; vid is its smallest chunk id, sh its hashed shingles."""
     w = chunks.select("chunk_id", words("text").alias("w"))
-    g = w.groupBy(F.md5(F.array_join("w", " ")).alias("h")).agg(F.min(F.struct("chunk_id", "w")).alias("m"))
-    return g.select("h", F.col("m.chunk_id").alias("vid"), shingles_of(F.col("m.w"), k).alias("sh")).withColumn("n", F.size("sh"))
+    w = w.select(F.md5(F.array_join("w", " ")).alias("h"), "chunk_id", F.array_distinct(F.transform(shingles_of(F.col("w"), k), lambda x: F.xxhash64(x))).alias("sh"))
+    return w.groupBy("h").agg(F.min(F.struct("chunk_id", "sh")).alias("m")).select(F.col("m.chunk_id").alias("vid"), F.size("m.sh").alias("n"), F.col("m.sh").alias("sh"))
 
 
 def copies(chunks: DataFrame) -> DataFrame:
@@ -29,23 +40,43 @@ def copies(chunks: DataFrame) -> DataFrame:
     return w.join(lead, "h").select("chunk_id", "vid")
 
 
+def prefixes(vertices: DataFrame, threshold: float) -> DataFrame:
+    """(vid, n, s): the rarest shingles of each vertex, as many as a pair at the threshold needs."""
+    ship(vertices.sparkSession)
+    cell = F.pmod("s", F.lit(CELLS)).cast("int")
+    got = vertices.select(F.explode("sh").alias("s")).groupBy(cell.alias("c")).agg(F.count("*").alias("n")).toArrow()  # CELLS rows at most
+    count = np.zeros(CELLS, np.int64)
+    count[got["c"].to_numpy()] = got["n"].to_numpy()
+    table = vertices.sparkSession.sparkContext.broadcast(count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, s = b.column(1).to_numpy(), b.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            o = np.lexsort((s, table.value[s & (CELLS - 1)], row))
+            keep = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            first = o[np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) < keep[row]]
+            at = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(s[first])], names=["vid", "n", "s"])
+
+    return vertices.select("vid", "n", "sh").mapInArrow(run, "vid string, n int, s long")
+
+
 def similar_texts(chunks: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
     """(vid_a, vid_b, jaccard) of different word sequences with at least the threshold."""
     stage = Stage(chunks.sparkSession, "text-dedup")
-    v = stage.put(text_vertices(chunks, k).select("vid", "sh", "n"), "vertices")
-    e = v.select("vid", "n", F.explode("sh").alias("s")).withColumn("s", F.xxhash64("s"))
-    df = e.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
-    # Shingles of a single text match nothing, but count as places of the prefix: rare first.
-    o = e.join(df, "s", "left").groupBy("vid", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "s"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    p = stage.put(o.select("vid", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).filter("x.f > 1").select("vid", "n", F.col("x.s").alias("s")), "prefixes")
+    v = stage.put(text_vertices(chunks, k), "vertices")
+    p = prefixes(v, threshold)
     side = lambda c: p.select(F.col("vid").alias(f"vid_{c}"), F.col("n").alias(f"n_{c}"), "s")
-    cand = side("a").join(side("b"), "s").filter((F.col("vid_a") < F.col("vid_b")) & (F.col("n_a") >= F.col("n_b") * threshold) & (
-        F.col("n_b") >= F.col("n_a") * threshold)).select("vid_a", "vid_b").distinct()
+    cand = side("a").join(side("b"), "s").filter((F.col("vid_a") < F.col("vid_b")) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (
+        F.col("n_b") >= F.col("n_a") * threshold - 1e-9)).select("vid_a", "vid_b").distinct()
     cand = stage.put(cand, "candidates")
-    sets = lambda c: v.select(F.col("vid").alias(f"vid_{c}"), F.col("sh").alias(f"sh_{c}"))
-    j = F.size(F.array_intersect("sh_a", "sh_b")) / F.size(F.array_union("sh_a", "sh_b"))
-    return cand.join(sets("a"), "vid_a").join(sets("b"), "vid_b").withColumn("jaccard", j).filter(F.col("jaccard") >= threshold).select("vid_a", "vid_b", "jaccard")
+    sets = lambda c: v.select(F.col("vid").alias(f"vid_{c}"), F.col("n").alias(f"n_{c}"), F.col("sh").alias(f"sh_{c}"))
+    both = F.size(F.array_intersect("sh_a", "sh_b"))
+    j = cand.join(sets("a"), "vid_a").join(sets("b"), "vid_b").withColumn("_i", both)
+    return j.withColumn("jaccard", F.col("_i") / (F.col("n_a") + F.col("n_b") - F.col("_i"))).filter(F.col("jaccard") >= threshold).select("vid_a", "vid_b", "jaccard")
 
 
 def text_edges(chunks: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
