@@ -2,7 +2,8 @@
 
 Weighted sampling without replacement by exponential keys (Efraimidis and Spirakis): a document
 of weight w has the key -ln(u)/w, u from a hash of its id; a source's documents are taken in
-ascending order of the key until its budget is used up. A source whose budget exceeds its size
+ascending order of the key until its budget is used up, the last one if at least half of it fits
+(so a source misses its budget by half a document at most). A source whose budget exceeds its size
 first gives whole epochs, then the fraction left is selected by key.
 
 The prefix sums are two-level, so that a source with a third of all rows is no single task: a
@@ -40,9 +41,13 @@ def quality_weight(text: str) -> Column:
     return F.greatest(F.lit(0.05), letters / F.greatest(F.length(text), F.lit(1)))
 
 
-def measured(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, source, w, n_tokens), written once: texts are encoded one time."""
-    d = documents.select("doc_id", source_name("source").alias("source"), quality_weight("text").alias("w"), "text")
+def measured(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, quality: Column | None = None) -> DataFrame:
+    """(doc_id, source, w, n_tokens), written once: texts are encoded one time.
+
+    quality: weight of each document, at least 1e-6 (null: 1e-6); the share of letters if not given.
+    """
+    w = quality_weight("text") if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(1e-6))
+    d = documents.select("doc_id", source_name("source").alias("source"), w.alias("w"), "text")
     n = count_tokens(d.filter(F.col("source").isNotNull() & F.col("text").isNotNull()), vocabulary=vocabulary).drop("text")
     return Stage(documents.sparkSession, "mixing").put(n.filter("n_tokens > 0"), "documents")
 
@@ -69,9 +74,9 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7,
-        vocabulary: str = DEFAULT_VOCABULARY) -> tuple[DataFrame, DataFrame]:
+        vocabulary: str = DEFAULT_VOCABULARY, quality: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(chosen documents with repeats, report of the shares)."""
-    docs = measured(documents, vocabulary)
+    docs = measured(documents, vocabulary, quality)
     plan = budgets(docs, targets, total_tokens)
     u = ((F.xxhash64("doc_id", "mix_name", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))) + F.lit(0.5)) / F.lit(float(1 << 52))
     d = docs.join(plan.filter("available > 0").select("mix_name", "source", "epochs", "rest"), "source")
@@ -83,7 +88,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     d = d.join(cells.withColumn("_before", before).drop("_n"), ["mix_name", "source", "bucket"])
     upto = F.col("_before") + F.sum("n_tokens").over(
         W.partitionBy("mix_name", "source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    d = d.withColumn("repeats", (F.col("epochs") + (upto <= F.col("rest")).cast("int")).cast("int"))
+    fits = (F.col("rest") > 1e-6) & (upto - F.col("n_tokens") / 2 <= F.col("rest"))
+    d = d.withColumn("repeats", (F.col("epochs") + fits.cast("int")).cast("int"))
     chosen = d.filter("repeats > 0").select("mix_name", "source", "doc_id", "repeats", "n_tokens")
     got = chosen.groupBy("mix_name", "source").agg(
         F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("n_chosen"), F.max("repeats").alias("most_repeats"))

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from corpuslens.llm.consolidate import hash_to_min
+from pyspark.sql import functions as F
+
 from corpuslens.llm import sketch as S
 from corpuslens.llm.history import History, batches_of, groups_of
 from corpuslens.llm.mixing import mix
@@ -249,3 +251,5 @@ def test_mix(spark):
     a, b = mix(d.limit(0), t)
     assert a.count() == 0 and b.count() == 4
     assert mix(d, t.limit(0))[1].count() == 0
+    best = mix(d, t, total_tokens=300, quality=F.when(F.col("doc_id") % 3 == 0, 1000.0).otherwise(0.001))[0].filter("mix_name = 'm' and source = 'big-one'")
+    assert best.count() > 5 and best.filter("doc_id % 3 = 0").count() / best.count() > 0.9
