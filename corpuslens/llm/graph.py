@@ -47,18 +47,41 @@ class Graph:
             ids[a : a + batch], cos[a : a + batch] = self._beam(rows[a : a + batch], beam)
         return ids, cos
 
+    def find(self, q: np.ndarray, shard: int, beam: int, batch: int = 4096, starts: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Beam search of vectors that need not be rows, in the shard that begins at row ``shard``, from several of its rows."""
+        ids, cos = np.full((len(q), beam), -1), np.full((len(q), beam), -2.0, np.float32)
+        n = int(self.size[shard])
+        first = np.unique(np.append(self.entry[shard], shard + np.arange(min(starts, n)) * n // min(starts, n)))[:beam]
+        for a in range(0, len(q), batch):
+            v = q[a : a + batch]
+            i, c = np.full((len(v), beam), -1), np.full((len(v), beam), -2.0, np.float32)
+            i[:, : len(first)], c[:, : len(first)] = first, v @ self.x[first].T
+            i, c = self._walk(v, i, c)
+            o = np.argsort(-c, axis=1, kind="stable")
+            ids[a : a + batch], cos[a : a + batch] = np.take_along_axis(i, o, 1), np.take_along_axis(c, o, 1)
+        return ids, cos
+
     def _beam(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, x = len(rows), self.x
-        out_i, out_c = np.full((n, beam), -1), np.full((n, beam), -2.0, np.float32)
         # The row itself is expanded first as well: its own edges lead to its surroundings.
         q = x[rows]
-        ids, cos, done = np.full((n, beam), -1), np.full((n, beam), -2.0, np.float32), np.zeros((n, beam), bool)
+        ids, cos = np.full((n, beam), -1), np.full((n, beam), -2.0, np.float32)
         ids[:, 0] = rows
         cos[:, 0] = 2.0
         e = self.entry[rows]
         other = e != rows
         ids[other, 1] = e[other]
         cos[other, 1] = np.einsum("ij,ij->i", x[e[other]], q[other])
+        out_i, out_c = self._walk(q, ids, cos)
+        out_c[out_i == rows[:, None]] = -2.0
+        out_i[out_i == rows[:, None]] = -1
+        o = np.argsort(-out_c, axis=1, kind="stable")
+        return np.take_along_axis(out_i, o, 1), np.take_along_axis(out_c, o, 1)
+
+    def _walk(self, q: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expands the nearest row not yet expanded until each beam has none; (ids, cosines) in no order."""
+        n, beam, x = *ids.shape, self.x
+        out_i, out_c, done = ids.copy(), cos.copy(), np.zeros((n, beam), bool)
         live = np.arange(n)
         for _ in range(16 * beam):  # equal cosines may push one another out for ever
             if not len(live):
@@ -83,10 +106,7 @@ class Graph:
             done = np.take_along_axis(np.concatenate([done, np.zeros(new.shape, bool)], 1), top, 1)
         if len(live):
             out_i[live], out_c[live] = ids, cos
-        out_c[out_i == rows[:, None]] = -2.0
-        out_i[out_i == rows[:, None]] = -1
-        o = np.argsort(-out_c, axis=1, kind="stable")
-        return np.take_along_axis(out_i, o, 1), np.take_along_axis(out_c, o, 1)
+        return out_i, out_c
 
     def _prune(self, rows: np.ndarray, cand: np.ndarray, cos: np.ndarray) -> np.ndarray:
         """Robust pruning: takes the nearest, drops what is alpha times nearer to it than to the row."""

@@ -12,6 +12,9 @@ a beam narrow enough to be worth its cost loses neighbours there (figures in the
 of more than SHARD_ROWS is cut into parts by id and each pair of parts is a shard, so that every
 two of its records meet; its cost grows with the square of the group.
 
+``search`` answers a stated set of queries against all records without a threshold: every shard of
+a hash partition has a graph, and each query searches all of them.
+
 Measured against brute force, see the README. Defined results: as in ``clusters``; a record has
 fewer than k neighbours if fewer reach the threshold; equal cosines (to 1e-12) are ordered by
 name; identical vectors are neighbours with cosine 1, and of many of them only the k + 1 smallest
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpuslens.llm.clusters import Labels
 from corpuslens.llm.graph import Graph
@@ -166,6 +170,51 @@ def neighbours(records: DataFrame, idc: str, vector: str, k: int, least: float,
     return found.groupBy("a").agg(best.alias("n")).select("a", F.explode("n").alias("n")).select("a", "n.b", "n.cosine")
 
 
+def search(records: DataFrame, queries: DataFrame, idc: str, vector: str, k: int, dim: int = 64, shard_rows: int = 2048,
+           degree: int = 16, beam: int = 32, probe: int = 48) -> DataFrame:
+    """(a, b, cosine): the k most similar records b of each query a, however far, over all records.
+
+    queries: (idc, vector), a stated set. Records are spread over blocks by a hash, blocks are cut
+    into shards of ``shard_rows``, each with its graph; every query is searched in every shard by a
+    beam of ``probe``, and the best k of all shards stay. Blocks of records and of queries meet
+    once. A query's own name is no neighbour; equal cosines (to 1e-12) are ordered by name.
+    """
+    spark = records.sparkSession
+    stage = Stage(spark, "search")
+    rows = stage.put(_stored(records, idc, vector, dim).dropDuplicates(["id"]), "rows")
+    blocks = max(1, -(-rows.count() // PACK_ROWS))
+    q = _stored(queries, idc, vector, dim).dropDuplicates(["id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    d = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(31)), F.lit(blocks)).cast("int"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())}
+        if left.num_rows and right.num_rows:
+            right = right.take(pa.array(np.argsort(right["id"].to_numpy(), kind="stable")))
+            x, y = _floats(right["x"].to_pylist(), dim), _floats(left["x"].to_pylist(), dim)
+            names, asked = (np.array(t["name"].to_pylist(), dtype=object) for t in (right, left))
+            at = np.arange(0, len(x), shard_rows)
+            n = np.diff(np.append(at, len(x)))
+            g = Graph(x.astype(np.float32), np.repeat(at, n), np.repeat(n, n), degree, beam).build()
+            q32, ids = y.astype(np.float32), []
+            for s in at:
+                ids.append(g.find(q32, s, probe)[0][:, : k + 5])
+            ids = np.concatenate(ids, 1)
+            i, j = np.repeat(np.arange(len(y)), ids.shape[1]), ids.ravel()
+            i, j = i[j >= 0], j[j >= 0]
+            keep = asked[i] != names[j]
+            i, j = i[keep], j[keep]
+            c = np.concatenate([np.einsum("ij,ij->i", y[i[s : s + 65536]], x[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+            order = np.lexsort((np.argsort(np.argsort(names, kind="stable"))[j], -np.round(c, 12), i))
+            i, j, c = i[order], j[order], c[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out = {"a": pa.array(asked[i[first]], pa.string()), "b": pa.array(names[j[first]], pa.string()), "cosine": pa.array(c[first])}
+        return pa.table(out)
+
+    found = q.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(run, "a string, b string, cosine double")
+    w = W.partitionBy("a").orderBy(F.desc(F.round("cosine", 12)), "b")
+    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
 def pairs_of(found: DataFrame) -> DataFrame:
     """(chunk_a, chunk_b): one row per unordered pair."""
     return found.select(F.least("a", "b").alias("chunk_a"), F.greatest("a", "b").alias("chunk_b")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.clusters import clusters, typical_members
-from corpuslens.llm.neighbours import neighbours, pairs_of
+from corpuslens.llm.neighbours import neighbours, pairs_of, search
 from corpuslens.sources.tables import load
 
 LINK, SIMILAR, K = 0.82, 0.85, 3
@@ -32,12 +32,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The 3 most similar records of each record with their cosines."""
+    """The up to 3 most similar records of each record with their cosines, at least 0.85."""
     return neighbours(_records(spark, d), "chunk_id", "embedding", K, SIMILAR).select(
         F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_typical": p1_typical, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
+def p3_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 3 most similar records, however far, of the records of every 50th row of the feed, against all."""
+    asked = load(spark, d, "chunk_records").filter("record_no % 50 = 0").select("chunk_id", "embedding")
+    return search(_records(spark, d), asked, "chunk_id", "embedding", K).select(
+        F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_typical": p1_typical, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_search": p3_search}
 SQL: dict[str, str] = {
     "p1_found": """WITH RECURSIVE g AS (SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM chunk_records WHERE chunk_id IS NOT NULL AND
           coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) GROUP BY 1),

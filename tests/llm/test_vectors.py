@@ -4,7 +4,7 @@ import pytest
 from corpuslens.llm import neighbours as neighbours_module
 from corpuslens.llm.clusters import clusters, typical_members
 from corpuslens.llm.graph import Graph
-from corpuslens.llm.neighbours import neighbours, pairs_of
+from corpuslens.llm.neighbours import neighbours, pairs_of, search
 from corpuslens.llm.links import fragments
 from corpuslens.operators import grids as vectors
 from corpuslens.operators.grids import refinement
@@ -221,3 +221,13 @@ def test_neighbours_of_a_large_group(spark, monkeypatch):
     got = [(x.a, x.b) for x in found.collect()]
     recall = len(want & set(got)) / len(want)
     assert len(want) > 1500 and len(got) == len(set(got)) and recall >= 0.99, recall
+
+
+def test_search_without_a_threshold(spark):
+    rows = data(20, noise=0.6) + [(f"u{i:04}", rng.randn(64).astype(np.float32).tolist()) for i in range(1500)]
+    df = frame(spark, rows)
+    want = {(a, b) for a, b in top(rows, 3, -1) if int(a[1:].replace("-", "")) % 5 == 0}
+    asked = simple(spark, [r for r in rows if int(r[0][1:].replace("-", "")) % 5 == 0])
+    got = {(r.a, r.b) for r in search(df, asked, "cid", "emb", 3, shard_rows=512).collect()}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.95, len(got & want) / len(want)
+    assert search(df.limit(0), asked, "cid", "emb", 3).count() == 0 and search(df, asked.limit(0), "cid", "emb", 3).count() == 0
