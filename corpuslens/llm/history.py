@@ -10,7 +10,9 @@ A batch is sketched once, sorted once and merged with every run. Around each new
 is what lies next to it in the run: the same key, and sizes that allow the threshold (n * t to
 n / t); inside the window the union places decide, and what passes is verified on whole texts. A
 window is as wide as that rule makes it, not a fixed number of neighbours, so nothing is lost. No
-run is shuffled, sorted or sketched again. Accepted records become a new run; when there are more than
+run is shuffled, sorted or sketched again, and a batch with at most FEW keys reads only the pages
+of the runs that its keys lie in, and of the texts that its candidates lie in (files are sorted and
+their pages short). Accepted records become a new run; when there are more than
 ``max_runs``, runs of like size are compacted into one (a run more than four times as large as all
 smaller ones together is left alone).
 
@@ -28,9 +30,11 @@ batches and an empty history work; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.near import MIN_WORDS, WORDS
@@ -40,7 +44,12 @@ from corpuslens.session import Stage, remove, write_once
 RANGE_ROWS = 1_000_000  # rows of a range of a run
 TEXT_ROWS = 200_000  # texts of a range
 PASSES = 3  # a large run is written in so many parts, so that only one of them lies in shuffle files
-_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"  # one file a range: its order holds
+FEW = 1_000  # keys or ids that are looked up page by page; the driver holds so many of a batch at most
+PAGE = {"key": 1_000, "id": 100}  # rows of a page
+SETTINGS = {
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",  # one file a range: its order holds
+    "spark.sql.parquet.pushdown.inFilterThreshold": "64",
+}
 
 
 class History:
@@ -89,7 +98,8 @@ class History:
         name = f"{kind}_{uuid.uuid4().hex}"
         for p in range(passes):
             part = df if passes == 1 else df.filter(F.pmod(F.pmod(F.hash(by), F.lit(ranges)), F.lit(passes)) == p)
-            w = part.repartition(ranges, by).write.bucketBy(ranges, by).sortBy(*order).option("path", f"{self.path}/{name}")
+            w = part.repartition(ranges, by).write.bucketBy(ranges, by).sortBy(*order).option("path", f"{self.path}/{name}").option(
+                "parquet.page.row.count.limit", str(PAGE[by]))
             write_once(self.spark, lambda w=w, p=p: w.mode("append" if p else "errorifexists").saveAsTable(name))
         return {"name": name, "ranges": ranges}
 
@@ -154,6 +164,27 @@ class History:
         self._add_texts(texts.filter("text is not null").dropDuplicates(["id"]), self.state["records"])
         self._commit()
 
+    def _some(self, t: dict, column: str, wanted: DataFrame) -> DataFrame:
+        """The table t, or its rows with a wanted value if those are few: from each range only its own values."""
+        table = self.spark.table(t["name"])
+        few: dict[int, list[int]] = {}
+        place = F.pmod(F.hash(column), F.lit(t["ranges"])).alias("r")
+        for r in wanted.select(column).distinct().select(column, place).limit(FEW + 1).collect():
+            few.setdefault(r["r"], []).append(r[0])
+        n = sum(map(len, few.values()))
+        if n > FEW:
+            return table
+        files: dict[int, list[str]] = {}
+        for f in table.inputFiles() if n else []:
+            files.setdefault(int(re.search(r"_(\d{5})(?:\.c\d+)?\.[^/]*$", f).group(1)), []).append(f)
+        found = [table.limit(0)]
+        for r in sorted(few.keys() & files.keys()):
+            lists = [F.col(column).isin(few[r][i : i + 64]) for i in range(0, len(few[r]), 64)]
+            while len(lists) > 1:  # a balanced tree: the reader walks it recursively
+                lists = [reduce(Column.__or__, lists[i : i + 2]) for i in range(0, len(lists), 2)]
+            found.append(self.spark.read.schema(table.schema).parquet(*files[r]).filter(lists[0]))
+        return reduce(DataFrame.unionByName, found)
+
     def _window(self, new: DataFrame, run: DataFrame) -> DataFrame:
         """(id_n, id_h): the records of a run in the windows around the new ones that may resemble them."""
         t = self.state["threshold"]
@@ -163,15 +194,17 @@ class History:
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """(id) of the cases of a batch (id BIGINT, o1, o2: order, text); the others are accepted."""
-        before = self.spark.conf.get(_SORTED, None)
-        self.spark.conf.set(_SORTED, "true")
+        before = {k: self.spark.conf.get(k, None) for k in SETTINGS}
+        for k, v in SETTINGS.items():
+            self.spark.conf.set(k, v)
         try:
             return self._accept(batch)
         finally:
-            if before is None:
-                self.spark.conf.unset(_SORTED)
-            else:
-                self.spark.conf.set(_SORTED, before)
+            for k, v in before.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
 
     def _accept(self, batch: DataFrame) -> DataFrame:
         s = self.state
@@ -186,12 +219,12 @@ class History:
         new = own.select("key", F.col("n").alias("size_n"), F.col("id").alias("id_n"), F.col("lo").alias("lo_n"), F.col("hi").alias("hi_n"))
         both = self._window(new, own).filter("id_h < id_n").withColumn("past", F.lit(False))
         for r in s["runs"]:
-            both = both.unionByName(self._window(new, self.spark.table(r["name"])).withColumn("past", F.lit(True)))
+            both = both.unionByName(self._window(new, self._some(r, "key", own)).withColumn("past", F.lit(True)))
         cand = stage.put(both.distinct(), "candidates")
         past = stage.put(cand.filter("past").select(F.col("id_h").alias("id")).distinct(), "past")
         known = batch.select(F.col("id").alias("id_h"), F.col("text").alias("text_h"), F.lit(False).alias("past"))
         for t in s["texts"]:  # ranged by id: the texts don't move
-            x = self.spark.table(t["name"]).join(past, "id", "left_semi")
+            x = self._some(t, "id", past).join(past, "id", "left_semi")
             known = known.unionByName(x.select(F.col("id").alias("id_h"), F.col("text").alias("text_h"), F.lit(True).alias("past")))
         new_text = batch.join(cand.select(F.col("id_n").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("id_n"), F.col("text").alias("text_n"))
         pair = cand.join(known, ["id_h", "past"]).join(new_text, "id_n")
