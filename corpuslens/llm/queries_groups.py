@@ -62,7 +62,14 @@ r AS (
 SELECT a.group_id, a.chunk_id AS ts_chunk_id, b.chunk_id AS text_chunk_id
 FROM r a JOIN r b USING (group_id) WHERE a.rt = 1 AND a.ts IS NOT NULL AND b.rx = 1
 """
+_P6S = _P6.split("j AS")[0].replace("SELECT chunk_id, length", "SELECT chunk_id, store_id, collection, text, timestamp_source, content_hash, staleness_label, length")
+_PICK = """CASE WHEN bool_or({0} IS NOT NULL) THEN arg_min({0}, {1}) FILTER ({0} IS NOT NULL) END AS {0}, arg_min(chunk_id, {1}) FILTER ({0} IS NOT NULL) AS {0}_chunk_id"""
+_ATTRIBUTES = ["store_id", "collection", "text", "resolved_timestamp", "timestamp_source", "content_hash", "staleness_label"]
 SQL = {
+    "p6_survivors": _P6S + """j AS (SELECT group_id, chunk_id, n, ts AS resolved_timestamp, store_id, collection, text, timestamp_source, content_hash, staleness_label,
+          -CASE timestamp_source WHEN 'metadata_field' THEN 4 WHEN 'uuid_v1' THEN 3 WHEN 'ulid' THEN 2 WHEN 'first_seen' THEN 1 ELSE 0 END AS k,
+          coalesce(-epoch_us(ts), 4611686018427387904) AS late FROM m JOIN u USING (chunk_id))
+        SELECT group_id, count(*) AS n_members, """ + ", ".join(_PICK.format(a, "(-n, k, late, chunk_id)" if a == "text" else "(k, late, chunk_id)") for a in _ATTRIBUTES) + " FROM j GROUP BY 1",
     "p6_found": _P6,
     "p7_found": _P7 + "SELECT group_key, chunk_id FROM found",
     "p7_sizes": _P7 + "SELECT group_key, count(*) AS n_members FROM found GROUP BY group_key",

@@ -51,7 +51,10 @@ def survivors(groups: DataFrame, chunks: DataFrame, attributes: list[str]) -> Da
     m, u = memberships(groups), usable_records(chunks)
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv]), F.col("timestamp_source")), F.lit(0))
     cols = list(dict.fromkeys(["chunk_id", "text_length", "time_us", "timestamp_source", *attributes]))
-    j = m.join(u.select(*cols), "chunk_id").withColumn("_rank", -rank).withColumn("_new", -F.coalesce("time_us", F.lit(-(2**62)).cast("long")))
+    j = m.join(u.select(*cols), "chunk_id")
+    if "resolved_timestamp" in attributes:  # a time that counts as missing is no value either
+        j = j.withColumn("resolved_timestamp", F.when(F.col("time_us").isNotNull(), F.col("resolved_timestamp")))
+    j = j.withColumn("_rank", -rank).withColumn("_new", -F.coalesce("time_us", F.lit(-(2**62)).cast("long")))
     picks = []
     for a in attributes:
         lead = [-F.col("text_length")] if a == "text" else []
