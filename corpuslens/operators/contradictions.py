@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens.functions import scores, text
+from corpuslens.operators.text_dedup import prefixes
+from corpuslens.session import Stage
 
 DETECTOR_CAP = 50
 
@@ -33,16 +35,42 @@ def cluster_pairs(chunks: DataFrame, columns: list[str], cap: int = DETECTOR_CAP
     return side("a").join(side("b"), "cluster_id").filter("chunk_a < chunk_b")
 
 
-def numeric_hits(chunks: DataFrame) -> DataFrame:
+def alike_pairs(chunks: DataFrame, columns: list[str], context: str, needed: str, least: float = 0.5, cap: int = DETECTOR_CAP) -> DataFrame:
+    """The pairs of clusters of more than cap active members whose context sets have a Jaccard similarity of at least ``least``.
+
+    The exact way for what ``cluster_pairs`` skips: a set-similarity join inside the cluster on the
+    rarest words of each context, so a cluster never has all its pairs listed. Empty contexts pair
+    with nothing.
+    """
+    c = active(chunks).filter("cluster_id is not null").select("cluster_id", "chunk_id", *columns)
+    large = c.groupBy("cluster_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > cap).select("cluster_id")
+    c = Stage(chunks.sparkSession, "large-clusters").put(c.join(large, "cluster_id").filter((F.size(needed) > 0) & (F.size(context) > 0)), "members")
+    v = c.select(F.col("chunk_id").alias("vid"), F.size(context).alias("n"), F.transform(context, lambda x: F.xxhash64(x)).alias("sh"))
+    p = prefixes(v, least).join(c.select(F.col("chunk_id").alias("vid"), "cluster_id"), "vid")
+    side = lambda s: p.select("cluster_id", "s", F.col("vid").alias(f"chunk_{s}"), F.col("n").alias(f"n_{s}"))
+    fits = (F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)
+    pairs = side("a").join(side("b"), ["cluster_id", "s"]).filter((F.col("chunk_a") < F.col("chunk_b")) & fits).select("cluster_id", "chunk_a", "chunk_b").distinct()
+    for s in "ab":
+        pairs = pairs.join(c.select(F.col("chunk_id").alias(f"chunk_{s}"), *[F.col(x).alias(f"{x}_{s}") for x in columns]), f"chunk_{s}")
+    return pairs
+
+
+def _hits(f: DataFrame, feature: str, score: Callable[..., Column], large: bool) -> DataFrame:
+    p = alike_pairs(f, [feature, "ctx"], "ctx", feature) if large else cluster_pairs(f, [feature, "ctx"], needed=feature)
+    s = score(*(F.col(x) for x in (f"{feature}_a", f"{feature}_b", "ctx_a", "ctx_b")))
+    return p.select("cluster_id", "chunk_a", "chunk_b", s.alias("raw_score")).filter("raw_score is not null")
+
+
+def numeric_hits(chunks: DataFrame, large: bool = False) -> DataFrame:
+    """Numeric contradictions in clusters of at most DETECTOR_CAP members; large: in the others."""
     f = chunks.withColumn("nums", text.numbers("text")).withColumn("ctx", text.word_set(text.mask_numbers("text")))
-    score = text.numeric_contradiction(*(F.col(x) for x in ("nums_a", "nums_b", "ctx_a", "ctx_b")))
-    return cluster_pairs(f, ["nums", "ctx"], needed="nums").select("cluster_id", "chunk_a", "chunk_b", score.alias("raw_score")).filter("raw_score is not null")
+    return _hits(f, "nums", text.numeric_contradiction, large)
 
 
-def version_hits(chunks: DataFrame) -> DataFrame:
+def version_hits(chunks: DataFrame, large: bool = False) -> DataFrame:
+    """Version contradictions in clusters of at most DETECTOR_CAP members; large: in the others."""
     f = chunks.withColumn("vers", text.versions("text")).withColumn("ctx", text.word_set(text.mask_versions("text")))
-    score = text.version_contradiction(*(F.col(x) for x in ("vers_a", "vers_b", "ctx_a", "ctx_b")))
-    return cluster_pairs(f, ["vers", "ctx"], needed="vers").select("cluster_id", "chunk_a", "chunk_b", score.alias("raw_score")).filter("raw_score is not null")
+    return _hits(f, "vers", text.version_contradiction, large)
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

@@ -210,7 +210,10 @@ def contradictions(control: Control, s: config.Settings, run_id: str, candidate:
     hits = {"nli": C.fuse(judged, hit).withColumns(blank | {"calibration_state": F.lit("calibrated" if hit != NLI_HIT else "uncalibrated")})}
     off = c.limit(0).select(F.col("chunk_id").alias("chunk_a"), F.col("chunk_id").alias("chunk_b"), F.lit(0.0).alias("raw_score"))
     for name, on, found in (("numeric", s.numeric_detector, C.numeric_hits), ("version", s.version_detector, C.version_hits)):
-        hits[name] = (found(control.read("chunks")) if on else off).withColumns(blank | {"direction": F.lit("both"), "calibration_state": F.lit("uncalibrated")})
+        got = found(control.read("chunks")) if on else off
+        if on and s.large_clusters:
+            got = got.unionByName(found(control.read("chunks"), large=True))
+        hits[name] = got.withColumns(blank | {"direction": F.lit("both"), "calibration_state": F.lit("uncalibrated")})
     out = {}
     for name, df in hits.items():
         control.replace("contradictions", df, scan_run_id=run_id, detector=name)

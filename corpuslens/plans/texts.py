@@ -88,6 +88,16 @@ def version_contradictions(spark: SparkSession, d: str) -> DataFrame:
     return version_hits(load(spark, d, "chunks"))
 
 
+def numeric_contradictions_large(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric contradictions inside clusters of more than 50, which the scanner's rule leaves out."""
+    return numeric_hits(load(spark, d, "chunks"), large=True)
+
+
+def version_contradictions_large(spark: SparkSession, d: str) -> DataFrame:
+    """Version contradictions inside clusters of more than 50."""
+    return version_hits(load(spark, d, "chunks"), large=True)
+
+
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the cleaned documents."""
     t = load(spark, d, "documents")
@@ -113,7 +123,7 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     text_shingles, numbers_extracted, versions_extracted, masked_texts, word_jaccard, text_jaccard_pairs, text_copies, text_dedup_groups, dedup_merged_channels,
-    numeric_contradictions, version_contradictions, clean_text, chunk_text, chunk_ids, slugify)}
+    numeric_contradictions, version_contradictions, numeric_contradictions_large, version_contradictions_large, clean_text, chunk_text, chunk_ids, slugify)}
 _WIDE = r"[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]"  # letters and numbers that the SQL engine's \b and \w don't know
 _NUM, _VER = r"\b\d+(?:[.,]\d+)?\b", r"v?(\d+\.\d+(?:\.\d+)*)\b"
 _T = f"regexp_replace(translate(coalesce(text, ''), '{X.DIGITS}', '{X.PLAIN_DIGITS}'), '({_WIDE})', '_\\1_', 'g')"  # wide signs stand between _
@@ -136,9 +146,9 @@ r(id, t) AS (SELECT a, b FROM ee UNION SELECT r.id, ee.b FROM r JOIN ee ON r.t =
 lab AS (SELECT id, least(id, min(t)) AS label FROM r GROUP BY id)"""
 
 
-def _pairs(feature: str, mask: str, hit: str) -> str:
+def _pairs(feature: str, mask: str, hit: str, sizes: str = "BETWEEN 2 AND 50") -> str:
     return f"""WITH f AS (SELECT cluster_id, chunk_id, {feature} AS n, {SET.format(mask)} AS ctx FROM chunks WHERE deleted_at IS NULL AND cluster_id IS NOT NULL),
-      k AS (SELECT cluster_id FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)
+      k AS (SELECT cluster_id FROM f GROUP BY 1 HAVING count(*) {sizes})
       SELECT a.cluster_id, a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, {hit} AS raw_score
       FROM f a JOIN f b ON a.cluster_id = b.cluster_id AND a.chunk_id < b.chunk_id JOIN k ON k.cluster_id = a.cluster_id
       WHERE len(a.n) > 0 AND len(b.n) > 0 AND list_sort(a.n) <> list_sort(b.n)
@@ -170,6 +180,8 @@ SQL = {
         FROM lab LEFT JOIN ge ON ge.a = lab.id GROUP BY label""",
     "numeric_contradictions": _pairs(_NUMS, _NMASK, "round(1 - " + _JAC.format("a.n", "b.n") + ", 4)"),
     "version_contradictions": _pairs(_VERS, _VMASK, "1.0::DOUBLE"),
+    "numeric_contradictions_large": _pairs(_NUMS, _NMASK, "round(1 - " + _JAC.format("a.n", "b.n") + ", 4)", "> 50"),
+    "version_contradictions_large": _pairs(_VERS, _VMASK, "1.0::DOUBLE", "> 50"),
     "chunk_ids": """SELECT doc_id, format('{}-p{:03d}-c{:03d}-{}', lower(source), doc_id % 50 + 1, doc_id % 7, substr(sha1(text), 1, 8)) AS chunk_name
         FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""",
     "slugify": r"""WITH s AS (SELECT source, count(*) AS n, substr(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(source, '')), '[^a-z0-9_-]', '-', 'g'),

@@ -23,6 +23,7 @@ class Settings:
     max_cluster_size: int = 2000
     numeric_detector: bool = True
     version_detector: bool = True
+    large_clusters: bool = False
     min_cluster_size: int | str = "auto"
     auto_tune: bool = False
     small_corpus: int = 500
@@ -61,7 +62,7 @@ def parse(raw: dict) -> Settings:
         {c["name"]: c["timestamp_field"] for c in rows if c.get("timestamp_field")}, {c["name"]: int(c["half_life_days"]) for c in rows if "half_life_days" in c},
         int(get("ingest", "fetch_budget_secs", d.fetch_budget_secs)), int(get("scan", "cost_budget", d.cost_budget)), int(get("scan", "nli_batch_size", d.batch_size)),
         int(get("scan", "contradiction_candidates_per_chunk", d.candidates_per_chunk)), int(get("scan", "max_nli_cluster_size", d.max_cluster_size)),
-        bool(get("scan", "enable_numeric_detector", True)), bool(get("scan", "enable_version_detector", True)),
+        bool(get("scan", "enable_numeric_detector", True)), bool(get("scan", "enable_version_detector", True)), bool(get("scan", "detect_in_large_clusters", False)),
         get("clustering", "min_cluster_size", "auto"), bool(get("clustering", "auto_tune_clustering", False)), int(get("scan", "small_corpus_threshold", d.small_corpus)),
         get("thresholds", "dedup", None), get("thresholds", "contradiction", None), get("thresholds", "density", None))
 

@@ -130,6 +130,22 @@ def test_detectors_count_all_members(spark):
     assert C.numeric_hits(df.unionByName(spark.createDataFrame([("y", 1, None, None)], df.schema))).count() == 0
 
 
+def test_detectors_in_large_clusters(spark):
+    """Exactly the pairs of the plain rule, without its limit of 50."""
+    r = np.random.RandomState(3)
+    w = [f"w{i}" for i in range(40)]
+    rows = [(f"c{i:03}", 1 + i % 2, " ".join(r.choice(w[(i % 7) * 5:(i % 7) * 5 + 9], 8)) + f" {r.randint(3)} v1.{r.randint(3)}", None) for i in range(160)]
+    rows += [("none", 1, None, None), ("few1", 3, "a b 1", None), ("few2", 3, "a b 2", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, cluster_id int, text string, deleted_at timestamp")
+    for hits, mask, feature, score in ((C.numeric_hits, text.mask_numbers, text.numbers, text.numeric_contradiction), (C.version_hits, text.mask_versions, text.versions, text.version_contradiction)):
+        f = df.filter("cluster_id < 3").select("cluster_id", "chunk_id", feature("text").alias("n"), text.word_set(mask("text")).alias("c"))
+        a, b = (f.select("cluster_id", *[F.col(x).alias(f"{x}_{s}") for x in ("chunk_id", "n", "c")]) for s in "ab")
+        j = a.join(b, "cluster_id").filter("chunk_id_a < chunk_id_b").withColumn("s", score(*(F.col(x) for x in ("n_a", "n_b", "c_a", "c_b")))).filter("s is not null")
+        want = {(x.chunk_id_a, x.chunk_id_b, x.s) for x in j.collect()}
+        got = {(x.chunk_a, x.chunk_b, x.raw_score) for x in hits(df, large=True).collect()}
+        assert got == want and len(want) > 50 and {x.chunk_a for x in hits(df).collect()} == {"few1"} if hits is C.numeric_hits else got == want
+
+
 @pytest.mark.parametrize(("name", "want"), [("My Source!!", "my-source"), ("__a--b__", "a-b"), ("ab", "doc-ab"), ("", "doc-pdf"), (None, "doc-pdf"), ("--", "doc-pdf"), ("x" * 70, "x" * 60), ("Größe 5", "gr-e-5")])
 def test_slug(spark, name, want):
     assert spark.createDataFrame([(name,)], "s string").select(text.slug("s")).first()[0] == want
