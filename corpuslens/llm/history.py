@@ -93,13 +93,14 @@ class History:
     def _ranges(self, rows: int, each: int) -> int:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
-    def _write(self, df: DataFrame, kind: str, by: str, order: list[str], ranges: int, passes: int = 1) -> dict:
-        """Writes df (hash-ranged by a BIGINT) as a table with one sorted file a range."""
+    def _write(self, df: DataFrame, kind: str, by: str, order: list[str], ranges: int, passes: int = 1, once: bool = False) -> dict:
+        """Writes df (hash-ranged by a BIGINT) as a table with one sorted file a range; once: one row of each ``by``."""
         name = f"{kind}_{uuid.uuid4().hex}"
         for p in range(passes):
             part = df if passes == 1 else df.filter(F.pmod(F.pmod(F.hash(by), F.lit(ranges)), F.lit(passes)) == p)
-            w = part.repartition(ranges, by).write.bucketBy(ranges, by).sortBy(*order).option("path", f"{self.path}/{name}").option(
-                "parquet.page.row.count.limit", str(PAGE[by]))
+            part = part.repartition(ranges, by)
+            w = (part.dropDuplicates([by]) if once else part).write.bucketBy(ranges, by).sortBy(*order).option("path", f"{self.path}/{name}").option(
+                "parquet.page.row.count.limit", str(PAGE[by])).option("compression", "zstd")
             write_once(self.spark, lambda w=w, p=p: w.mode("append" if p else "errorifexists").saveAsTable(name))
         return {"name": name, "ranges": ranges}
 
@@ -109,7 +110,7 @@ class History:
         self.state["runs"].append(t | {"rows": n})
 
     def _add_texts(self, texts: DataFrame, n: int) -> None:
-        self.state["texts"].append(self._write(texts.select("id", "text"), "texts", "id", ["id"], self._ranges(n, TEXT_ROWS)) | {"rows": n})
+        self.state["texts"].append(self._write(texts.select("id", "text"), "texts", "id", ["id"], self._ranges(n, TEXT_ROWS), once=True) | {"rows": n})
 
     def _merged(self, kind: str) -> list[dict]:
         """Tables of like size that are to become one; none if there are few."""
@@ -161,7 +162,7 @@ class History:
         self._add_run(one, n, PASSES if n > RANGE_ROWS else 1)
         self.state["records"] = sk.count()
         stage.done("sketches")
-        self._add_texts(texts.filter("text is not null").dropDuplicates(["id"]), self.state["records"])
+        self._add_texts(texts.filter("text is not null"), self.state["records"])
         self._commit()
 
     def _some(self, t: dict, column: str, wanted: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ class History:
             keys = own.join(fresh, "id", "left_semi")
             rows = keys.count()
             self._add_run(keys, rows)
-            self._add_texts(batch.join(fresh, "id", "left_semi").dropDuplicates(["id"]), n)
+            self._add_texts(batch.join(fresh, "id", "left_semi"), n)
         s["records"] += n
         self._commit()
         stage.done("sketches", "firsts", "new", "candidates", "past", "verified")
