@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.sketch import count_cells, exact_pairs, lists, may_resemble, sketches
+from corpuslens.llm.sketch import can_lead, count_cells, exact_pairs, lists, may_resemble, sketches
 from corpuslens.session import Stage
 
 WORDS, MIN_WORDS = 3, 12
@@ -33,11 +33,17 @@ def keyed(df: DataFrame, idc: str, text: str) -> DataFrame:
 
 
 def candidates(sk: DataFrame, threshold: float, part: int) -> DataFrame:
-    """Distinct (set_1, set_2), set_1 < set_2, that meet in a list value of one part and pass ``may_resemble``."""
+    """Distinct (set_1, set_2) that meet in a list value of one part and pass ``may_resemble``; set_1 has no more shingles.
+
+    Rows that can't belong to the smaller text stand on one side only: a phrase in a third of all
+    texts that is too small a part of each of them meets nobody.
+    """
     p = lists(sk, "set_a").filter(F.pmod("value", F.lit(PASSES)) == part).repartition("value").distinct()
     side = lambda s: p.select("value", F.col("set_a").alias(f"set_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
-    j = side("1").join(side("2"), "value")
-    return j.filter((F.col("set_1") < F.col("set_2")) & may_resemble("1", "2", threshold)).select("set_1", "set_2").distinct()
+    n1, n2 = (F.col(f"hi_{s}").bitwiseAND(F.lit(65535)) for s in "12")
+    j = side("1").filter(can_lead("hi_1", threshold)).join(side("2"), "value")
+    smaller = (n1 < n2) | (n1 == n2) & (F.col("set_1") < F.col("set_2"))
+    return j.filter(smaller & may_resemble("1", "2", threshold)).select("set_1", "set_2").distinct()
 
 
 class NearDuplicates:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.consolidate import hash_to_min
 from corpuslens.llm.history import History, batches_of, groups_of
 from corpuslens.llm.near import NearDuplicates
-from corpuslens.session import shared_dir
+from corpuslens.session import remove, shared_dir
 from corpuslens.sources.tables import load
 
 RESEMBLANCE = 0.7
@@ -42,6 +42,8 @@ def p5_found(spark: SparkSession, d: str, share: float = 0.1) -> DataFrame:
     cases = new.limit(0).select("id")
     for lo, hi in groups_of(new, int(h.state["records"] * share)):
         cases = cases.unionByName(h.accept(new.filter(F.col("o1").between(lo, hi)).drop("rec")))
+    h.close()
+    remove(spark, h.path)
     return new.select("id", "rec").join(cases, "id").select(F.col("rec").alias("intake_id"))
 
 

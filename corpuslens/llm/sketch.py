@@ -264,6 +264,21 @@ def different_places(a: str, b: str) -> Column:
     return differ(F.col(f"lo_{a}"), F.col(f"lo_{b}"), 0x5555555555555555) + differ(F.col(f"hi_{a}"), F.col(f"hi_{b}"), 0x5555555555000000)
 
 
+def _partial(threshold: float, k: int) -> float:
+    """What two sketches share at least if one of them is no whole set."""
+    return float(least_shared(threshold, k)[int(k * threshold) :].min())
+
+
+def can_lead(hi: str, threshold: float, k: int = KEEP) -> Column:
+    """Whether a list row can belong to the smaller text of a pair.
+
+    A partner of at least its size shares at least 2 t / (1 + t) of the smaller text's shingles, so
+    a row with less room is only good for smaller partners.
+    """
+    n, rest = F.col(hi).bitwiseAND(F.lit(65535)), F.shiftrightunsigned(hi, 16).bitwiseAND(F.lit(255))
+    return rest >= F.when(n > int(k * threshold), F.lit(_partial(threshold, k))).otherwise(n * (2 * threshold / (1 + threshold)) - 1e-6)
+
+
 def may_resemble(a: str, b: str, threshold: float, k: int = KEEP) -> Column:
     """Filter on meetings in a list: sizes, what the sketches can still share, and places that differ.
 
@@ -275,8 +290,7 @@ def may_resemble(a: str, b: str, threshold: float, k: int = KEEP) -> Column:
     ra, rb = (F.shiftrightunsigned(f"hi_{x}", 16).bitwiseAND(F.lit(255)) for x in (a, b))
     many = F.greatest(na, nb) == 65535
     sizes = ((na >= nb * threshold - 1e-6) & (nb >= na * threshold - 1e-6)) | many
-    some = int(least_shared(threshold, k)[int(k * threshold) :].min())
-    need = F.when(F.greatest(na, nb) > k, F.lit(float(some))).otherwise((na + nb) * (threshold / (1 + threshold)) - 1e-6)
+    need = F.when(F.greatest(na, nb) > k, F.lit(_partial(threshold, k))).otherwise((na + nb) * (threshold / (1 + threshold)) - 1e-6)
     d, own = different_places(a, b), (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
     return sizes & (F.least(ra, rb) >= need) & (d <= most_different(threshold)) & ((d <= own) | many)
 

@@ -107,6 +107,18 @@ def test_meetings_pass_the_filters():
             assert sum(x != y for x, y in zip(bits[i], bits[j])) <= S.most_different(0.7)
 
 
+def test_boilerplate_leads_no_list(spark):
+    """Texts of three quarters boilerplate are no pairs, and their common values have no row that can lead."""
+    r = random.Random(5)
+    base = [f"common{i}" for i in range(75)]
+    t = [" ".join(base + [f"own{r.randrange(10**7)}" for _ in range(27)]) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(t)), "id long, text string")
+    counts = S.count_cells(df, "text", 3, 12)
+    rows = S.lists(S.sketches(df, "id", "text", counts, 0.7, 3, 12), "set_a")
+    sizes = rows.groupBy("value").agg(F.count("*").alias("n"), F.count_if(S.can_lead("hi", 0.7)).alias("lead"))
+    assert sizes.filter("n > 100").count() > 0 and sizes.filter("n > 100 and lead > 0").count() == 0
+
+
 def test_shingles_of_any_script():
     texts = ["Ünï Tést ΣΊΣΥΦΟΣ ΣΑΣ İstanbul straße ⅷ x² 日本語 テキスト naïve", None, "", "a_b 1,5 c--d\u200be f\u0301g h i j k l m n", "x " * 40, "word " * 300_000 + "end of it"]
     keys = S.shingle_keys(texts, 3, 1)
