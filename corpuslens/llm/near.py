@@ -41,7 +41,7 @@ def candidates(sk: DataFrame, threshold: float, part: int) -> DataFrame:
     p = lists(sk, "set_a").filter(F.pmod("value", F.lit(PASSES)) == part).repartition("value").distinct()
     side = lambda s: p.select("value", F.col("set_a").alias(f"set_{s}"), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
     n1, n2 = (F.col(f"hi_{s}").bitwiseAND(F.lit(65535)) for s in "12")
-    j = side("1").filter(can_lead("hi_1", threshold)).join(side("2"), "value")
+    j = side("1").filter(can_lead("hi_1")).join(side("2"), "value")
     smaller = (n1 < n2) | (n1 == n2) & (F.col("set_1") < F.col("set_2"))
     return j.filter(smaller & may_resemble("1", "2", threshold)).select("set_1", "set_2").distinct()
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpuslens.session import ship
 
 WORD = re.compile(r"\w+")
-KEEP = 128
+KEEP = 127
 RISK = 1e-7  # chance that two texts at the threshold share fewer values than least_shared
 PLACES, LO_PLACES = 52, 32
 TABLE_BITS = 18
@@ -134,16 +134,17 @@ def _starts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def least_shared(threshold: float, k: int) -> np.ndarray:
     """For each number n of shingles, how many values of two bottom-k sketches are shared at least.
 
-    Entry n holds for a text of n shingles and any partner at the threshold; the last one for all
-    larger n too. Partners have threshold * n to n / threshold shingles.
+    Entry n holds for a text of n shingles and any partner at the threshold (threshold * n to
+    n / threshold shingles), in the second row for partners of at least n; the last one for all
+    larger n too.
     """
     top = 4 * k
     logf = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 8 * top)))])
     choose = lambda a, b: logf[a] - logf[b] - logf[np.maximum(a - b, 0)]
     x = np.arange(k + 1)
-    out = np.zeros(top + 1, np.int64)
-    for n in range(1, top):
-        m = np.arange(int(np.ceil(n * threshold - 1e-9)), int(np.floor(n / threshold + 1e-9)) + 1)
+    out = np.zeros((2, top + 1), np.int64)
+    for n, lead in ((n, lead) for n in range(1, top) for lead in (0, 1)):
+        m = np.arange(n if lead else int(np.ceil(n * threshold - 1e-9)), int(np.floor(n / threshold + 1e-9)) + 1)
         s = np.ceil((n + m) * threshold / (1 + threshold) - 1e-9).astype(int)
         u = n + m - s
         whole = s[u <= k]
@@ -153,9 +154,9 @@ def least_shared(threshold: float, k: int) -> np.ndarray:
             ok = (x <= s) & (k - x <= u - s)
             p = np.where(ok, np.exp(choose(s, np.minimum(x, s)) + choose(u - s, np.minimum(k - x, u - s)) - choose(u, np.full_like(u, k))), 0.0)
             least = min(least, int((np.cumsum(p, 1) > RISK).argmax(1).min()))
-        out[n] = least
+        out[lead, n] = least
     tail = np.cumsum([comb(k, i) * threshold**i * (1 - threshold) ** (k - i) for i in x])
-    out[top] = min(int((tail > RISK).argmax()), out[top - 1])
+    out[:, top] = np.minimum(int((tail > RISK).argmax()), out[:, top - 1])
     return out
 
 
@@ -205,9 +206,10 @@ def count_cells(texts: DataFrame, text: str, words: int, min_words: int) -> byte
 def sketches(texts: DataFrame, idc: str, text: str, counts: bytes, threshold: float, words: int, min_words: int, k: int = KEEP) -> DataFrame:
     """(id, set_a, set_b, lo, hi, vals): one row per text that has a sketch; id: BIGINT column idc.
 
-    vals: rest << 48 | value for the values that go into inverted lists, rest being how many of the
-    sketch follow, itself included (see ``lists``). Rows with a set that the task has seen lately
-    have null instead: one of them in the lists is enough.
+    vals: lead << 55 | rest << 48 | value for the values that go into inverted lists: rest is how many
+    of the sketch follow, itself included, lead whether that is enough for a partner of at least the
+    text's size (see ``lists``). Rows with a set that the task has seen lately have null instead:
+    one of them in the lists is enough.
     """
     ship(texts.sparkSession)
     table = texts.sparkSession.sparkContext.broadcast(counts)
@@ -233,12 +235,15 @@ def sketches(texts: DataFrame, idc: str, text: str, counts: bytes, threshold: fl
             use = (rank < k) & new[row]
             v, row = h[use], row[use]
             kept = np.minimum(n, k)
-            first = kept - least[np.minimum(n, len(least) - 1)] + 1
+            size_at = np.minimum(n, least.shape[1] - 1)
+            first = kept - least[0, size_at] + 1
             o = np.argsort((row.astype(_U) << _U(50)) | (order[(v & _U((1 << TABLE_BITS) - 1)).astype(np.int64)] << _U(32)) | (v >> _U(16)))
             size = np.where(new, kept, 0)
             place = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
             inside = place < np.repeat(first, size)
-            v = v[o] | ((np.repeat(size, size) - place).astype(_U) << _U(48))
+            rest = np.repeat(size, size) - place
+            lead = rest >= np.repeat(least[1, size_at], size)
+            v = v[o] | (rest.astype(_U) << _U(48)) | (lead.astype(_U) << _U(55))
             lists = np.append(0, np.cumsum(np.where(new, first, 0))).astype(np.int32)
             vals = pa.ListArray.from_arrays(pa.array(lists), pa.array(v[inside].view(np.int64)), mask=pa.array(~new))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *(pa.array(x.view(np.int64)) for x in (sa, sb, lo, hi)), vals],
@@ -248,7 +253,7 @@ def sketches(texts: DataFrame, idc: str, text: str, counts: bytes, threshold: fl
 
 
 def lists(sk: DataFrame, *columns: str) -> DataFrame:
-    """(value, columns, lo, hi): a row per list value of the sketches; hi has the value's rest in bits 16 to 23."""
+    """(value, columns, lo, hi): a row per list value of the sketches; hi has the value's rest in bits 16 to 22, its lead in bit 23."""
     v = F.col("_v")
     return sk.select(F.explode("vals").alias("_v"), *columns, "lo", "hi").select(
         v.bitwiseAND(F.lit((1 << 48) - 1)).alias("value"), *columns, "lo",
@@ -264,19 +269,13 @@ def different_places(a: str, b: str) -> Column:
     return differ(F.col(f"lo_{a}"), F.col(f"lo_{b}"), 0x5555555555555555) + differ(F.col(f"hi_{a}"), F.col(f"hi_{b}"), 0x5555555555000000)
 
 
-def _partial(threshold: float, k: int) -> float:
-    """What two sketches share at least if one of them is no whole set."""
-    return float(least_shared(threshold, k)[int(k * threshold) :].min())
-
-
-def can_lead(hi: str, threshold: float, k: int = KEEP) -> Column:
+def can_lead(hi: str) -> Column:
     """Whether a list row can belong to the smaller text of a pair.
 
     A partner of at least its size shares at least 2 t / (1 + t) of the smaller text's shingles, so
     a row with less room is only good for smaller partners.
     """
-    n, rest = F.col(hi).bitwiseAND(F.lit(65535)), F.shiftrightunsigned(hi, 16).bitwiseAND(F.lit(255))
-    return rest >= F.when(n > int(k * threshold), F.lit(_partial(threshold, k))).otherwise(n * (2 * threshold / (1 + threshold)) - 1e-6)
+    return F.shiftrightunsigned(hi, 23).bitwiseAND(F.lit(1)) == 1
 
 
 def may_resemble(a: str, b: str, threshold: float, k: int = KEEP) -> Column:
@@ -287,10 +286,10 @@ def may_resemble(a: str, b: str, threshold: float, k: int = KEEP) -> Column:
     (n_a + n_b) (1 - t) / (1 + t) of them.
     """
     na, nb = (F.col(f"hi_{x}").bitwiseAND(F.lit(65535)) for x in (a, b))
-    ra, rb = (F.shiftrightunsigned(f"hi_{x}", 16).bitwiseAND(F.lit(255)) for x in (a, b))
+    ra, rb = (F.shiftrightunsigned(f"hi_{x}", 16).bitwiseAND(F.lit(127)) for x in (a, b))
     many = F.greatest(na, nb) == 65535
     sizes = ((na >= nb * threshold - 1e-6) & (nb >= na * threshold - 1e-6)) | many
-    need = F.when(F.greatest(na, nb) > k, F.lit(_partial(threshold, k))).otherwise((na + nb) * (threshold / (1 + threshold)) - 1e-6)
+    need = F.when(F.greatest(na, nb) > k, F.lit(float(least_shared(threshold, k)[0, int(k * threshold) :].min()))).otherwise((na + nb) * (threshold / (1 + threshold)) - 1e-6)
     d, own = different_places(a, b), (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6
     return sizes & (F.least(ra, rb) >= need) & (d <= most_different(threshold)) & ((d <= own) | many)
 

@@ -52,5 +52,5 @@ def test_survivors(spark):
     assert got == {1: ("a", "b"), 4: ("b", "b"), 5: ("a", "d"), 6: ("a", "a")}
     s = {r.group_id: r for r in survivors(g, ch, ["store_id", "text", "resolved_timestamp"]).collect()}
     assert s[1].store_id == "s2" and s[1].store_id_chunk_id == "c" and s[1].text_chunk_id == "b" and s[1].n_members == 3
-    assert s[2].resolved_timestamp_chunk_id == "d" and 3 not in s
+    assert s[2].resolved_timestamp is None and s[2].resolved_timestamp_chunk_id is None and s[2].text_chunk_id == "d" and 3 not in s  # both times count as missing
     assert best_members(g.limit(0), ch).count() == 0 and best_members(g, ch.limit(0)).count() == 0
