@@ -57,5 +57,5 @@ def write_json(records: DataFrame, folder: str) -> None:
 
 
 def store_id(kind: str, place: str) -> str:
-    """fixture:<path>, chroma:<host>:<port> or chroma:ephemeral."""
+    """The kind of a store and its place (a path, or host and port), with a colon between them."""
     return f"{kind}:{place}"
