@@ -1,3 +1,5 @@
+import uuid
+
 from corpuslens.streaming.windows import deduplicated, read_feed, run_available, tumbling
 
 
@@ -7,7 +9,7 @@ def test_feed_is_deduplicated(spark, sf, tmp_path):
     src.repartition(3).write.parquet(str(tmp_path / "feed"))
     out = str(tmp_path / "out")
     s = deduplicated(read_feed(spark, str(tmp_path / "feed"), src.schema, 10), "3650 days")
-    run_available(s, lambda df, _: df.write.mode("append").parquet(out), tmp_path.name)
+    run_available(s, lambda df, _: df.write.mode("append").parquet(out), uuid.uuid4().hex)  # a checkpoint of its own
     assert spark.read.parquet(out).count() == src.select("collection", "chunk_id").distinct().count()
 
 
