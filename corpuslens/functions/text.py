@@ -35,6 +35,11 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_text(c)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def word_line(c: Column | str) -> Column:
+    """The words of ``words`` with one space between."""
+    return F.trim(F.regexp_replace(F.lower(_text(c)), r"[^\p{L}\p{N}_]+", " "))
+
+
 def shingles_of(w: Column, k: int = 3) -> Column:
     """Distinct k-word shingles of a word list; short lists give one shingle of all their words."""
     n = F.size(w)

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from corpuslens.functions import scores, text
 from corpuslens.operators import contradictions as C
 from corpuslens.operators import neighbourhood as N
+from corpuslens.operators import text_dedup as T
 from corpuslens.operators.chunking import pieces
 from corpuslens.operators.components import components
 from corpuslens.operators.grids import nearest_pairs
 from corpuslens.operators.groups import dense_ids
 from corpuslens.operators.ingest import apply_diff, snapshot_diff
-from corpuslens.operators.text_dedup import text_edges
+from corpuslens.operators.text_dedup import similar_texts, text_edges
 
 CHUNK = "store_id string, collection string, chunk_id string, text string, version int, first_seen_by_pulse timestamp_ntz, last_seen_by_pulse timestamp_ntz, deleted_at timestamp_ntz"
 
@@ -169,6 +170,68 @@ def test_text_edges(spark):
     assert e == {("1", "2"), ("1", "3"), ("4", "5")}
 
 
+def shuffled(spark) -> int:
+    """Bytes that the stages so far have written for shuffles."""
+    j = spark._jvm
+    none = spark.sparkContext._gateway.new_array(j.double, 0)
+    got = spark._jsc.sc().statusStore().stageList(None, False, False, none, j.java.util.ArrayList())
+    return sum(got.apply(i).shuffleWriteBytes() for i in range(got.size()))
+
+
+def family(seed: int, n: int, words: int = 60) -> list[tuple[str, str]]:
+    """n texts, a third of them edited copies of others, with a common opening."""
+    r = np.random.RandomState(seed)
+    rows = []
+    for i in range(n):
+        w = rows[r.randint(len(rows))][1].split()[4:] if i % 3 == 2 else [f"w{x}é" for x in r.randint(9000, size=words)]
+        for _ in range(r.randint(4)):
+            w[r.randint(len(w))] = f"x{r.randint(9000)}"
+        rows.append((f"c{i:05}", " ".join(["the", "same", "opening", "words", *w])))
+    return rows
+
+
+def shingle_set(t: str | None) -> frozenset:
+    w = (t or "").lower().split()
+    return frozenset([tuple(w)] if len(w) < 3 else zip(w, w[1:], w[2:]))
+
+
+def test_text_dedup_groups_moves_little(spark):
+    """Whole shingle sets are larger than the texts and must not go through shuffles: less than 1.3 bytes for a byte of text."""
+    rows = family(4, 6000)
+    df = spark.createDataFrame(rows, "chunk_id string, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    assert text_edges(df).count() > 500
+    assert shuffled(spark) - before < 1.3 * sum(len(t.encode()) for _, t in rows)
+
+
+def test_similar_texts_is_brute_force(spark):
+    rows = family(5, 240) + [("n", None), ("e", ""), ("s1", "a"), ("s2", "a b"), ("s3", "b a"), ("s4", "a b"), ("c00003x", family(5, 240)[3][1])] + [family(5, 240)[7]]
+    rows += [("long1", " ".join(f"l{i}" for i in range(9000))), ("long2", " ".join(f"l{i}" for i in range(300, 9100)))]
+    lead: dict[tuple, str] = {}
+    for c, t in rows:
+        w = tuple((t or "").lower().split())
+        lead[w] = min(c, lead.get(w, c))
+    v = sorted((c, shingle_set(" ".join(w))) for w, c in lead.items())
+    want = {(a, b): len(x & y) / len(x | y) for i, (a, x) in enumerate(v) for b, y in v[i + 1 :] if x & y and len(x & y) / len(x | y) >= 0.8}
+    got = [tuple(r) for r in similar_texts(spark.createDataFrame(rows, "chunk_id string, text string")).collect()]
+    assert len(got) == len(want) > 30 and {(a, b): j for a, b, j in got} == want
+
+
+def test_shingles_of_any_cut(monkeypatch):
+    """The same sets however the batch is cut, with empty, short and very long texts."""
+    import pyarrow as pa
+
+    t = [" ".join(f"ü{x}" for x in np.random.RandomState(i).randint(50, size=n)) for i, n in enumerate((0, 1, 2, 3, 4, 90, 7000, 0, 5, 0))]
+    b = pa.RecordBatch.from_arrays([pa.array(["cut off", *t])], names=["line"]).slice(1)
+    h, n = T._sets(b.column(0), 3)
+    assert n.tolist() == [len(shingle_set(x)) for x in t] and len(set(h.tolist())) == len(set().union(*map(shingle_set, t)))
+    monkeypatch.setattr(T, "BLOCK", 40)
+    monkeypatch.setattr(T, "BYTES", 100)
+    parts = list(T._slices(b, 0))
+    assert len(parts) > 3 and sum(p.num_rows for p in parts) == len(t)
+    assert np.concatenate([T._sets(p.column(0), 3)[0] for p in parts]).tolist() == h.tolist()
+
+
 def test_dense_ids(spark):
     df = spark.createDataFrame([(f"chunk-{i:03}",) for i in range(50)], "label string").repartition(5)
     got = sorted((r.label, r.group_id) for r in dense_ids(df).collect())
