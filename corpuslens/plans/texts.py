@@ -11,6 +11,7 @@ from corpuslens.operators.components import components
 from corpuslens.operators.contradictions import active, numeric_hits, version_hits
 from corpuslens.operators.groups import dense_ids, group_table
 from corpuslens.operators.text_dedup import copies, similar_texts, text_edges
+from corpuslens.session import Stage
 from corpuslens.sources.tables import load
 
 def _active(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +73,7 @@ def dedup_merged_channels(spark: SparkSession, d: str) -> DataFrame:
     m = g.select("canonical_chunk_id", F.explode("member_chunk_ids").alias("b")).select(F.col("canonical_chunk_id").alias("a"), "b").distinct()
     live = m.join(ids.select(F.col("chunk_id").alias("a")), "a").join(ids.select(F.col("chunk_id").alias("b")), "b").filter("a != b")
     e = live.withColumn("channel", F.lit("embedding")).unionByName(text_edges(c).withColumn("channel", F.lit("text")))
+    e = Stage(spark, "merged-channels").put(e, "edges")  # its joins with all ids run once
     lab = components(e)
     ch = e.select(F.col("a").alias("id"), "channel").join(lab, "id").groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
     n = lab.groupBy("label").agg(F.count("*").alias("n_members"))

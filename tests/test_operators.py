@@ -204,6 +204,21 @@ def test_text_dedup_groups_moves_little(spark):
     assert shuffled(spark) - before < 1.3 * sum(len(t.encode()) for _, t in rows)
 
 
+def test_dedup_merged_channels_moves_little(spark, tmp_path):
+    """Its result is the one of the SQL, for less than 1.3 shuffled bytes for a byte of text."""
+    from __spark_entry__ import oracle_sql, queries
+
+    from oracle import compare
+
+    rows = family(6, 6000)
+    spark.createDataFrame([(*x, None, None) for x in rows], "chunk_id string, text string, resolved_timestamp timestamp_ntz, deleted_at timestamp_ntz").repartition(4).write.parquet(f"{tmp_path}/chunks.parquet")
+    groups = [(f"c{i:05}", [f"c{i:05}", f"c{i + 7:05}", "gone"], ["embedding"] if i % 2 else ["text"]) for i in range(0, 5000, 25)]
+    spark.createDataFrame(groups, "canonical_chunk_id string, member_chunk_ids array<string>, detection_channels array<string>").write.parquet(f"{tmp_path}/dedup_groups.parquet")
+    before = shuffled(spark)
+    assert compare(spark, str(tmp_path), queries()["dedup_merged_channels"], oracle_sql()["dedup_merged_channels"]) > 500
+    assert shuffled(spark) - before < 1.3 * sum(len(t.encode()) for _, t in rows)
+
+
 def test_similar_texts_is_brute_force(spark):
     rows = family(5, 240) + [("n", None), ("e", ""), ("s1", "a"), ("s2", "a b"), ("s3", "b a"), ("s4", "a b"), ("c00003x", family(5, 240)[3][1])] + [family(5, 240)[7]]
     rows += [("long1", " ".join(f"l{i}" for i in range(9000))), ("long2", " ".join(f"l{i}" for i in range(300, 9100)))]
