@@ -236,14 +236,16 @@ def prefixes(vertices: DataFrame, threshold: float) -> DataFrame:
     return vertices.select("vid", "n", "sh").mapInArrow(run, "vid string, n int, s long")
 
 
-def _pairs_and_copies(chunks: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """(vid_a, vid_b, jaccard) of similar texts; (vid, chunk_id) of the copies of each word sequence but its smallest id."""
+def _pairs_and_copies(chunks: DataFrame, threshold: float, k: int, with_copies: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(vid_a, vid_b, jaccard) of similar texts; if asked, (vid, chunk_id) of the copies of each word sequence but its smallest id."""
     stage = Stage(chunks.sparkSession, "text-dedup")
     texts = chunks.filter("chunk_id is not null").select("chunk_id", word_line("text").alias("line"))
     sk = stage.put(_sketches(texts, threshold, k, stage), "sketches")
     v = sk.groupBy("h").agg(F.min(F.struct("chunk_id", "n", "bits", "pre")).alias("m")).select("h", F.col("m.chunk_id").alias("vid"), "m.n", "m.bits", "m.pre")
     v = stage.put(v.withColumn("id", F.monotonically_increasing_id()), "vertices")
-    same = stage.put(sk.select("h", "chunk_id").join(v.select("h", "vid"), "h").filter("chunk_id != vid").select("vid", "chunk_id"), "copies")
+    same = None
+    if with_copies:
+        same = stage.put(sk.select("h", "chunk_id").join(v.select("h", "vid"), "h").filter("chunk_id != vid").select("vid", "chunk_id"), "copies")
     stage.done("sketches")
     found = [stage.put(_candidates(v, threshold, p), f"candidates{p}") for p in range(PARTS)]
     cand = stage.put(reduce(DataFrame.unionByName, found).distinct(), "candidates")
@@ -259,7 +261,7 @@ def _pairs_and_copies(chunks: DataFrame, threshold: float, k: int) -> tuple[Data
 
 def similar_texts(chunks: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
     """(vid_a, vid_b, jaccard) of different word sequences with at least the threshold."""
-    return _pairs_and_copies(chunks, threshold, k)[0]
+    return _pairs_and_copies(chunks, threshold, k, with_copies=False)[0]
 
 
 def text_edges(chunks: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:

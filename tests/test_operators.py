@@ -219,6 +219,15 @@ def test_dedup_merged_channels_moves_little(spark, tmp_path):
     assert shuffled(spark) - before < 1.3 * sum(len(t.encode()) for _, t in rows)
 
 
+def test_text_jaccard_pairs_move_little(spark):
+    """Pairs alone need neither whole sets in shuffles nor the copies."""
+    rows = family(7, 6000)
+    df = spark.createDataFrame(rows, "chunk_id string, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    assert similar_texts(df).count() > 500
+    assert shuffled(spark) - before < 1.3 * sum(len(t.encode()) for _, t in rows)
+
+
 def test_similar_texts_is_brute_force(spark):
     rows = family(5, 240) + [("n", None), ("e", ""), ("s1", "a"), ("s2", "a b"), ("s3", "b a"), ("s4", "a b"), ("c00003x", family(5, 240)[3][1])] + [family(5, 240)[7]]
     rows += [("long1", " ".join(f"l{i}" for i in range(9000))), ("long2", " ".join(f"l{i}" for i in range(300, 9100)))]
