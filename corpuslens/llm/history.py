@@ -12,7 +12,8 @@ n / t); inside the window the union places decide, and what passes is verified o
 window is as wide as that rule makes it, not a fixed number of neighbours, so nothing is lost. No
 run is shuffled, sorted or sketched again, and a batch with at most FEW keys reads only the pages
 of the runs that its keys lie in, and of the texts that its candidates lie in (files are sorted and
-their pages short). Accepted records become a new run; when there are more than
+their pages short), if these pages are less than the table. However many ranges a table has, it is
+one scan in the plan. Accepted records become a new run; when there are more than
 ``max_runs``, runs of like size are compacted into one (a run more than four times as large as all
 smaller ones together is left alone).
 
@@ -30,7 +31,6 @@ batches and an empty history work; extra columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from functools import reduce
 
@@ -68,9 +68,9 @@ class History:
         h.state = s
         h.counts = bytes(spark.read.parquet(f"{h.path}/counts").first()["counts"])
         for t in s["runs"]:
-            h._register(t, "key bigint, n int, id bigint, lo bigint, hi bigint", "key", "key, n")
+            h._register(t, "key bigint, n int, id bigint, lo bigint, hi bigint, place int", "key", "key, n")
         for t in s["texts"]:
-            h._register(t, "id bigint, text string", "id", "id")
+            h._register(t, "id bigint, text string, place int", "id", "id")
         return h
 
     def _register(self, t: dict, columns: str, by: str, order: str) -> None:
@@ -94,15 +94,19 @@ class History:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
     def _write(self, df: DataFrame, kind: str, by: str, order: list[str], ranges: int, passes: int = 1, once: bool = False) -> dict:
-        """Writes df (hash-ranged by a BIGINT) as a table with one sorted file a range; once: one row of each ``by``."""
+        """Writes df (hash-ranged by a BIGINT) as a table with one sorted file a range; once: one row of each ``by``.
+
+        Each row has the number of its range, so that a reader can ask each file for its own values.
+        """
         name = f"{kind}_{uuid.uuid4().hex}"
         for p in range(passes):
             part = df if passes == 1 else df.filter(F.pmod(F.pmod(F.hash(by), F.lit(ranges)), F.lit(passes)) == p)
             part = part.repartition(ranges, by)
-            w = (part.dropDuplicates([by]) if once else part).write.bucketBy(ranges, by).sortBy(*order).option("path", f"{self.path}/{name}").option(
+            part = (part.dropDuplicates([by]) if once else part).withColumn("place", F.pmod(F.hash(by), F.lit(ranges)))
+            w = part.write.bucketBy(ranges, by).sortBy(*order).option("path", f"{self.path}/{name}").option(
                 "parquet.page.row.count.limit", str(PAGE[by])).option("compression", "zstd")
             write_once(self.spark, lambda w=w, p=p: w.mode("append" if p else "errorifexists").saveAsTable(name))
-        return {"name": name, "ranges": ranges}
+        return {"name": name, "ranges": ranges, "placed": True}
 
     def _add_run(self, rows: DataFrame, n: int, passes: int = 1) -> None:
         """rows: (key, n, id, lo, hi)."""
@@ -165,26 +169,24 @@ class History:
         self._add_texts(texts.filter("text is not null"), self.state["records"])
         self._commit()
 
-    def _some(self, t: dict, column: str, wanted: DataFrame) -> DataFrame:
-        """The table t, or its rows with a wanted value if those are few: from each range only its own values."""
+    @staticmethod
+    def _few(wanted: DataFrame, column: str) -> list[tuple[int, int]] | None:
+        """(value, hash) of each wanted value; None if there are more than FEW."""
+        rows = wanted.select(column).distinct().select(column, F.hash(column)).limit(FEW + 1).collect()
+        return [tuple(r) for r in rows] if len(rows) <= FEW else None
+
+    def _some(self, t: dict, column: str, few: list[tuple[int, int]] | None) -> DataFrame:
+        """The table t, or its rows with a wanted value if their pages are less than the table: one scan, each range for its own values."""
         table = self.spark.table(t["name"])
-        few: dict[int, list[int]] = {}
-        place = F.pmod(F.hash(column), F.lit(t["ranges"])).alias("r")
-        for r in wanted.select(column).distinct().select(column, place).limit(FEW + 1).collect():
-            few.setdefault(r["r"], []).append(r[0])
-        n = sum(map(len, few.values()))
-        if n > FEW:
+        if few is None or not t.get("placed") or len(few) * PAGE[column] >= t["rows"]:
             return table
-        files: dict[int, list[str]] = {}
-        for f in table.inputFiles() if n else []:
-            files.setdefault(int(re.search(r"_(\d{5})(?:\.c\d+)?\.[^/]*$", f).group(1)), []).append(f)
-        found = [table.limit(0)]
-        for r in sorted(few.keys() & files.keys()):
-            lists = [F.col(column).isin(few[r][i : i + 64]) for i in range(0, len(few[r]), 64)]
-            while len(lists) > 1:  # a balanced tree: the reader walks it recursively
-                lists = [reduce(Column.__or__, lists[i : i + 2]) for i in range(0, len(lists), 2)]
-            found.append(self.spark.read.schema(table.schema).parquet(*files[r]).filter(lists[0]))
-        return reduce(DataFrame.unionByName, found)
+        own: dict[int, list[int]] = {}
+        for value, h in few:
+            own.setdefault(h % t["ranges"], []).append(value)
+        parts = [(F.col("place") == r) & F.col(column).isin(x[i : i + 64]) for r, x in sorted(own.items()) for i in range(0, len(x), 64)]
+        while len(parts) > 1:  # a balanced tree: the reader walks it recursively
+            parts = [reduce(Column.__or__, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return table.filter(parts[0]) if parts else table.limit(0)
 
     def _window(self, new: DataFrame, run: DataFrame) -> DataFrame:
         """(id_n, id_h): the records of a run in the windows around the new ones that may resemble them."""
@@ -219,13 +221,15 @@ class History:
         own = stage.put(own, "new")
         new = own.select("key", F.col("n").alias("size_n"), F.col("id").alias("id_n"), F.col("lo").alias("lo_n"), F.col("hi").alias("hi_n"))
         both = self._window(new, own).filter("id_h < id_n").withColumn("past", F.lit(False))
+        values = self._few(own, "key")
         for r in s["runs"]:
-            both = both.unionByName(self._window(new, self._some(r, "key", own)).withColumn("past", F.lit(True)))
+            both = both.unionByName(self._window(new, self._some(r, "key", values)).withColumn("past", F.lit(True)))
         cand = stage.put(both.distinct(), "candidates")
         past = stage.put(cand.filter("past").select(F.col("id_h").alias("id")).distinct(), "past")
         known = batch.select(F.col("id").alias("id_h"), F.col("text").alias("text_h"), F.lit(False).alias("past"))
+        ids = self._few(past, "id")
         for t in s["texts"]:  # ranged by id: the texts don't move
-            x = self._some(t, "id", past).join(past, "id", "left_semi")
+            x = self._some(t, "id", ids).join(past, "id", "left_semi")
             known = known.unionByName(x.select(F.col("id").alias("id_h"), F.col("text").alias("text_h"), F.lit(True).alias("past")))
         new_text = batch.join(cand.select(F.col("id_n").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("id_n"), F.col("text").alias("text_n"))
         pair = cand.join(known, ["id_h", "past"]).join(new_text, "id_n")

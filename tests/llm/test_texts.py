@@ -7,6 +7,7 @@ import pytest
 from corpuslens.llm.consolidate import hash_to_min
 from pyspark.sql import functions as F
 
+from corpuslens.llm import history
 from corpuslens.llm import sketch as S
 from corpuslens.llm.history import History, batches_of, groups_of
 from corpuslens.llm.mixing import mix
@@ -163,6 +164,43 @@ def test_history_is_taken_up_again(spark, tmp_path):
     h.close()
 
 
+@pytest.mark.parametrize("page", [4, 1_000])
+def test_history_reads_each_table_in_one_scan(spark, tmp_path, monkeypatch, page):
+    """Few keys, looked up page by page or not: a plan has no more scans and joins than tables, however many ranges those have."""
+    plans, put = [], history.Stage.put
+    monkeypatch.setattr(history.Stage, "put", lambda self, df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or put(self, df, label))
+    monkeypatch.setattr(history, "PAGE", {"key": page, "id": page})
+    monkeypatch.setattr(History, "_ranges", lambda *_: 24)
+    old = [" ".join(sentence(40)) for _ in range(400)]
+    h = History(spark, str(tmp_path / "h"), 0.7)
+    h.load(spark.createDataFrame([(i * 7919, x) for i, x in enumerate(old)], "id long, text string"))
+    new, want = [], set()
+    for b in range(3):
+        new += [(4 * b, b, " ".join(edited(old[b].split(), 1))), (4 * b + 1, b, old[b + 90]), (4 * b + 2, b, " ".join(sentence(40))), (4 * b + 3, b, new[2][2] if b else None)]
+        want |= {4 * b, 4 * b + 1} | ({4 * b + 3} if b else set())
+    n, got = batches_of(spark.createDataFrame(new, "iid long, batch int, text string"), "iid", ["batch", "iid"], "text"), set()
+    for b in range(3):
+        got |= {r.rec for r in n.join(h.accept(n.filter(n.o1 == b).drop("rec")), "id").collect()}
+    assert got == want
+    for label, plan in plans:
+        if label in ("candidates", "verified"):
+            assert plan.count("Relation ") <= 12 and plan.count("Join ") <= 8, plan
+    looked = [plan.count("(place#") for label, plan in plans if label in ("candidates", "verified")]
+    assert (max(looked) > 0) == (page == 4)
+    h.close()
+
+
+def test_history_of_the_form_before_is_read_whole(spark, tmp_path):
+    """Tables without the number of the range in their rows."""
+    old = [" ".join(sentence(40)) for _ in range(12)]
+    h = History(spark, str(tmp_path / "h"), 0.7)
+    h._write = lambda *a, w=h._write, **k: {x: y for x, y in w(*a, **k).items() if x != "placed"}
+    h.load(spark.createDataFrame(list(enumerate(old)), "id long, text string"))
+    n = batches_of(spark.createDataFrame([(1, 0, old[3]), (2, 0, " ".join(sentence(40)))], "iid long, batch int, text string"), "iid", ["batch", "iid"], "text")
+    assert {r.rec for r in n.join(h.accept(n.drop("rec")), "id").collect()} == {1}
+    h.close()
+
+
 def test_history_without_a_past(spark, tmp_path):
     h = History(spark, str(tmp_path / "h"), 0.7)
     chain = [list(f"w{i}" for i in range(60))]
